@@ -85,7 +85,8 @@ def neighbours(
     inside = Window.partitionBy(*keys, *chunk).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(*chunk)
     rank = _ordering(order)
-    back, front = F.struct(*lag.values()) if lag else None, F.struct(*lead.values()) if lead else None
+    back = F.struct(*[e.alias(n) for n, e in lag.items()]) if lag else None
+    front = F.struct(*[e.alias(n) for n, e in lead.items()]) if lead else None
 
     aggs = []
     if lag:
@@ -111,11 +112,11 @@ def neighbours(
     if lag:
         pick = F.when(F.col("__no") == 1, F.col("__prev")).otherwise(F.col("__lag"))
         joined = joined.withColumn("__lag", pick)
-        out |= {name: F.col("__lag")[f"col{i + 1}"] for i, name in enumerate(lag)}
+        out |= {name: F.col("__lag")[name] for name in lag}
     if lead:
         pick = F.when(F.col("__one").isNull(), F.col("__next")).otherwise(F.col("__lead"))
         joined = joined.withColumn("__lead", pick)
-        out |= {name: F.col("__lead")[f"col{i + 1}"] for i, name in enumerate(lead)}
+        out |= {name: F.col("__lead")[name] for name in lead}
     return joined.withColumns(out).select(*df.columns, *lag, *lead)
 
 

@@ -6,7 +6,9 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -48,7 +50,12 @@ def compare(spark, con, query, folder):
     if query.sql is None:
         return "rows-only", len(left), t_spark, 0.0, ""
     start = time.time()
-    right = con.execute(query.sql).df()
+    stop = threading.Timer(float(os.environ.get('SQL_LIMIT', '60')), con.interrupt)
+    stop.start()
+    try:
+        right = con.execute(query.sql).df()
+    finally:
+        stop.cancel()
     t_duck = time.time() - start
     ln, lv = canon(left)
     rn, rv = canon(right)
@@ -65,7 +72,6 @@ def compare(spark, con, query, folder):
 def main():
     from __spark_entry__ import load_queries
     from quireflow.session import local_session
-    import os
 
     folder = os.environ.get("CHECK_DIR", "/root/testdata/sf0.01")
     spark = local_session()
