@@ -6,7 +6,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,25 +13,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
 # Canonical schemas of page primitives.
-PRIMITIVES: dict[str, T.StructType] = {
-    "glyphs": _struct(
+PRIMITIVES: dict[str, str] = {
+    "glyphs": (
         "doc_id BIGINT, page INT, frag INT, gno INT, c STRING, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, size DOUBLE,"
         " font STRING, flags INT, char_flags INT, rgb INT, icon STRING, conf DOUBLE, ink DOUBLE"
     ),
-    "paths": _struct(
+    "paths": (
         "doc_id BIGINT, page INT, draw_ord INT, item_ord INT, op STRING, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE,"
         " width DOUBLE, type STRING, stroke ARRAY<DOUBLE>, fill ARRAY<DOUBLE>, fill_opacity DOUBLE"
     ),
-    "images": _struct(
+    "images": (
         "doc_id BIGINT, page INT, img INT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, digest STRING, is_blank BOOLEAN,"
         " sample ARRAY<FLOAT>"
     ),
-    "pages": _struct("doc_id BIGINT, page INT, width DOUBLE, height DOUBLE"),
+    "pages": ("doc_id BIGINT, page INT, width DOUBLE, height DOUBLE"),
 }
 KEYS = {"glyphs": ["doc_id", "page", "frag", "gno"], "paths": ["doc_id", "page", "draw_ord", "item_ord"],
         "images": ["doc_id", "page", "img"], "pages": ["doc_id", "page"]}
