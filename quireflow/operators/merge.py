@@ -241,7 +241,7 @@ def strip_prefix(text: Column, pattern: str) -> Column:
 
 def strip_prefix_runs(runs: Column, cut: Column) -> Column:
     """Drops the first `cut` characters of a paragraph's runs; runs that become empty go. Runs carry `at` offsets."""
-    kept = F.filter(runs, lambda r: r["at"] + F.length(r["text"]) > cut)
+    kept = F.filter(runs, lambda r: (r["at"] + F.length(r["text"]) > cut) & (F.length(r["text"]) > 0))
     return F.transform(kept, lambda r: F.struct(
         F.substring(r["text"], F.greatest(F.lit(1), cut - r["at"] + 1), F.length(r["text"])).alias("text"), r["underline"].alias("underline")))
 

@@ -75,8 +75,8 @@ def _(spark, folder):
 
 
 @query("merged_warnings", "E3", """
-SELECT bundle, file_ord, 0 AS no, 'f' || file_ord || ': n' || count(*) AS warning FROM bundle_items GROUP BY ALL
-UNION ALL SELECT bundle, file_ord, 1, 'f' || file_ord || ': 문제를 찾지 못해 내용만 옮겼습니다(자동 번호·정답 미주 없음)' FROM bundle_items GROUP BY ALL HAVING count(*) FILTER (kind = 'question' AND number > 6) = 0""", ("bundle_items",))
+SELECT bundle, file_ord, 0 AS no, 'f' || file_ord || ': n' || count(*) AS warning FROM bundle_items GROUP BY bundle, file_ord
+UNION ALL SELECT bundle, file_ord, 1, 'f' || file_ord || ': 문제를 찾지 못해 내용만 옮겼습니다(자동 번호·정답 미주 없음)' FROM bundle_items GROUP BY bundle, file_ord HAVING count(*) FILTER (kind = 'question' AND number > 6) = 0""", ("bundle_items",))
 def _(spark, folder):
     docs = bundle_items(spark, folder).groupBy("bundle", "file_ord").agg(
         F.array(F.concat(F.lit("n"), F.count("*").cast("string"))).alias("warnings"), F.count_if((F.col("kind") == "question") & (F.col("number") > 6)).alias("questions"))
