@@ -228,9 +228,8 @@ def _(spark, folder):
 SELECT k, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_partkey % 19 AS k FROM lineitem) GROUP BY k""")
 def _(spark, folder):
     # each part spells a two-syllable word ending in ㅂ; the same word read with ㅁ must be corrected back
-    stem = F.col("k") * 588 + 44032 + 28 * 4
     rows = table(spark, folder, "lineitem").select((F.col("l_partkey") % 19).cast("int").alias("k"))
-    spell = lambda final: F.concat(F.lit("스"), F.decode(F.encode(F.lit(""), "UTF-8"), "UTF-8"), F.element_at(F.array(*[F.lit(chr(44032 + k * 588 + 28 * 4 + final)) for k in range(19)]), F.col("k") + 1))
+    spell = lambda final: F.concat(F.lit("스"), F.element_at(F.array(*[F.lit(chr(44032 + k * 588 + 28 * 4 + final)) for k in range(19)]), F.col("k") + 1))
     body = rows.select("k", spell(17).alias("word"))
     vocab = body.groupBy("word").agg(F.count("*").alias("n"))
     fixes = ops.vocab_fix(rows.select(spell(16).alias("word")), vocab, ops.final_consonant_swap())
