@@ -77,11 +77,6 @@ def _(spark, folder):
     return ops.join_dots(dots).drop("doc_id")
 
 
-RUNS = """
-WITH RECURSIVE pos AS (SELECT DISTINCT CAST(k AS BIGINT) AS i, k * 0.6::DOUBLE AS v FROM range(12) t(k)),
-walk AS (SELECT i, v, v AS anchor FROM pos WHERE i = 0 UNION ALL SELECT p.i, p.v, CASE WHEN p.v - w.anchor <= 1.0 THEN w.anchor ELSE p.v END FROM walk w JOIN pos p ON p.i = w.i + 1)"""
-
-
 @query("interval_runs_merged", "C8", """
 WITH RECURSIVE iv AS (SELECT l_partkey AS grp, l_suppkey % 12 * 0.6::DOUBLE AS v, l_quantity AS s, l_quantity + 10 * l_discount + 0.5 AS e FROM lineitem),
 p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v) AS k FROM (SELECT DISTINCT grp, v FROM iv)),
@@ -231,9 +226,7 @@ def _(spark, folder):
 
 
 @query("box_colours", "C20", """
-WITH f AS (SELECT b.doc_id, b.page, b.box, arg_max(s.supp % 3, s.sid) AS fill FROM big_boxes b JOIN shapes s ON s.doc_id = b.doc_id AND s.page = b.page AND s.flag = 'R' AND b.flag = 'N'
-  AND s.x0 >= b.x0 - 2 - 100 AND s.x1 - 100 <= b.x1 + 2 AND s.y0 + 0 >= b.y0 - 2 - 300 AND s.y1 - 300 <= b.y1 + 2 AND 1 = 0 GROUP BY ALL),
-e AS (SELECT b.doc_id, b.page, b.box, s.status AS c, count(*) AS n, min(s.sid) AS seen FROM big_boxes b JOIN shapes s ON s.doc_id = b.doc_id AND s.page = b.page AND s.flag = 'R'
+WITH e AS (SELECT b.doc_id, b.page, b.box, s.status AS c, count(*) AS n, min(s.sid) AS seen FROM big_boxes b JOIN shapes s ON s.doc_id = b.doc_id AND s.page = b.page AND s.flag = 'R'
   AND least(abs(s.y0 - b.y0), abs(s.y0 - b.y1)) < 1.5 AND s.x0 < b.x1 AND s.x1 > b.x0 GROUP BY ALL)
 SELECT b.doc_id, b.page, b.box, coalesce((SELECT arg_max('#' || s.disc, s.sid) FROM shapes s WHERE s.doc_id = b.doc_id AND s.page = b.page AND s.sid % 2 = 1 AND s.x0 - 60 >= b.x0 - 2 AND s.x1 <= b.x1 + 2 AND s.y0 - 60 >= b.y0 - 2 AND s.y1 <= b.y1 + 2
        AND (s.x1 - s.x0 + 60) * (s.y1 - s.y0 + 60) >= 0.7 * b.a), '') AS fill, coalesce(arg_min(c, (-n, seen)), '') AS border
@@ -412,19 +405,21 @@ def _(spark, folder):
 WITH n AS (SELECT doc_id, page, sid AS lid, x0, y0, x0 + 30 AS x1, y0 + 10 AS y1 FROM shapes), l AS (SELECT n.* FROM n JOIN shapes s ON s.doc_id = n.doc_id AND s.page = n.page AND s.sid = n.lid WHERE flag = 'A'),
 r AS (SELECT doc_id, page, x0 + 15 AS x, y0 - 30 AS y0, y0 + qty * 3 AS y1, disc FROM shapes WHERE flag = 'A'),
 t AS (SELECT l.doc_id, l.page, l.lid, arg_min({'x': r.x, 'a': r.y0, 'b': r.y1}, (abs(r.x - (l.x0 + l.x1) / 2), r.x, r.y0, r.y1)) AS s FROM l JOIN r ON r.doc_id = l.doc_id AND r.page = l.page AND r.x BETWEEN l.x0 - 3 AND l.x1 + 3 AND r.y0 <= l.y0 AND r.y1 >= l.y1 GROUP BY ALL),
+ab AS (SELECT l.doc_id, l.page, l.lid, arg_max({'x': r.x, 'a': r.y0, 'b': r.y1}, (r.y1, -abs(r.x - (l.x0 + l.x1) / 2))) FILTER (r.y1 <= l.y1 AND l.y0 - r.y1 <= 60) AS u,
+  arg_min({'x': r.x, 'a': r.y0, 'b': r.y1}, (r.y0, abs(r.x - (l.x0 + l.x1) / 2))) FILTER (r.y0 >= l.y0 AND r.y0 - l.y1 <= 60) AS w FROM l JOIN r ON r.doc_id = l.doc_id AND r.page = l.page AND r.x BETWEEN l.x0 - 3 AND l.x1 + 3 GROUP BY ALL),
+t2 AS (SELECT * FROM t UNION ALL SELECT doc_id, page, lid, {'x': (u.x + w.x) / 2, 'a': least(u.a, w.a), 'b': greatest(u.b, w.b)} FROM ab WHERE u IS NOT NULL AND w IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = ab.doc_id AND t.page = ab.page AND t.lid = ab.lid)),
 k AS (SELECT doc_id, page, x, y0 FROM r WHERE disc > 3)
-SELECT t.doc_id, t.page, t.lid AS bracket, n.lid FROM t JOIN n ON n.doc_id = t.doc_id AND n.page = t.page AND n.lid <> t.lid AND n.x0 > t.s.x AND (n.y0 + n.y1) / 2 BETWEEN t.s.a - 3 AND t.s.b + 3
+SELECT t.doc_id, t.page, t.lid AS bracket, n.lid FROM t2 t JOIN n ON n.doc_id = t.doc_id AND n.page = t.page AND n.lid <> t.lid AND n.x0 > t.s.x AND (n.y0 + n.y1) / 2 BETWEEN t.s.a - 3 AND t.s.b + 3
 WHERE t.s.b - t.s.a >= 25 AND EXISTS (SELECT 1 FROM k WHERE k.doc_id = t.doc_id AND k.page = t.page AND abs(k.x - t.s.x) <= 2 AND (abs(k.y0 - t.s.a) <= 2 OR abs(k.y0 - t.s.b) <= 2))""", ("shapes",))
 def _(spark, folder):
-    # strokes start 30 points above their label and always run through it when long enough; ends are ticked where the discount is high
+    # strokes start 30 points above their label and run through it when long enough; ends are ticked where the discount is high
     s = shapes(spark, folder)
     lines = s.select(*PAGE, F.col("sid").alias("lid"), F.lit(0).alias("col"), F.lit(10.0).alias("size"), "x0", "y0", (F.col("x0") + 30).alias("x1"), (F.col("y0") + 10).alias("y1"), "flag")
     marks = role(s, "A")
     runs = marks.select(*PAGE, (F.col("x0") + 15).alias("x"), (F.col("y0") - 30).alias("y0"), (F.col("y0") + F.col("qty") * 3).alias("y1"))
     ticks = marks.where("disc > 3").select(*PAGE, (F.col("x0") + 15).alias("x0"), (F.col("x0") + 25).alias("x1"), (F.col("y0") - 30).alias("y0"))
     labels = lines.where("flag = 'A'")
-    through_only = ops.detect_brackets(labels.drop("flag"), runs, ticks, lines.drop("flag"))
-    return through_only.select(*PAGE, "bracket", "lid")
+    return ops.detect_brackets(labels.drop("flag"), runs, ticks, lines.drop("flag")).select(*PAGE, "bracket", "lid")
 
 
 @query("underlined_glyphs", "C33", """
