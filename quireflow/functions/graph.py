@@ -1,6 +1,6 @@
 """Graph work as rounds of joins: connected components and chains of next-pointers.
 
-Every round is written with checkpoint(), which cuts the lineage and survives the loss of executors.
+Every round is written to the shared checkpoint folder, which cuts the lineage and survives the loss of executors.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.session import ensure_checkpoint_dir
+from quireflow.session import settle
 
 
 def components(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], node: str = "node", out: str = "component",
@@ -21,27 +21,22 @@ def components(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], node: s
     jumps to the label's own label, so long chains close in a logarithmic number of rounds. Both steps aggregate with
     min before the shuffle, so a node with very many neighbours costs its tasks one row each.
     """
-    ensure_checkpoint_dir(nodes.sparkSession)
     scope = list(scope)
-    both = (
-        edges.select(*scope, F.col("a").alias(node), F.col("b").alias("__to"))
-        .unionByName(edges.select(*scope, F.col("b").alias(node), F.col("a").alias("__to")))
-        .distinct()
-        .checkpoint()
-    )
-    labels = nodes.select(*scope, node).distinct().withColumn(out, F.col(node)).checkpoint()
+    both = settle(
+        edges.select(*scope, F.explode(F.array(
+            F.struct(F.col("a").alias(node), F.col("b").alias("__to")), F.struct(F.col("b").alias(node), F.col("a").alias("__to")))).alias("e"))
+        .select(*scope, "e.*").distinct())
+    labels = settle(nodes.select(*scope, node).distinct().withColumn(out, F.col(node)))
     for _ in range(max_rounds):
         offered = (
             both.join(labels.withColumnRenamed(node, "__to"), [*scope, "__to"])
             .groupBy(*scope, node).agg(F.min(out).alias("__offer"))
         )
-        lowered = labels.join(offered, [*scope, node], "left").select(
-            *scope, node, F.col(out).alias("__old"), F.least(out, F.coalesce("__offer", out)).alias("__new")
-        ).checkpoint()
+        lowered = settle(labels.join(offered, [*scope, node], "left").select(
+            *scope, node, F.col(out).alias("__old"), F.least(out, F.coalesce("__offer", out)).alias("__new")))
         parents = lowered.select(*scope, F.col(node).alias("__new"), F.col("__new").alias("__up"))
-        jumped = lowered.join(parents, [*scope, "__new"]).select(
-            *scope, node, F.col("__up").alias(out), (F.col("__up") != F.col("__old")).alias("__moved")
-        ).checkpoint()
+        jumped = settle(lowered.join(parents, [*scope, "__new"]).select(
+            *scope, node, F.col("__up").alias(out), (F.col("__up") != F.col("__old")).alias("__moved")))
         labels = jumped.select(*scope, node, out)
         if jumped.where("__moved").limit(1).count() == 0:
             return labels
@@ -54,20 +49,14 @@ def follow_chain(pointers: DataFrame, starts: DataFrame, scope: Sequence[str], m
     `pointers` has scope + (node, nxt), `starts` has scope + (node). The jump length doubles each round, so a chain of
     n nodes takes log2(n) rounds whatever its document holds.
     """
-    ensure_checkpoint_dir(pointers.sparkSession)
     scope = list(scope)
-    reached = starts.select(*scope, "node").checkpoint()
-    jump = pointers.where("nxt is not null").select(*scope, "node", "nxt").checkpoint()
+    reached = settle(starts.select(*scope, "node"))
+    jump = settle(pointers.where("nxt is not null").select(*scope, "node", "nxt"))
     for _ in range(max_rounds):
-        grown = (
-            reached.unionByName(
-                reached.join(jump, [*scope, "node"]).select(*scope, F.col("nxt").alias("node"))
-            ).distinct().checkpoint()
-        )
+        # a jump leads past all nodes reached so far, so nothing is reached twice
+        grown = settle(reached.unionByName(reached.join(jump, [*scope, "node"]).select(*scope, F.col("nxt").alias("node"))))
         further = jump.withColumnsRenamed({"node": "__from", "nxt": "node"})
-        jump = (
-            further.join(jump, [*scope, "node"]).select(*scope, F.col("__from").alias("node"), "nxt").checkpoint()
-        )
+        jump = settle(further.join(jump, [*scope, "node"]).select(*scope, F.col("__from").alias("node"), "nxt"))
         reached = grown
         if jump.limit(1).count() == 0:
             return reached

@@ -150,25 +150,33 @@ def build_lines(glyphs: DataFrame, line: list[str]) -> DataFrame:
     window per printed line.
     """
     order = Window.partitionBy(*line).orderBy("x0", "gno")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*line)
-    solid = glyphs.where(tx.strip("c") != "")
-    spaces = glyphs.where(tx.strip("c") == "").groupBy(*line).agg(F.max("x0").alias("__space"))
-    rows = solid.withColumns({"__px1": F.lag("x1").over(order), "__psize": F.lag("size").over(order), "__picon": F.lag("icon").over(order)})
-    rows = rows.withColumn("gap", F.col("x0") - F.col("__px1"))
+    solid = tx.strip("c") != ""
+    before = F.last(F.when(F.col("__solid"), F.struct("x1", "size", "icon")), ignorenulls=True).over(earlier)
+    rows = glyphs.withColumn("__solid", solid).withColumn("__p", before)
+    rows = rows.withColumns({"gap": F.col("x0") - F.col("__p.x1"), "__digit": tx.rx(F.col("c"), r"^\p{Nd}$")})
     rows = rows.withColumns({
-        "__n": F.count("*").over(whole), "__words": F.count_if(F.col("gap") > F.col("__psize")).over(whole) + 1,
-        "__digits": F.min(tx.rx(F.col("c"), r"^\p{Nd}$")).over(whole)})
+        "__n": F.count_if("__solid").over(whole), "__words": F.count_if(F.col("__solid") & (F.col("gap") > F.col("__p.size"))).over(whole) + 1,
+        "__digits": F.min(F.when(F.col("__solid"), F.col("__digit"))).over(whole)})
     cap = F.when((F.col("__n") <= 10) & (F.col("__words") <= 3) & ~F.col("__digits"), 12).otherwise(4)
-    icon = F.col("icon") | F.col("__picon")
-    big, small = F.greatest("size", "__psize"), F.least("size", "__psize")
+    icon = F.col("icon") | F.col("__p.icon")
+    big, small = F.greatest("size", "__p.size"), F.least("size", "__p.size")
     space = (F.col("gap") > 0.25 * big * F.when(icon, 0.9).otherwise(1.0)) | ((big > 1.2 * small) & ~icon & (F.col("gap") > 0.8))
     wide = (F.col("gap") > 3.0 * F.col("size")) & ~F.col("c").isin(*CIRCLED) & ~F.col("icon")
     ems = F.when(wide, F.least(cap, F.greatest(F.lit(1), F.rint(F.col("gap") / F.col("size")).cast("int") - 2))).otherwise(0)
     piece = F.when(F.coalesce(space, F.lit(False)), F.concat(F.repeat(F.lit(EM_SPACE), ems), F.lit(" "), "c")).otherwise(F.col("c"))
-    out = rows.groupBy(*line).agg(
-        ordered_concat(["x0", "gno"], piece).alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"),
-        F.max("y1").alias("y1"), F.median("size").alias("size"), F.min_by("size", F.struct("x0", "gno")).alias("lead_size"), F.max("x0").alias("__last"))
-    return out.join(spaces, line, "left").withColumn("trailing_space", F.coalesce(F.col("__space") > F.col("__last"), F.lit(False))).drop("__space", "__last")
+
+    def of_solid(column: str) -> Column:
+        return F.when(F.col("__solid"), F.col(column))
+
+    drawn = F.array_sort(F.collect_list(F.when(F.col("__solid"), F.struct("x0", "gno", piece.alias("piece")))))
+    return rows.groupBy(*line).agg(
+        F.array_join(F.transform(drawn, lambda r: r["piece"]), "").alias("text"), F.min(of_solid("x0")).alias("x0"), F.min(of_solid("y0")).alias("y0"),
+        F.max(of_solid("x1")).alias("x1"), F.max(of_solid("y1")).alias("y1"), F.median(of_solid("size")).alias("size"),
+        F.min_by("size", F.when(F.col("__solid"), F.struct("x0", "gno"))).alias("lead_size"),
+        F.coalesce(F.max(F.when(~F.col("__solid"), F.col("x0"))) > F.max(of_solid("x0")), F.lit(False)).alias("trailing_space"), F.first("__n").alias("__n"),
+    ).where("__n > 0").drop("__n")
 
 
 def col_bounds(lines: DataFrame) -> DataFrame:

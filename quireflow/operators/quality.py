@@ -11,13 +11,13 @@ from pyspark.sql.window import Window
 from quireflow.conventions import KOREAN, Conventions
 from quireflow.functions import scan
 from quireflow.functions import text as tx
+from quireflow.session import settle
 
 NGRAM = 6
 
 
 def _shingle_rows(df: DataFrame, keys: list[str], numbers: bool) -> DataFrame:
-    pieces = F.array_distinct(tx.shingles(tx.compact("text", numbers), NGRAM))
-    return df.select(*keys, F.explode(pieces).alias("shingle"))
+    return df.select(*keys, F.explode(tx.shingles(tx.compact("text", numbers), NGRAM)).alias("shingle"))
 
 
 def coverage(source: DataFrame, output: DataFrame, numbers: bool = True) -> DataFrame:
@@ -46,7 +46,7 @@ def missing_lines(source: DataFrame, output: DataFrame, numbers: bool = True) ->
 
     `source` has pair, line_no, page, text. The join key (pair, shingle) is unique on the output side.
     """
-    lines = _shingle_rows(source, ["pair", "line_no"], numbers)
+    lines = _shingle_rows(source, ["pair", "line_no"], numbers).distinct()
     found = _shingle_rows(output, ["pair"], numbers).distinct().withColumn("hit", F.lit(1))
     scored = lines.join(found, ["pair", "shingle"], "left").groupBy("pair", "line_no").agg(
         (F.sum(F.coalesce("hit", F.lit(0))) * 2 < F.count("*")).alias("missing"))
@@ -76,7 +76,8 @@ def passage_coverage(items: DataFrame, outputs: DataFrame, threshold: float = 0.
     """
     item_rows = _shingle_rows(items, ["item"], True).distinct()
     wanted = item_rows.select("shingle").distinct()
-    out_rows = _shingle_rows(outputs, ["pair"], True).join(wanted, "shingle", "left_semi").distinct()
+    # used three times, and small beside the texts: only shingles that some item holds
+    out_rows = settle(_shingle_rows(outputs, ["pair"], True).join(wanted, "shingle", "left_semi").distinct())
     frequency = out_rows.groupBy("shingle").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("item").orderBy("df", "shingle")
     whole = Window.partitionBy("item")

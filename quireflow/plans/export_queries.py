@@ -10,17 +10,17 @@ from quireflow.plans.registry import query, sql_view
 from quireflow.plans.structure_queries import digit, text_lines
 from quireflow.sources import corpus
 from quireflow.sources.corpus import table
-from quireflow.sources.tables import list_sources
+from quireflow.sources.tables import order_sources
 from quireflow.streaming import feeds, jobs
 
 LATIN = Conventions(script=r"\p{L}")
 
 
-@query("source_files", "A1")
+@query("source_order", "A1", """
+SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS input, url AS path, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1) ORDER BY url, page_id) AS ord FROM pages""")
 def _(spark, folder):
-    # the given table files as inputs: names only, no content; the work grows with the number of files
-    files = list_sources(spark, [folder], "*.parquet")
-    return files.select(F.substring_index("path", "/", -1).alias("name"), "input_ord").orderBy("name")
+    files = table(spark, folder, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("input"), F.col("url").alias("path"), "page_id")
+    return order_sources(files, ["input"], ["page_id"]).select("input", "path", "ord")
 
 
 @query("table_keys_checked", "A2", """

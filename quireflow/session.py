@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results (time zone) or the plans the operators are written for.
 SETTINGS = {
@@ -56,3 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="spark-quireflow-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes an intermediate result to the shared checkpoint folder and reads it back.
+
+    Cuts the lineage of iterative work. Unlike checkpoint(), which runs the plan once for the rows and once more for the
+    files, the plan runs once, and the files carry statistics for the next round. A lost executor only costs a re-read.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

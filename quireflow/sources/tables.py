@@ -72,6 +72,13 @@ def list_sources(spark: SparkSession, paths: list[str], pattern: str = "*.pdf")
     return out
 
 
+def order_sources(files: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
+    """Position of each file inside its input, by path. A prefix of the path orders like the path, so it is the chunk."""
+    from quireflow.functions import scan
+
+    return scan.numbered(files.withColumn("prefix", F.substring("path", 1, 32)), keys, ["prefix"], ["path", *ties], "ord")
+
+
 def list_presets(spark: SparkSession, folder: str) -> DataFrame:
     """The preset dimension: id (file name), display name and fonts, by id."""
     raw = spark.read.option("multiLine", True).schema(
