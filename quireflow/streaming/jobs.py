@@ -20,7 +20,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     if state.hasTimedOut:
         expires = state.get[0]
         state.remove()
-        yield pd.DataFrame([(key[0], pd.Timestamp(expires, unit="s"), "expired")], columns=["job", "ts", "outcome"])
+        yield pd.DataFrame([(key[0], pd.Timestamp(expires, unit="s").floor("us"), "expired")], columns=["job", "ts", "outcome"])
         return
     expires, until = state.getOption or (None, None)
     events = pd.concat(list(batches)).sort_values(["ts", "id"])
@@ -28,7 +28,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     for e in events.itertuples():
         now = e.ts.timestamp()
         if expires is not None and now > expires:
-            out.append((key[0], pd.Timestamp(expires, unit="s"), "expired"))
+            out.append((key[0], pd.Timestamp(expires, unit="s").floor("us"), "expired"))
             expires = until = None
         if e.event == "upload":
             expires, until, outcome = now + JOB_TTL, 0.0, "opened"
