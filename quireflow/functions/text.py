@@ -25,6 +25,15 @@ def strip(column) -> Column:
     return F.regexp_replace(column, rf"^{SPACE}+|{SPACE}+$", "")
 
 
+# The white space characters of Unicode.
+SPACES = [chr(k) for k in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def is_space(c: Column) -> Column:
+    """Whether a single character is white space: a set look-up, for glyph tables."""
+    return c.isin(*SPACES, "")
+
+
 def collapse(column) -> Column:
     return strip(F.regexp_replace(column, rf"{SPACE}+", " "))
 
@@ -75,16 +84,6 @@ NARROW = {
 FULL_WIDTH = [(0x1100, 0x11FF), (0x2E80, 0x9FFF), (0xAC00, 0xD7A3), (0xE000, 0xFAFF), (0xFF00, 0xFF60)]
 
 
-def char_milli_em(c: Column) -> Column:
-    """Natural width of one character in thousandths of an em."""
-    code = F.ascii(c)
-    narrow = F.create_map(*[F.lit(v) for pair in NARROW.items() for v in pair])[c]
-    full = F.lit(False)
-    for low, high in FULL_WIDTH:
-        full = full | code.between(low, high)
-    return F.coalesce(narrow, F.when(full, 1000).when(code < 128, 560).otherwise(800))
-
-
 def natural_milli_em(text) -> Column:
     """Natural width of a text in thousandths of an em; whole numbers, so the sum does not depend on its order.
 

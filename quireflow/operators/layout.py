@@ -16,7 +16,7 @@ FRAG = ["doc_id", "page", "frag"]
 
 def frags(glyphs: DataFrame) -> DataFrame:
     """Bounds, median size and text of fragments; white space does not count, all-space fragments go."""
-    solid = tx.strip("c") != ""
+    solid = ~tx.is_space(F.col("c"))
     return glyphs.groupBy(*FRAG).agg(
         *[F.min(F.when(solid, F.col(c))).alias(c) for c in ("x0", "y0")], *[F.max(F.when(solid, F.col(c))).alias(c) for c in ("x1", "y1")],
         F.median(F.when(solid, F.col("size"))).alias("size"), F.count_if(solid).alias("glyphs")).where("glyphs > 0")
@@ -146,37 +146,42 @@ def split_far(frags: DataFrame, line: list[str], conventions: Conventions = KORE
 def build_lines(glyphs: DataFrame, line: list[str]) -> DataFrame:
     """Text lines out of placed glyphs, with word spaces put back by the gaps between them.
 
-    `glyphs` has line keys + (gno, c, x0, x1, y0, y1, size, icon). All rules look at the solid glyph before, so this is one
-    window per printed line.
+    `glyphs` has line keys + (gno, c, x0, x1, y0, y1, size, icon). The glyphs of one printed line become one short array,
+    built on the map side already, so whole lines are shuffled instead of single glyphs; the rules then look at each solid
+    glyph and the one before it.
     """
-    order = Window.partitionBy(*line).orderBy("x0", "gno")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*line)
-    solid = tx.strip("c") != ""
-    before = F.last(F.when(F.col("__solid"), F.struct("x1", "size", "icon")), ignorenulls=True).over(earlier)
-    rows = glyphs.withColumn("__solid", solid).withColumn("__p", before)
-    rows = rows.withColumns({"gap": F.col("x0") - F.col("__p.x1"), "__digit": tx.rx(F.col("c"), r"^\p{Nd}$")})
-    rows = rows.withColumns({
-        "__n": F.count_if("__solid").over(whole), "__words": F.count_if(F.col("__solid") & (F.col("gap") > F.col("__p.size"))).over(whole) + 1,
-        "__digits": F.min(F.when(F.col("__solid"), F.col("__digit"))).over(whole)})
-    cap = F.when((F.col("__n") <= 10) & (F.col("__words") <= 3) & ~F.col("__digits"), 12).otherwise(4)
-    icon = F.col("icon") | F.col("__p.icon")
-    big, small = F.greatest("size", "__p.size"), F.least("size", "__p.size")
-    space = (F.col("gap") > 0.25 * big * F.when(icon, 0.9).otherwise(1.0)) | ((big > 1.2 * small) & ~icon & (F.col("gap") > 0.8))
-    wide = (F.col("gap") > 3.0 * F.col("size")) & ~F.col("c").isin(*CIRCLED) & ~F.col("icon")
-    ems = F.when(wide, F.least(cap, F.greatest(F.lit(1), F.rint(F.col("gap") / F.col("size")).cast("int") - 2))).otherwise(0)
-    piece = F.when(F.coalesce(space, F.lit(False)), F.concat(F.repeat(F.lit(EM_SPACE), ems), F.lit(" "), "c")).otherwise(F.col("c"))
-
-    def of_solid(column: str) -> Column:
-        return F.when(F.col("__solid"), F.col(column))
-
-    drawn = F.array_sort(F.collect_list(F.when(F.col("__solid"), F.struct("x0", "gno", piece.alias("piece")))))
-    return rows.groupBy(*line).agg(
-        F.array_join(F.transform(drawn, lambda r: r["piece"]), "").alias("text"), F.min(of_solid("x0")).alias("x0"), F.min(of_solid("y0")).alias("y0"),
-        F.max(of_solid("x1")).alias("x1"), F.max(of_solid("y1")).alias("y1"), F.median(of_solid("size")).alias("size"),
-        F.min_by("size", F.when(F.col("__solid"), F.struct("x0", "gno"))).alias("lead_size"),
-        F.coalesce(F.max(F.when(~F.col("__solid"), F.col("x0"))) > F.max(of_solid("x0")), F.lit(False)).alias("trailing_space"), F.first("__n").alias("__n"),
-    ).where("__n > 0").drop("__n")
+    item = F.struct("x0", "gno", "c", "x1", "y0", "y1", "size", "icon")
+    rows = glyphs.groupBy(*line).agg(F.array_sort(F.collect_list(item)).alias("__all"))
+    rows = rows.withColumn("__g", F.filter("__all", lambda g: ~tx.is_space(g["c"]))).where(F.size("__g") > 0)
+
+    def beside(g: Column, i: Column) -> Column:
+        before = F.get("__g", i - 1)
+        return F.struct(g["c"].alias("c"), g["size"].alias("size"), g["icon"].alias("icon"), before["size"].alias("p_size"),
+                        (g["icon"] | before["icon"]).alias("any_icon"), (g["x0"] - before["x1"]).alias("gap"))
+
+    rows = rows.withColumn("__s", F.transform("__g", beside))
+    words = F.size(F.filter("__s", lambda s: F.coalesce(s["gap"] > s["p_size"], F.lit(False)))) + 1
+    digits = F.forall("__g", lambda g: tx.rx(g["c"], r"^\p{Nd}$"))
+    rows = rows.withColumn("__cap", F.when((F.size("__g") <= 10) & (words <= 3) & ~digits, 12).otherwise(4))
+
+    def piece(s: Column) -> Column:
+        big, small = F.greatest(s["size"], s["p_size"]), F.least(s["size"], s["p_size"])
+        space = (s["gap"] > 0.25 * big * F.when(s["any_icon"], 0.9).otherwise(1.0)) | ((big > 1.2 * small) & ~s["any_icon"] & (s["gap"] > 0.8))
+        wide = (s["gap"] > 3.0 * s["size"]) & ~s["c"].isin(*CIRCLED) & ~s["icon"]
+        ems = F.when(wide, F.least("__cap", F.greatest(F.lit(1), F.rint(s["gap"] / s["size"]).cast("int") - 2))).otherwise(0)
+        return F.when(F.coalesce(space, F.lit(False)), F.concat(F.repeat(F.lit(EM_SPACE), ems), F.lit(" "), s["c"])).otherwise(s["c"])
+
+    def each(name: str) -> Column:
+        return F.transform("__g", lambda g: g[name])
+
+    sizes, n = F.sort_array(each("size")), F.size("__g")
+    last = F.array_max(each("x0"))
+    return rows.select(
+        *line, F.array_join(F.transform("__s", piece), "").alias("text"), F.array_min(each("x0")).alias("x0"), F.array_min(each("y0")).alias("y0"),
+        F.array_max(each("x1")).alias("x1"), F.array_max(each("y1")).alias("y1"),
+        ((F.element_at(sizes, F.floor((n + 1) / 2).cast("int")) + F.element_at(sizes, F.floor((n + 2) / 2).cast("int"))) / 2).alias("size"),
+        F.element_at("__g", 1)["size"].alias("lead_size"),
+        F.exists("__all", lambda g: tx.is_space(g["c"]) & (g["x0"] > last)).alias("trailing_space"))
 
 
 def col_bounds(lines: DataFrame) -> DataFrame:
