@@ -41,8 +41,9 @@ def layout_rows(spark: SparkSession, folder: str) -> DataFrame:
                          F.size("rows").cast("long").alias("n"))
     first = scan.running(sizes, ["doc_id"], ["chunk"], ["line_no"], sums={"upto": F.col("n")}).select(
         "doc_id", "line_no", (F.col("upto") - F.col("n")).alias("first_row"))
+    # the texts are spread by line before they grow into rows and glyphs; the join needs this distribution anyway
     rows = (
-        lines.join(first, ["doc_id", "line_no"])
+        lines.repartition("doc_id", "line_no").join(first, ["doc_id", "line_no"])
         .select("doc_id", "line_no", "source", "lang", "first_row", F.posexplode("rows").alias("wrap", "text"))
         .withColumn("row_no", (F.col("first_row") + F.col("wrap")).cast("int"))
         .where(F.length(F.trim("text")) > 0)
