@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import licenses
-from quireflow.llm.common import table
+from quireflow.llm import hyperdimensional, impact_search, licenses, toxicity
+from quireflow.llm.common import held_out, table
 from quireflow.llm.digest_index import DigestIndex
 from quireflow.session import ensure_checkpoint_dir
 
@@ -22,6 +22,42 @@ def register(run):
     return run
 
 
+@register
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned from the labelled documents that are not held out."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(documents, labels.where(~held_out("doc_id")))
+    scored = toxicity.score(documents, model, {"doc_id": F.col("doc_id"), "held_out": held_out("doc_id")})
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from the documents that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    prototypes = hyperdimensional.fit_prototypes(documents.where(~held_out("doc_id")))
+    return hyperdimensional.predict(documents, prototypes, {"doc_id": F.col("doc_id"), "held_out": held_out("doc_id")})
+
+
+@register
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products of every hundredth vector with all others."""
+    return impact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+SQL["op4_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS parts FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.parts, c.parts)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored)
+WHERE rank <= 10
+"""
+
+
 @register
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents through an index of their own, which starts empty."""
