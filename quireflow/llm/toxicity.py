@@ -1,7 +1,7 @@
 """Toxicity scores: logistic regression over hashed word n-grams and skip-grams, learned by FTRL-proximal.
 
-A text's features are its words, pairs of neighbours and pairs with one word between, each hashed to one of 2**BITS
-places and counted once. Learning runs in shards of bounded size over a bounded sample of the labelled rows; each shard
+A text's features are its words and their stems, pairs of neighbours and pairs with one word between, each hashed to one
+of 2**BITS places and counted once. Learning runs in shards of bounded size over a bounded sample of the labelled rows; each shard
 runs FTRL-proximal (a learning rate for each coordinate, L1 and L2), and the model is the mean of the shards' weights.
 L1 leaves few weights other than zero, so the model is small enough to go to every task.
 """
@@ -21,6 +21,7 @@ from quireflow.session import settle
 BITS = 22
 SHARD_ROWS = 8192
 MAX_TRAIN_ROWS = 65536
+STEMS = (4, 5, 6, 7)
 
 _WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +46,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Position of the text, and place, of each feature, repeats included.
 
-    A word is a run of lower-cased ASCII letters and digits and of characters outside ASCII.
+    A word is a run of lower-cased ASCII letters and digits and of characters outside ASCII. Its first 4 to 7 bytes
+    stand for its stem, so that inflected forms not seen in training still count.
     """
     parts = [t.lower().encode("utf-8", "replace") + b" " for t in texts]
     raw = np.frombuffer(b"".join(parts), np.uint8)
@@ -59,8 +61,14 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     near, skip = doc[:-1] == doc[1:], doc[:-2] == doc[2:]
     pair = _mixed(word[:-1] * np.uint64(3) + word[1:] * np.uint64(5))[near]
     gap = _mixed(word[:-2] * np.uint64(7) + word[2:] * np.uint64(11))[skip]
-    place = np.concatenate((word, pair, gap)) >> np.uint64(64 - BITS)
-    return np.concatenate((doc, doc[:-1][near], doc[:-2][skip])), place.astype(np.int64)
+    docs, hashes = [doc, doc[:-1][near], doc[:-2][skip]], [word, pair, gap]
+    back = _power(_P_INV, "down", len(raw) + 1)
+    for length in STEMS:
+        long = b - a > length
+        head = a[long]
+        docs.append(doc[long])
+        hashes.append(_mixed((prefix[head + length] - prefix[head]) * back[head] * np.uint64(13) + np.uint64(length)))
+    return np.concatenate(docs), (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 @dataclass
