@@ -108,7 +108,7 @@ def _ftrl(texts: list[np.ndarray], labels: np.ndarray, rounds: int, alpha: float
 
 
 def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_train_rows: int = MAX_TRAIN_ROWS,
-        shard_rows: int = SHARD_ROWS, rounds: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0) -> Model:
+        shard_rows: int = SHARD_ROWS, rounds: int = 6, alpha: float = 0.5, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0) -> Model:
     """Learns from the texts of `rows` that `labels` marks 0 or 1; a label of null, or another number, is left out.
 
     About max_train_rows labelled keys are used, those of the smallest hashes; all of them if there are fewer. Of several
