@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import hyperdimensional, impact_search, licenses, toxicity
+from quireflow.llm import hyperdimensional, impact_search, licenses, packing, text_density, toxicity
 from quireflow.llm.common import held_out, table
 from quireflow.llm.digest_index import DigestIndex
 from quireflow.session import ensure_checkpoint_dir
 
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -58,6 +60,25 @@ WHERE rank <= 10
 """
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the installed vocabulary file is, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return text_density.extract(table(spark, sf_dir, "pages"), {"page_id": F.col("page_id"), "url": F.col("url")})
+
+
 @register
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents through an index of their own, which starts empty."""
