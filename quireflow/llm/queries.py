@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import hyperdimensional, impact_search, licenses, packing, text_density, toxicity
+from quireflow.llm import hyperdimensional, impact_search, licenses, packing, simhash, text_density, toxicity
 from quireflow.llm.common import held_out, table
 from quireflow.llm.digest_index import DigestIndex
 from quireflow.session import ensure_checkpoint_dir
@@ -60,6 +60,13 @@ WHERE rank <= 10
 """
 
 
+@register
+def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose fingerprints of four-word shingles are linked by four or fewer differing bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, bits=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     """Where the installed vocabulary file is, the same on every machine."""
     import public_tokenizers
