@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import hyperdimensional, impact_search, licenses, packing, simhash, text_density, toxicity
+from quireflow.llm import hyperdimensional, impact_search, licenses, mixing, packing, simhash, text_density, toxicity
 from quireflow.llm.common import held_out, table
 from quireflow.llm.digest_index import DigestIndex
 from quireflow.session import ensure_checkpoint_dir
@@ -24,6 +24,22 @@ def register(run):
     return run
 
 
+# Domains are what the labels say of a document; the weights are shares of all tokens.
+MIX_WEIGHTS = {"good": 0.9, "poor": 0.07, "toxic": 0.03}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return table(spark, sf_dir, "labels").select("doc_id", kind.alias("domain"))
+
+
+@register
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of every document, with its tokens and its posterior for each domain of the labels."""
+    found = mixing.mix(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), MIX_WEIGHTS)
+    return found.select("doc_id", "tokens", "rate", *[F.coalesce(F.col("posteriors")[d], F.lit(0.0)).alias(f"p_{d}") for d in MIX_WEIGHTS])
+
+
 @register
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; learned from the labelled documents that are not held out."""
