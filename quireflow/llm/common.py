@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,6 +26,7 @@ def held_out(key: str) -> Column:
 def in_arrow(rows: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """Runs work over the record batches of each partition, as dictionaries of Arrow columns in and of lists or arrays out."""
     names = rows.columns
+    target = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def columns() -> Iterator[dict]:
@@ -31,8 +35,8 @@ def in_arrow(rows: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]],
                     yield {name: batch.column(k) for k, name in enumerate(names)}
 
         for out in work(columns()):
-            arrays = {k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in out.items()}
-            yield from pa.table(arrays).combine_chunks().to_batches()
+            arrays = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], None if isinstance(out[f.name], np.ndarray) else f.type) for f in target]
+            yield from pa.table(arrays, names=target.names).cast(target).to_batches()
 
     return rows.mapInArrow(run, schema)
 

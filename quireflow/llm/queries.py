@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import hyperdimensional, impact_search, licenses, mixing, packing, simhash, text_density, toxicity
+from quireflow.llm import chaining, hyperdimensional, impact_search, licenses, mixing, packing, simhash, text_density, toxicity
 from quireflow.llm.common import held_out, table
 from quireflow.llm.digest_index import DigestIndex
 from quireflow.session import ensure_checkpoint_dir
@@ -76,6 +76,12 @@ WHERE rank <= 10
 """
 
 
+@register
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that two documents share, at least 0.8 alike."""
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose fingerprints of four-word shingles are linked by four or fewer differing bits."""
