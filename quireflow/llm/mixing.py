@@ -116,24 +116,32 @@ def fit_domains(rows: DataFrame, labelled: DataFrame, key: str = "doc_id", text:
     return DomainModel(domains, tuple(lexicons), tuple(float(np.log(sizes[d] / total)) for d in domains), tables)
 
 
-def _dot(posteriors: Column, step: tuple[float, ...]) -> Column:
-    return reduce(lambda a, b: a + b, [posteriors[k] * F.lit(x) for k, x in enumerate(step)])
+def _path(posteriors: Column, steps: list[tuple[float, ...]]) -> Column:
+    """A document's rate and the point the next gradient is taken at, after the given steps: (step by domain..., momentum)."""
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("point"))
+    if not steps:
+        return start
+    last = len(steps[0]) - 1
+
+    def go(state: Column, step: Column) -> Column:
+        new = F.greatest(F.lit(0.0), state["point"] - reduce(lambda a, b: a + b, [posteriors[k] * step[k] for k in range(last)]))
+        return F.struct(new.alias("rate"), (new + step[last] * (new - state["rate"])).alias("point"))
+
+    return F.aggregate(F.array(*[F.array(*map(F.lit, step)) for step in steps]), start, go)
 
 
 def rate(posteriors: Column, steps: list[tuple[float, ...]]) -> Column:
     """A document's rate after the given steps, each projected to what is not negative; 1 before the first."""
-    if not steps:
-        return F.lit(1.0)
-    path = F.array(*[F.array(*map(F.lit, step)) for step in steps])
-    return F.aggregate(path, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - reduce(lambda a, b: a + b, [posteriors[k] * s[k] for k in range(len(steps[0]))])))
+    return _path(posteriors, steps)["rate"]
 
 
-def fit_rates(weighted: DataFrame, targets: list[float], tokens: str = "__tokens", posteriors: str = "__posteriors", rounds: int = 40, close: float = 1e-4) -> list[tuple[float, ...]]:
+def fit_rates(weighted: DataFrame, targets: list[float], tokens: str = "__tokens", posteriors: str = "__posteriors", rounds: int = 60, close: float = 1e-4) -> list[tuple[float, ...]]:
     """Steps of the projected gradient descent that bring the expected tokens of the domains to their targets.
 
     The residuals are weighted by the inverse of the sum of tokens x posterior x posterior', and a document's gradient
-    by one over its tokens, in which measure the gradient's Lipschitz constant is 1. It ends when no total is off by
-    more than `close` of all tokens, or after `rounds`, which leaves the least squares of targets that cannot be met.
+    by one over its tokens, in which measure the gradient's Lipschitz constant is 1. Momentum speeds it up and starts
+    anew when the residual grows. It ends when no total is off by more than `close` of all tokens, or after `rounds`,
+    which leaves nearly the least squares of targets that cannot be met.
     """
     k = len(targets)
     t, p = F.col(tokens).cast("double"), F.col(posteriors)
@@ -146,12 +154,19 @@ def fit_rates(weighted: DataFrame, targets: list[float], tokens: str = "__tokens
         gram[a, b] = gram[b, a] = sums[f"m{a}_{b}"]
     weights = np.linalg.inv(gram + np.eye(k) * 1e-9 * sums["all"])
     steps: list[tuple[float, ...]] = []
+    speed, cost = 1.0, float("inf")
     for _ in range(rounds):
-        got = weighted.select(tokens, posteriors, rate(p, steps).alias("__rate")).agg(*[F.sum(F.col("__rate") * t * p[a]).alias(f"g{a}") for a in range(k)]).first()
-        off = np.array([got[f"g{a}"] for a in range(k)]) - np.array(targets)
+        at = weighted.select(tokens, posteriors, _path(p, steps).alias("__at"))
+        got = at.agg(*[F.sum(F.col(f"__at.{what}") * t * p[a]).alias(f"{what}{a}") for a in range(k) for what in ("rate", "point")]).first()
+        off, ahead = (np.array([got[f"{what}{a}"] for a in range(k)]) - np.array(targets) for what in ("rate", "point"))
         if np.abs(off).max() <= close * sums["all"]:
             break
-        steps.append(tuple((weights @ off).tolist()))
+        if off @ weights @ off > cost:
+            speed = 1.0
+        cost = off @ weights @ off
+        faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
+        steps.append((*(weights @ ahead).tolist(), (speed - 1) / faster))
+        speed = faster
     return steps
 
 
