@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 from quireflow.session import settle
 
 
-def components(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], node: str = "node", out: str = "component",
-               max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], node: str = "node", out: str = "component") -> DataFrame:
     """Labels each node with the smallest node of its connected component.
 
     `edges` has columns scope + (a, b). Each round takes the smallest label among a node and its neighbours and then
-    jumps to the label's own label, so long chains close in a logarithmic number of rounds. Both steps aggregate with
-    min before the shuffle, so a node with very many neighbours costs its tasks one row each.
+    jumps to the label's own label, so long chains close in a logarithmic number of rounds; labels only fall, so the rounds
+    end. Both steps aggregate with min before the shuffle, so a node with very many neighbours costs its tasks one row each.
     """
     scope = list(scope)
     both = settle(
@@ -27,7 +26,7 @@ def components(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], node: s
             F.struct(F.col("a").alias(node), F.col("b").alias("__to")), F.struct(F.col("b").alias(node), F.col("a").alias("__to")))).alias("e"))
         .select(*scope, "e.*").distinct())
     labels = settle(nodes.select(*scope, node).distinct().withColumn(out, F.col(node)))
-    for _ in range(max_rounds):
+    while True:
         offered = (
             both.join(labels.withColumnRenamed(node, "__to"), [*scope, "__to"])
             .groupBy(*scope, node).agg(F.min(out).alias("__offer"))
@@ -40,19 +39,18 @@ def components(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], node: s
         labels = jumped.select(*scope, node, out)
         if jumped.where("__moved").limit(1).count() == 0:
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
-def follow_chain(pointers: DataFrame, starts: DataFrame, scope: Sequence[str], max_rounds: int = 40) -> DataFrame:
+def follow_chain(pointers: DataFrame, starts: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Nodes reached from each start along next-pointers, by pointer doubling.
 
     `pointers` has scope + (node, nxt), `starts` has scope + (node). The jump length doubles each round, so a chain of
-    n nodes takes log2(n) rounds whatever its document holds.
+    n nodes takes log2(n) rounds whatever its document holds. Pointers must not lead back.
     """
     scope = list(scope)
     reached = settle(starts.select(*scope, "node"))
     jump = settle(pointers.where("nxt is not null").select(*scope, "node", "nxt"))
-    for _ in range(max_rounds):
+    while True:
         # a jump leads past all nodes reached so far, so nothing is reached twice
         grown = settle(reached.unionByName(reached.join(jump, [*scope, "node"]).select(*scope, F.col("nxt").alias("node"))))
         further = jump.withColumnsRenamed({"node": "__from", "nxt": "node"})
@@ -60,4 +58,3 @@ def follow_chain(pointers: DataFrame, starts: DataFrame, scope: Sequence[str], m
         reached = grown
         if jump.limit(1).count() == 0:
             return reached
-    raise RuntimeError("a chain is longer than 2**max_rounds")

@@ -54,18 +54,18 @@ def worst(report: DataFrame) -> DataFrame:
     return report.agg(F.coalesce(F.max(level), F.lit(0)).alias("worst"))
 
 
-def usage_csv(usage: DataFrame, user: str | None = None) -> DataFrame:
-    """Rows of the log export: local time, empty for nothing, detail as 'k=v k=v', the newest 5000."""
+def usage_csv(usage: DataFrame, user: str | None = None, limit: int | None = None) -> DataFrame:
+    """Rows of the log export: local time, empty for nothing, detail as 'k=v k=v'; the newest `limit`, or all."""
     blank = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0)).cast("string"), F.lit(""))
     pairs = F.transform(F.map_entries(F.coalesce("detail", F.create_map().cast("map<string,string>"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return recent(usage, 5000, user).select(
+    return recent(usage, limit, user).select(
         "id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), "user", "label", blank("files").alias("files"), blank("pages").alias("pages"),
         blank("questions").alias("questions"), "status", blank("seconds").alias("seconds"), F.array_join(pairs, " ").alias("detail"))
 
 
-def write_usage_csv(usage: DataFrame, path: str, user: str | None = None) -> None:
-    """Writes the log export (at most 5000 rows, so one file) with header; the first header cell carries the byte order mark."""
-    rows = usage_csv(usage, user).drop("id").coalesce(1)
+def write_usage_csv(usage: DataFrame, path: str, user: str | None = None, limit: int = 5000) -> None:
+    """Writes the newest `limit` rows of the log with header, as one file; the first header cell carries the byte order mark."""
+    rows = usage_csv(usage, user, limit).drop("id").coalesce(1)
     rows.withColumnRenamed("time", "﻿time").write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 

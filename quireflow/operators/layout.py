@@ -109,7 +109,8 @@ def group_lines(frags: DataFrame, area: list[str]) -> DataFrame:
             F.concat(state["heads"], F.array(F.struct(F.size(state["heads"]).alias("no"), f["y0"].alias("y0"), f["y1"].alias("y1")))))
         return F.struct(heads.alias("heads"), F.concat(state["out"], F.array(F.struct(f["fid"].alias("fid"), line.alias("no")))).alias("out"))
 
-    begin = F.struct(F.array().cast("array<struct<no:int,y0:double,y1:double>>").alias("heads"), F.array().cast("array<struct<fid:int,no:int>>").alias("out"))
+    kind = frags.schema["fid"].dataType.simpleString()
+    begin = F.struct(F.array().cast("array<struct<no:int,y0:double,y1:double>>").alias("heads"), F.array().cast(f"array<struct<fid:{kind},no:int>>").alias("out"))
     single = F.array(F.struct(F.element_at("f", 1)["fid"].alias("fid"), F.lit(0).alias("no")))
     lines = bands.select(*area, "__band", F.inline(F.when(F.size("f") == 1, single).otherwise(F.aggregate("f", begin, advance)["out"])))
     numbered = lines.withColumn("line", F.dense_rank().over(Window.partitionBy(*area).orderBy("__band", "no")))
@@ -144,19 +145,21 @@ def split_far(frags: DataFrame, line: list[str], conventions: Conventions = KORE
 
 
 def build_lines(glyphs: DataFrame, line: list[str]) -> DataFrame:
-    """Text lines out of placed glyphs, with word spaces put back by the gaps between them.
+    """Text lines out of placed glyphs, with the word spaces that are drawn and those that only the gaps show.
 
-    `glyphs` has line keys + (gno, c, x0, x1, y0, y1, size, icon). The glyphs of one printed line become one short array,
+    `glyphs` has line keys + (gno, c, x0, x1, y0, y1, size, icon). Drawn spaces, however many, are one space. Icons do not
+    count for the sizes, unless there is nothing else. The glyphs of one printed line become one short array,
     built on the map side already, so whole lines are shuffled instead of single glyphs; the rules then look at each solid
     glyph and the one before it.
     """
     item = F.struct("x0", "gno", "c", "x1", "y0", "y1", "size", "icon")
     rows = glyphs.groupBy(*line).agg(F.array_sort(F.collect_list(item)).alias("__all"))
-    rows = rows.withColumn("__g", F.filter("__all", lambda g: ~tx.is_space(g["c"]))).where(F.size("__g") > 0)
+    spaced = F.transform("__all", lambda g, i: g.withField("drawn", F.coalesce(tx.is_space(F.get("__all", i - 1)["c"]), F.lit(False))))
+    rows = rows.withColumn("__g", F.filter(spaced, lambda g: ~tx.is_space(g["c"]))).where(F.size("__g") > 0)
 
     def beside(g: Column, i: Column) -> Column:
         before = F.get("__g", i - 1)
-        return F.struct(g["c"].alias("c"), g["size"].alias("size"), g["icon"].alias("icon"), before["size"].alias("p_size"),
+        return F.struct(g["c"].alias("c"), g["size"].alias("size"), g["icon"].alias("icon"), before["size"].alias("p_size"), (g["drawn"] & (i > 0)).alias("drawn"),
                         (g["icon"] | before["icon"]).alias("any_icon"), (g["x0"] - before["x1"]).alias("gap"))
 
     rows = rows.withColumn("__s", F.transform("__g", beside))
@@ -166,7 +169,7 @@ def build_lines(glyphs: DataFrame, line: list[str]) -> DataFrame:
 
     def piece(s: Column) -> Column:
         big, small = F.greatest(s["size"], s["p_size"]), F.least(s["size"], s["p_size"])
-        space = (s["gap"] > 0.25 * big * F.when(s["any_icon"], 0.9).otherwise(1.0)) | ((big > 1.2 * small) & ~s["any_icon"] & (s["gap"] > 0.8))
+        space = s["drawn"] | (s["gap"] > 0.25 * big * F.when(s["any_icon"], 0.9).otherwise(1.0)) | ((big > 1.2 * small) & ~s["any_icon"] & (s["gap"] > 0.8))
         wide = (s["gap"] > 3.0 * s["size"]) & ~s["c"].isin(*CIRCLED) & ~s["icon"]
         ems = F.when(wide, F.least("__cap", F.greatest(F.lit(1), F.rint(s["gap"] / s["size"]).cast("int") - 2))).otherwise(0)
         return F.when(F.coalesce(space, F.lit(False)), F.concat(F.repeat(F.lit(EM_SPACE), ems), F.lit(" "), s["c"])).otherwise(s["c"])
@@ -174,13 +177,16 @@ def build_lines(glyphs: DataFrame, line: list[str]) -> DataFrame:
     def each(name: str) -> Column:
         return F.transform("__g", lambda g: g[name])
 
-    sizes, n = F.sort_array(each("size")), F.size("__g")
+    letters = F.filter("__g", lambda g: ~g["icon"])
+    letters = F.when(F.size(letters) > 0, letters).otherwise(F.col("__g"))
+    rows = rows.withColumn("__letters", letters)
+    sizes, n = F.sort_array(F.transform("__letters", lambda g: g["size"])), F.size("__letters")
     last = F.array_max(each("x0"))
     return rows.select(
         *line, F.array_join(F.transform("__s", piece), "").alias("text"), F.array_min(each("x0")).alias("x0"), F.array_min(each("y0")).alias("y0"),
         F.array_max(each("x1")).alias("x1"), F.array_max(each("y1")).alias("y1"),
         ((F.element_at(sizes, F.floor((n + 1) / 2).cast("int")) + F.element_at(sizes, F.floor((n + 2) / 2).cast("int"))) / 2).alias("size"),
-        F.element_at("__g", 1)["size"].alias("lead_size"),
+        F.element_at("__letters", 1)["size"].alias("lead_size"),
         F.exists("__all", lambda g: tx.is_space(g["c"]) & (g["x0"] > last)).alias("trailing_space"))
 
 

@@ -14,7 +14,6 @@ EVENT_LABELS = {
 }
 KIND_LABELS = {"convert": "변환", "merge": "통합본", "upload": "올리기"}
 SAMPLE_ID = r"^\d{8}-\d{6}-[0-9a-f]{6}$"
-MAX_RECENT = 5000
 
 
 def _mapped(column: str, mapping: dict[str, str]) -> Column:
@@ -95,11 +94,10 @@ def usage_calendar(usage: DataFrame, until: str, days: int) -> DataFrame:
         "date", F.coalesce("n", F.lit(0)).cast("long").alias("conversions")).orderBy("date")
 
 
-def recent(usage: DataFrame, limit: int = 200, user: str | None = None) -> DataFrame:
-    """Newest rows first, the limit held in 1..5000, with a label for each event."""
-    rows = _window(usage, None, user)
-    return (rows.orderBy(F.desc("ts"), F.desc("id")).limit(max(1, min(int(limit), MAX_RECENT)))
-            .withColumn("label", _mapped("event", EVENT_LABELS)))
+def recent(usage: DataFrame, limit: int | None = 200, user: str | None = None) -> DataFrame:
+    """Newest rows first, with a label for each event: `limit` of them, at least one, or all for None."""
+    rows = _window(usage, None, user).orderBy(F.desc("ts"), F.desc("id"))
+    return (rows if limit is None else rows.limit(max(1, int(limit)))).withColumn("label", _mapped("event", EVENT_LABELS))
 
 
 def prune_usage(usage: DataFrame, now: str, keep_days: float = 365) -> DataFrame:

@@ -85,7 +85,7 @@ def _(spark, folder):
 
 @query("usage_csv", "A6", """
 SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, "user", CASE event WHEN 'join' THEN '초대 링크 접속' WHEN 'upload' THEN 'PDF 올리기' WHEN 'convert' THEN '변환' WHEN 'download' THEN '내려받기' ELSE '오류' END AS label,
-       '1' AS files, coalesce(CAST(nullif(pages, 0) AS VARCHAR), '') AS pages, coalesce(CAST(nullif(questions, 0) AS VARCHAR), '') AS questions, status, 'k=' || pages AS detail FROM usage ORDER BY usage.ts DESC, id DESC LIMIT 5000""", ("usage",))
+       '1' AS files, coalesce(CAST(nullif(pages, 0) AS VARCHAR), '') AS pages, coalesce(CAST(nullif(questions, 0) AS VARCHAR), '') AS questions, status, 'k=' || pages AS detail FROM usage ORDER BY usage.ts DESC, id DESC""", ("usage",))
 def _(spark, folder):
     return ops.usage_csv(corpus.usage(spark, folder)).drop("seconds")
 

@@ -105,6 +105,19 @@ def _(spark, folder):
     return ops.build_lines(g, ["doc_id", "ord"]).select("doc_id", "ord", "text")
 
 
+@query("drawn_spaces_kept", "C15", """
+SELECT doc_id, ord, 'a' || CASE WHEN l_quantity > 30 THEN repeat(chr(8195), CAST(least(12, greatest(1, round_even(l_quantity / 10, 0) - 2)) AS INTEGER)) ELSE '' END || ' b' AS text,
+       CAST(10 AS DOUBLE) AS size, CAST(10 AS DOUBLE) AS lead_size FROM numbers""", ("numbers",))
+def _(spark, folder):
+    # spaces drawn over gaps of all widths, one or two of them
+    n = corpus.numbers(spark, folder).select("doc_id", "ord", "l_quantity", F.posexplode(F.array(*map(F.lit, ["", "a", " ", " ", "b"]))).alias("gno", "c"))
+    n = n.where((F.col("gno") != 3) | (F.col("ord") % 2 == 0)).where("gno > 0")
+    x0 = F.when(F.col("gno") == 1, 0.0).when(F.col("gno") == 4, 5.0 + F.col("l_quantity")).otherwise(5.0 + F.col("gno") / 10)
+    g = n.select("doc_id", "ord", "gno", "c", x0.alias("x0"), (x0 + F.when(F.col("c") == " ", 0.1).otherwise(5.0)).alias("x1"), F.lit(0.0).alias("y0"), F.lit(10.0).alias("y1"),
+                 F.lit(10.0).alias("size"), F.lit(False).alias("icon"))
+    return ops.build_lines(g, ["doc_id", "ord"]).select("doc_id", "ord", "text", "size", "lead_size")
+
+
 BOUNDS = """
 SELECT doc_id, page, col, min(x0) AS left, list_sort(list(x1))[CAST(floor(0.9 * (count(*) - 1)) AS INTEGER) + 1] AS right
 FROM text_lines WHERE length(replace(text, ' ', '')) >= 12 GROUP BY doc_id, page, col"""

@@ -81,9 +81,9 @@ def _(spark, folder):
 SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event, "user", pages, status,
        CASE event WHEN 'join' THEN '초대 링크 접속' WHEN 'upload' THEN 'PDF 올리기' WHEN 'convert' THEN '변환'
             WHEN 'download' THEN '내려받기' WHEN 'error' THEN '오류' ELSE event END AS label
-FROM usage ORDER BY usage.ts DESC, id DESC LIMIT 5000""", ("usage",))
+FROM usage ORDER BY usage.ts DESC, id DESC""", ("usage",))
 def _(spark, folder):
-    out = ops.recent(corpus.usage(spark, folder), 9000)
+    out = ops.recent(corpus.usage(spark, folder), None)
     return out.select("id", _ts(), "event", "user", "pages", "status", "label")
 
 

@@ -55,6 +55,12 @@ def key_violations(primitives: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Asks the file system the path names, whatever it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
 def list_sources(spark: SparkSession, paths: list[str], pattern: str = "*.pdf") -> DataFrame:
     """Input files in order: a file stays as it is, a folder becomes its matching files sorted by path.
 
@@ -63,7 +69,7 @@ def list_sources(spark: SparkSession, paths: list[str], pattern: str = "*.pdf")
     parts = []
     for i, path in enumerate(paths):
         reader = spark.read.format("binaryFile")
-        if os.path.isdir(path):
+        if _is_folder(spark, path):
             reader = reader.option("pathGlobFilter", pattern)
         parts.append(reader.load(path).select(F.lit(i).alias("input_ord"), "path", "length"))
     out = parts[0]
@@ -72,11 +78,20 @@ def list_sources(spark: SparkSession, paths: list[str], pattern: str = "*.pdf")
     return out
 
 
-def order_sources(files: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
-    """Position of each file inside its input, by path. A prefix of the path orders like the path, so it is the chunk."""
+def order_sources(files: DataFrame, keys: list[str], ties: list[str], width: int = 3) -> DataFrame:
+    """Position of each file inside its input, by path.
+
+    A prefix of the path orders like the path, so it is the chunk. It reaches `width` characters past what all paths of
+    the input start with, which their smallest and largest show.
+    """
     from quireflow.functions import scan
 
-    return scan.numbered(files.withColumn("prefix", F.substring("path", 1, 32)), keys, ["prefix"], ["path", *ties], "ord")
+    ends = files.groupBy(*keys).agg(F.min("path").alias("__low"), F.max("path").alias("__high"))
+    place = F.sequence(F.lit(1), F.least(F.length("__low"), F.length("__high")) + 1)
+    shared = F.get(F.filter(place, lambda k: F.substring("__low", F.lit(1), k) != F.substring("__high", F.lit(1), k)), 0)
+    ends = ends.select(*keys, (F.coalesce(shared, F.length("__low")) + width).alias("__reach"))
+    reached = files.join(ends, keys).withColumn("prefix", F.expr("substring(path, 1, __reach)")).drop("__reach")
+    return scan.numbered(reached, keys, ["prefix"], ["path", *ties], "ord")
 
 
 def list_presets(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from quireflow.operators import layout, merge, quality, shapes, structure, usage
 
 
-def test_group_lines_matches_greedy_rule(spark):
+def overlap(a, b):
+    """Share of the lower one's height at which two fragments (.., y0, x1, y1) overlap."""
+    return (min(a[5], b[5]) - max(a[3], b[3])) / min(a[5] - a[3], b[5] - b[3])
+
+
+def test_lines_have_the_properties_of_lines(spark):
     rng = random.Random(3)
     frags = []
     for doc in range(40):
@@ -16,47 +21,72 @@ def test_group_lines_matches_greedy_rule(spark):
             frags.append((doc, fid, float(rng.randint(0, 200)), y0, 0.0, y0 + rng.choice([6.0, 10.0, 18.0])))
     df = spark.createDataFrame(frags, "doc int, fid int, x0 double, y0 double, x1 double, y1 double")
     got = {(r.doc, r.fid): r.line for r in layout.group_lines(df, ["doc"]).collect()}
+    assert len(got) == len(frags)
     for doc in range(40):
-        groups: list[list] = []
-        for f in sorted((f for f in frags if f[0] == doc), key=lambda f: ((f[3] + f[5]) / 2, f[2], f[1])):
-            for g in reversed(groups[-4:]):
-                if min(g[0][5], f[5]) - max(g[0][3], f[3]) >= 0.5 * min(f[5] - f[3], g[0][5] - g[0][3]):
-                    g.append(f)
-                    break
-            else:
-                groups.append([f])
-        for g in groups:
-            assert len({got[doc, f[1]] for f in g}) == 1
-        assert len({got[doc, f[1]] for g in groups for f in g}) == len(groups)
-
-
-def test_spans_grow_like_the_loop(spark):
+        # by height of the middle; the first of a line stands for it
+        own = sorted((f for f in frags if f[0] == doc), key=lambda f: ((f[3] + f[5]) / 2, f[2], f[1]))
+        first = {}
+        for f in own:
+            first.setdefault(got[doc, f[1]], f)
+        opened = {line: own.index(f) for line, f in first.items()}
+        assert sorted(first) == list(range(1, len(first) + 1))
+        for k, f in enumerate(own):
+            line = got[doc, f[1]]
+            open_before = sorted((n for n, at in opened.items() if at < k), key=opened.get)[-4:]
+            fitting = [n for n in open_before if overlap(first[n], f) >= 0.5]
+            assert line == fitting[-1] if fitting else first[line] is f
+
+
+def test_line_ids_may_be_long(spark):
+    df = spark.createDataFrame([(1, 5_000_000_000 + k, 10.0 * k, 0.0, 10.0 * k + 9, 10.0) for k in range(3)], "doc int, fid long, x0 double, y0 double, x1 double, y1 double")
+    assert {r.fid: r.line for r in layout.group_lines(df, ["doc"]).collect()} == {5_000_000_000 + k: 1 for k in range(3)}
+
+
+def test_drawn_spaces_and_icons(spark):
+    rows = [(1, 0, "a", 0.0, 5.0, 10.0, False), (1, 1, " ", 5.0, 7.4, 10.0, False), (1, 2, "b", 7.4, 12.0, 10.0, False),
+            (2, 0, "*", 0.0, 20.0, 20.0, True), (2, 1, "a", 20.0, 25.0, 10.0, False), (2, 2, "b", 25.0, 30.0, 10.0, False), (2, 3, " ", 31.0, 32.0, 10.0, False),
+            (3, 0, " ", 0.0, 2.0, 10.0, False), (3, 1, "c", 2.0, 7.0, 10.0, False)]
+    df = spark.createDataFrame([(*r[:5], 0.0, 10.0, *r[5:]) for r in rows], "line int, gno int, c string, x0 double, x1 double, y0 double, y1 double, size double, icon boolean")
+    got = {r.line: (r.text, r.size, r.lead_size, r.trailing_space) for r in layout.build_lines(df, ["line"]).collect()}
+    assert got == {1: ("a b", 10.0, 10.0, False), 2: ("*ab", 10.0, 10.0, True), 3: ("c", 10.0, 10.0, False)}
+
+
+def test_cells_tile_the_grid(spark):
     rng = random.Random(5)
-    slots, expected = [], {}
+    slots, walls = [], {}
     for t in range(30):
         n_r, n_c = rng.randint(1, 5), rng.randint(1, 5)
-        right = {(r, c): rng.random() < 0.6 for r in range(n_r) for c in range(n_c)}
-        below = {(r, c): rng.random() < 0.6 for r in range(n_r) for c in range(n_c)}
-        slots += [(t, r, c, right[r, c], below[r, c]) for r, c in right]
-        owned, cells = set(), set()
         for r in range(n_r):
             for c in range(n_c):
-                if (r, c) in owned:
-                    continue
-                w = 1
-                while c + w < n_c and (r, c + w) not in owned and not right[r, c + w - 1]:
-                    w += 1
-                h = 1
-                while r + h < n_r and not any((r + h, k) in owned or below[r + h - 1, k] for k in range(c, c + w)):
-                    h += 1
-                owned |= {(i, k) for i in range(r, r + h) for k in range(c, c + w)}
-                cells.add((r, c, h, w))
-        expected[t] = cells
+                walls[t, r, c] = (rng.random() < 0.6, rng.random() < 0.6)
+                slots.append((t, r, c, *walls[t, r, c]))
     df = spark.createDataFrame(slots, "t int, r int, c int, right boolean, below boolean")
-    got: dict[int, set] = {}
-    for x in shapes.grow_cells(df, ["t"]).collect():
-        got.setdefault(x.t, set()).add((x.r, x.c, x.rs, x.cs))
-    assert got == expected
+    cover: dict[tuple, tuple] = {}
+    cells = [(x.t, x.r, x.c, x.rs, x.cs) for x in shapes.grow_cells(df, ["t"]).collect()]
+    for t, r, c, rs, cs in cells:
+        for spot in ((t, i, k) for i in range(r, r + rs) for k in range(c, c + cs)):
+            assert spot in walls and spot not in cover
+            cover[spot] = (r, c)
+    assert cover.keys() == walls.keys()
+
+    def earlier(t, i, k, r, c):
+        return cover[t, i, k] < (r, c)
+
+    for t, r, c, rs, cs in cells:
+        # nothing drawn between the slots of its top row, nor under any of its rows but the last
+        assert not any(walls[t, r, k][0] for k in range(c, c + cs - 1))
+        assert not any(walls[t, i, k][1] for i in range(r, r + rs - 1) for k in range(c, c + cs))
+        # as wide, then as tall, as walls, the edge and earlier cells allow
+        assert (t, r, c + cs) not in walls or walls[t, r, c + cs - 1][0] or earlier(t, r, c + cs, r, c)
+        low = r + rs
+        assert (t, low, c) not in walls or any(walls[t, low - 1, k][1] or earlier(t, low, k, r, c) for k in range(c, c + cs))
+
+
+def test_boxes_and_strokes_never_share_a_number(spark):
+    boxes = spark.createDataFrame([(1, 1, 1_000_001, 0.0, 0.0, 50.0, 50.0), (1, 1, 7, 150.0, 0.0, 200.0, 50.0), (1, 1, 8, 400.0, 400.0, 450.0, 450.0)],
+                                  "doc_id long, page int, box long, x0 double, y0 double, x1 double, y1 double")
+    strokes = spark.createDataFrame([(1, 1, 1, 50.0, 25.0, 150.0, 25.0)], "doc_id long, page int, seg long, x0 double, y0 double, x1 double, y1 double")
+    assert [(r.boxes, r.x0, r.x1) for r in shapes.linked_boxes(boxes, strokes).collect()] == [(2, -2.0, 202.0)]
 
 
 def test_chart_labels(spark):
@@ -69,6 +99,19 @@ def test_chart_labels(spark):
     assert got == {1, 2}
 
 
+def test_chart_labels_spread_and_stop(spark):
+    images = spark.createDataFrame([(1, 1, 3, 100.0, 100.0, 200.0, 200.0), (1, 1, 4, 100.0, 400.0, 200.0, 500.0), (1, 1, 5, 300.0, 400.0, 310.0, 410.0)],
+                                   "doc_id long, page int, img long, x0 double, y0 double, x1 double, y1 double")
+    texts = [(1, "A", 120, 120, 10), (2, "10", 205, 150, 10), (3, "20", 228, 150, 10),  # a chain to the right, four letters in all
+             (4, "abcde", 100, 210, 30), (5, "fghij", 135, 210, 30),  # a row of ten letters under it: running text
+             (6, "z", 215, 190, 5), (7, "a whole line", 240, 190, 80),  # beside a longer text of its height, away from the picture
+             (8, "x", 120, 450, 10), (9, "far", 400, 450, 15), (10, "on it", 301, 401, 5)]
+    frags = spark.createDataFrame([(1, 1, i, t, len(t), float(x), float(y), float(x + w), float(y + 10), 10.0) for i, t, x, y, w in texts],
+                                  "doc_id long, page int, fid long, text string, chars int, x0 double, y0 double, x1 double, y1 double, size double")
+    got = {r.frag: r.image for r in shapes.absorb_labels(images, frags).collect()}
+    assert got == {1: 3, 2: 3, 3: 3, 6: 3, 8: 4}
+
+
 def test_merge_of_two_documents(spark):
     rows = [(1, 0, i, "question", i, 1) for i in (1, 2, 3)] + [(1, 1, i, "question", i, 1) for i in (13, 14)] + [(1, 1, 9, "answer", 14, None)]
     df = spark.createDataFrame(rows, "bundle int, file_ord int, ord int, kind string, number int, passage_id int")
