@@ -340,32 +340,32 @@ def consensus(tokens: DataFrame) -> DataFrame:
     return tokens.join(fixes, ["shape", "c"], "left").withColumn("c", F.coalesce("__to", "c")).drop("__to")
 
 
-def body_vocab(lines: DataFrame, pattern: str) -> DataFrame:
-    """Words of the body text with their counts."""
-    return lines.select(F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def body_vocab(lines: DataFrame, pattern: str, scope: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Words of each document's body text with their counts."""
+    return lines.select(*scope, F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("word")).groupBy(*scope, "word").agg(F.count("*").alias("n"))
 
 
-def _prefixes(vocab: DataFrame) -> DataFrame:
-    return vocab.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("word")).distinct()
+def _prefixes(vocab: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    return vocab.select(*scope, F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("word")).distinct()
 
 
-def vocab_fix(words: DataFrame, vocab: DataFrame, swaps: Column, min_count: int = 3) -> DataFrame:
-    """Corrects recognised words by the one body word that differs in a single character.
+def vocab_fix(words: DataFrame, vocab: DataFrame, swaps: Column, min_count: int = 3, scope: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Corrects recognised words by the one body word of their document that differs in a single character.
 
-    `words` has word (distinct unknown ones are looked up once); a word that is in the vocabulary or starts a body word stays.
-    `swaps` is a condition on columns a and b, the differing characters. Candidates meet on the word with one character
-    masked, an equality key; no word is compared with all others.
+    `words` has scope + word (distinct unknown ones are looked up once); a word that is in its document's vocabulary or
+    starts a body word stays. `swaps` is a condition on columns a and b, the differing characters. Candidates meet on the
+    document and the word with one character masked, an equality key; no word is compared with all others.
     """
-    unknown = words.select("word").where(F.length("word") >= 2).distinct().join(_prefixes(vocab), "word", "left_anti")
+    unknown = words.select(*scope, "word").where(F.length("word") >= 2).distinct().join(_prefixes(vocab, scope), [*scope, "word"], "left_anti")
 
     def masked(df: DataFrame, name: str) -> DataFrame:
         places = F.sequence(F.lit(1), F.length("word"))
-        return df.select(F.col("word").alias(name), F.explode(places).alias("i")).select(
-            name, "i", F.concat(F.substring(name, F.lit(1), F.col("i") - 1), F.lit("\x01"), F.substring(name, F.col("i") + 1, F.length(name))).alias("key"),
+        return df.select(*scope, F.col("word").alias(name), F.explode(places).alias("i")).select(
+            *scope, name, "i", F.concat(F.substring(name, F.lit(1), F.col("i") - 1), F.lit("\x01"), F.substring(name, F.col("i") + 1, F.length(name))).alias("key"),
             F.substring(name, F.col("i"), F.lit(1)).alias("a" if name == "word" else "b"))
 
-    pairs = masked(unknown, "word").join(masked(vocab.where(F.col("n") >= min_count), "fixed"), ["key", "i"]).where(swaps & (F.col("a") != F.col("b")))
-    return pairs.groupBy("word").agg(F.count("*").alias("n"), F.min("fixed").alias("fixed")).where("n = 1").select("word", "fixed")
+    pairs = masked(unknown, "word").join(masked(vocab.where(F.col("n") >= min_count), "fixed"), [*scope, "key", "i"]).where(swaps & (F.col("a") != F.col("b")))
+    return pairs.groupBy(*scope, "word").agg(F.count("*").alias("n"), F.min("fixed").alias("fixed")).where("n = 1").select(*scope, "word", "fixed")
 
 
 def final_consonant_swap(conventions: Conventions = KOREAN) -> Column:
@@ -375,17 +375,17 @@ def final_consonant_swap(conventions: Conventions = KOREAN) -> Column:
     return plain & (F.floor(a / 28) == F.floor(b / 28)) & (F.least(a % 28, b % 28) == 16) & (F.greatest(a % 28, b % 28) == 17)
 
 
-def line_end_space(pairs: DataFrame, vocab: DataFrame, conventions: Conventions = KOREAN) -> DataFrame:
+def line_end_space(pairs: DataFrame, vocab: DataFrame, conventions: Conventions = KOREAN, scope: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Whether a line ends in a space, from its last word and the first word of the line below.
 
-    `pairs` has w1, w2. A joined word that starts a body word means no space, as does a particle below; an ending, or two
+    `pairs` has scope + w1, w2. A joined word that starts a body word of its document means no space, as does a particle below; an ending, or two
     words both known, means a space. Prefixes of the vocabulary are rows, so both look-ups are equality joins.
     """
-    starts = _prefixes(vocab)
+    starts = _prefixes(vocab, scope)
     rows = pairs.withColumn("joined", F.concat("w1", "w2"))
-    rows = rows.join(starts.select(F.col("word").alias("joined"), F.lit(True).alias("__joined")), "joined", "left")
-    rows = rows.join(vocab.select(F.col("word").alias("w1"), F.lit(True).alias("__w1")), "w1", "left")
-    rows = rows.join(starts.select(F.col("word").alias("w2"), F.lit(True).alias("__w2")), "w2", "left")
+    rows = rows.join(starts.select(*scope, F.col("word").alias("joined"), F.lit(True).alias("__joined")), [*scope, "joined"], "left")
+    rows = rows.join(vocab.select(*scope, F.col("word").alias("w1"), F.lit(True).alias("__w1")), [*scope, "w1"], "left")
+    rows = rows.join(starts.select(*scope, F.col("word").alias("w2"), F.lit(True).alias("__w2")), [*scope, "w2"], "left")
     last = F.substring("w1", -1, 1)
     code = F.ascii(last) - 44032
     ending = (F.length("w1") >= 2) & (last.isin(*conventions.endings) | (code.between(0, 11171) & (code % 28).isin(4, 8)))

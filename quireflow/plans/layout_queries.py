@@ -68,11 +68,11 @@ def _(spark, folder):
 
 
 def word_frags(spark, folder):
-    return corpus.words(spark, folder).withColumn("fid", F.col("row_no") * 64 + F.col("word_no"))
+    return corpus.words(spark, folder).withColumn("fid", F.col("row_no").cast("long") * 1_000_000 + F.col("word_no"))
 
 
 @query("fragments_grouped", "C13", """
-SELECT doc_id, page, col, row_no * 64 + word_no AS fid, CAST(dense_rank() OVER (PARTITION BY doc_id, page, col ORDER BY row_no) AS INTEGER) AS line FROM words""", ("words",))
+SELECT doc_id, page, col, row_no * 1000000 + word_no AS fid, CAST(dense_rank() OVER (PARTITION BY doc_id, page, col ORDER BY row_no) AS INTEGER) AS line FROM words""", ("words",))
 def _(spark, folder):
     return ops.group_lines(word_frags(spark, folder), ["doc_id", "page", "col"]).select("doc_id", "page", "col", "fid", "line")
 
@@ -224,37 +224,44 @@ def _(spark, folder):
 
 
 @query("vocabulary_fixed", "C48", r"""
-WITH vocab AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '([\p{L}]{2,})', 1)) AS word FROM documents WHERE lang = 'en') GROUP BY word),
-pre AS (SELECT DISTINCT substr(word, 1, i) AS word FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
-unk AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(text, '([\p{L}]{2,})', 1)) AS word FROM documents WHERE lang = 'de') WHERE word NOT IN (SELECT word FROM pre)),
-mu AS (SELECT word, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS key FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM unk)),
-mv AS (SELECT word AS fixed, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS key FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocab WHERE n >= 3))
-SELECT mu.word, min(fixed) AS fixed FROM mu JOIN mv ON mu.key = mv.key AND mu.i = mv.i GROUP BY mu.word HAVING count(*) = 1""")
+WITH w AS (SELECT doc_id, line_no, unnest(regexp_extract_all(text, '([\p{L}]{2,})', 1)) AS word FROM doc_lines),
+vocab AS (SELECT doc_id, word, count(*) AS n FROM w WHERE line_no % 4 <> 3 GROUP BY ALL),
+pre AS (SELECT DISTINCT doc_id, substr(word, 1, i) AS word FROM (SELECT doc_id, word, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+unk AS (SELECT DISTINCT doc_id, word FROM w WHERE line_no % 4 = 3 AND (doc_id, word) NOT IN (SELECT (doc_id, word) FROM pre)),
+mu AS (SELECT doc_id, word, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS key FROM (SELECT doc_id, word, unnest(range(1, length(word) + 1)) AS i FROM unk)),
+mv AS (SELECT doc_id, word AS fixed, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS key FROM (SELECT doc_id, word, unnest(range(1, length(word) + 1)) AS i FROM vocab WHERE n >= 3))
+SELECT mu.doc_id, mu.word, min(fixed) AS fixed FROM mu JOIN mv ON mu.doc_id = mv.doc_id AND mu.key = mv.key AND mu.i = mv.i GROUP BY mu.doc_id, mu.word HAVING count(*) = 1""", ("doc_lines",))
 def _(spark, folder):
-    docs = table(spark, folder, "documents")
-    vocab = ops.body_vocab(docs.where("lang = 'en'"), r"[\p{L}]{2,}")
-    words = ops.body_vocab(docs.where("lang = 'de'"), r"[\p{L}]{2,}")
+    # every fourth line of a document stands for recognised text, the others are its body
+    lines = corpus.doc_lines(spark, folder)
+    vocab = ops.body_vocab(lines.where("line_no % 4 <> 3"), r"[\p{L}]{2,}")
+    words = ops.body_vocab(lines.where("line_no % 4 = 3"), r"[\p{L}]{2,}")
     return ops.vocab_fix(words, vocab, F.lit(True))
 
 
 @query("final_consonants_fixed", "C48", """
-SELECT k, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_partkey % 19 AS k FROM lineitem) GROUP BY k""")
+WITH b AS (SELECT l_suppkey % 5 AS doc_id, l_partkey % 19 AS k, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT doc_id, k, n FROM b WHERE (doc_id + k) % 3 <> 0 AND n >= 3""")
 def _(spark, folder):
-    # each part spells a two-syllable word ending in ㅂ; the same word read with ㅁ must be corrected back
-    rows = table(spark, folder, "lineitem").select((F.col("l_partkey") % 19).cast("int").alias("k"))
+    # each part spells a two-syllable word ending in ㅂ; the same word read with ㅁ must be corrected back, but only in the
+    # documents whose body has it, and a word read with another final consonant must stay
+    rows = table(spark, folder, "lineitem").select((F.col("l_suppkey") % 5).alias("doc_id"), (F.col("l_partkey") % 19).cast("int").alias("k"))
     spell = lambda final: F.concat(F.lit("스"), F.element_at(F.array(*[F.lit(chr(44032 + k * 588 + 28 * 4 + final)) for k in range(19)]), F.col("k") + 1))
-    body = rows.select("k", spell(17).alias("word"))
-    vocab = body.groupBy("word").agg(F.count("*").alias("n"))
-    fixes = ops.vocab_fix(rows.select(spell(16).alias("word")), vocab, ops.final_consonant_swap())
-    return fixes.join(body, fixes["fixed"] == body["word"]).groupBy("k").agg(F.count("*").alias("n")).select(F.col("k").cast("long").alias("k"), "n")
+    body = rows.select("doc_id", "k", spell(17).alias("word"))
+    vocab = body.where("(doc_id + k) % 3 <> 0").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    read = rows.select("doc_id", spell(16).alias("word")).union(rows.select("doc_id", spell(4).alias("word")))
+    fixes = ops.vocab_fix(read, vocab, ops.final_consonant_swap())
+    return fixes.select("doc_id", F.col("fixed").alias("word")).join(body, ["doc_id", "word"]).groupBy("doc_id", "k").agg(F.count("*").alias("n")).select(
+        "doc_id", F.col("k").cast("long").alias("k"), "n")
 
 
 @query("line_end_spaces", "C49", r"""
-WITH vocab AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '([\p{L}]+)', 1)) AS word FROM documents) GROUP BY word),
-pre AS (SELECT DISTINCT substr(word, 1, i) AS word FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+WITH vocab AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '([\p{L}]+)', 1)) AS word FROM documents),
+pre AS (SELECT DISTINCT doc_id, substr(word, 1, i) AS word FROM (SELECT doc_id, word, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
 p AS (SELECT doc_id, ord, regexp_extract(rtrim(text), '[\p{L}]+$') AS w1, regexp_extract(ltrim(nx), '^[\p{L}]+') AS w2 FROM (
       SELECT doc_id, ord, text, lead(text) OVER (PARTITION BY doc_id, page, col ORDER BY ord) AS nx FROM text_lines))
-SELECT doc_id, ord, w1 || w2 NOT IN (SELECT word FROM pre) AND w1 IN (SELECT word FROM vocab) AND w2 IN (SELECT word FROM pre) AS space FROM p WHERE w1 <> '' AND w2 <> ''""", ("text_lines",))
+SELECT doc_id, ord, (doc_id, w1 || w2) NOT IN (SELECT (doc_id, word) FROM pre) AND (doc_id, w1) IN (SELECT (doc_id, word) FROM vocab) AND (doc_id, w2) IN (SELECT (doc_id, word) FROM pre) AS space
+FROM p WHERE w1 <> '' AND w2 <> ''""", ("text_lines",))
 def _(spark, folder):
     lines = text_lines(spark, folder)
     vocab = ops.body_vocab(table(spark, folder, "documents"), r"[\p{L}]+")
@@ -273,7 +280,7 @@ def _(spark, folder):
 
 @query("pill_words_voted", "C30", r"""
 SELECT source AS doc_id, arg_min(word, (-n, first_doc)) AS word, max(n) AS n FROM (
- SELECT source, word, count(*) AS n, min(doc_id * 1000 + k) AS first_doc FROM (SELECT source, doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS k FROM (SELECT source, doc_id, regexp_extract_all(text, '([a-z]{1,4})\.', 1) AS ws FROM documents)) GROUP BY ALL) GROUP BY source""")
+ SELECT source, word, count(*) AS n, min((doc_id, k)) AS first_doc FROM (SELECT source, doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS k FROM (SELECT source, doc_id, regexp_extract_all(text, '([a-z]{1,4})\.', 1) AS ws FROM documents)) GROUP BY ALL) GROUP BY source""")
 def _(spark, folder):
     docs = table(spark, folder, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("ord"), "text")
     return ops.pill_word(docs, r"([a-z]{1,4})\.")
