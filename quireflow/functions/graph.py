@@ -1,6 +1,7 @@
 """Graph work as rounds of joins: connected components and chains of next-pointers.
 
-Every round is written to the shared checkpoint folder, which cuts the lineage and survives the loss of executors.
+Every round is written to the shared checkpoint folder, which cuts the lineage and survives the loss of executors. What
+a later round replaces is removed.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.session import settle
+from quireflow.session import release, settle
 
 
 def components(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], node: str = "node", out: str = "component") -> DataFrame:
@@ -25,7 +26,7 @@ def components(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], node: s
         edges.select(*scope, F.explode(F.array(
             F.struct(F.col("a").alias(node), F.col("b").alias("__to")), F.struct(F.col("b").alias(node), F.col("a").alias("__to")))).alias("e"))
         .select(*scope, "e.*").distinct())
-    labels = settle(nodes.select(*scope, node).distinct().withColumn(out, F.col(node)))
+    labels = held = settle(nodes.select(*scope, node).distinct().withColumn(out, F.col(node)))
     while True:
         offered = (
             both.join(labels.withColumnRenamed(node, "__to"), [*scope, "__to"])
@@ -37,7 +38,11 @@ def components(nodes: DataFrame, edges: DataFrame, scope: Sequence[str], node: s
         jumped = settle(lowered.join(parents, [*scope, "__new"]).select(
             *scope, node, F.col("__up").alias(out), (F.col("__up") != F.col("__old")).alias("__moved")))
         labels = jumped.select(*scope, node, out)
+        release(held)
+        release(lowered)
+        held = jumped
         if jumped.where("__moved").limit(1).count() == 0:
+            release(both)
             return labels
 
 
@@ -54,7 +59,10 @@ def follow_chain(pointers: DataFrame, starts: DataFrame, scope: Sequence[str]) -
         # a jump leads past all nodes reached so far, so nothing is reached twice
         grown = settle(reached.unionByName(reached.join(jump, [*scope, "node"]).select(*scope, F.col("nxt").alias("node"))))
         further = jump.withColumnsRenamed({"node": "__from", "nxt": "node"})
-        jump = settle(further.join(jump, [*scope, "node"]).select(*scope, F.col("__from").alias("node"), "nxt"))
-        reached = grown
+        longer = settle(further.join(jump, [*scope, "node"]).select(*scope, F.col("__from").alias("node"), "nxt"))
+        release(reached)
+        release(jump)
+        jump, reached = longer, grown
         if jump.limit(1).count() == 0:
+            release(jump)
             return reached

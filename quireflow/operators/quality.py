@@ -179,19 +179,19 @@ def count_mismatch(declared: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return both.where(F.col("declared") != F.col("actual"))
 
 
-def grid_errors(cells: DataFrame) -> DataFrame:
-    """Tables whose spanned cells do not cover rows × cols exactly once each.
+def grid_errors(tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """Tables whose spanned cells do not cover rows × cols exactly once each; a table without any cell is all empty.
 
-    `cells` has table_id, rows, cols, row, col, rowspan, colspan. If every slot inside is covered once and none outside,
-    the covered slots are rows × cols many, so counting replaces a join with the full grid. Tables without any cell are
-    not in the input of this check.
+    `tables` has table_id, rows, cols, `cells` has table_id, row, col, rowspan, colspan. If every slot inside is covered
+    once and none outside, the covered slots are rows × cols many, so counting replaces a join with the full grid.
     """
     slots = cells.withColumn("r", F.explode(F.sequence("row", F.col("row") + F.col("rowspan") - 1))).withColumn(
         "c", F.explode(F.sequence("col", F.col("col") + F.col("colspan") - 1)))
-    per_slot = slots.groupBy("table_id", "rows", "cols", "r", "c").agg(F.count("*").alias("n"))
-    inside = (F.col("r") < F.col("rows")) & (F.col("c") < F.col("cols"))
-    out = per_slot.groupBy("table_id", "rows", "cols").agg(
-        F.count_if(F.col("n") > 1).alias("doubled"), F.count_if(~inside).alias("outside"),
+    per_slot = slots.groupBy("table_id", "r", "c").agg(F.count("*").alias("n"))
+    inside = F.coalesce((F.col("r") < F.col("rows")) & (F.col("c") < F.col("cols")), F.lit(False))
+    there = F.col("r").isNotNull()
+    out = tables.select("table_id", "rows", "cols").join(per_slot, "table_id", "left").groupBy("table_id", "rows", "cols").agg(
+        F.count_if(F.col("n") > 1).alias("doubled"), F.count_if(there & ~inside).alias("outside"),
         F.count_if(inside).alias("covered"))
     out = out.withColumn("empty", F.col("rows") * F.col("cols") - F.col("covered"))
     return out.where((F.col("doubled") > 0) | (F.col("outside") > 0) | (F.col("empty") > 0)).select(

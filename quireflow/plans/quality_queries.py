@@ -219,11 +219,17 @@ def _(spark, folder):
 
 
 @query("grid_errors", "F-12", """
-SELECT g.table_id, count(*) FILTER (n > 1) AS doubled, CAST(0 AS BIGINT) AS outside, g.rows * g.cols - count(*) AS empty
-FROM (SELECT table_id, rows, cols, row, col, count(*) AS n FROM grid_cells GROUP BY ALL) g
-GROUP BY g.table_id, g.rows, g.cols HAVING count(*) FILTER (n > 1) > 0 OR g.rows * g.cols <> count(*)""", ("grid_cells",))
+WITH t AS (SELECT o_orderkey AS table_id, CAST(o_orderkey % 4 + 1 AS INTEGER) AS rows, CAST(o_custkey % 4 + 1 AS INTEGER) AS cols FROM orders),
+g AS (SELECT table_id, row, col + CASE WHEN table_id % 11 = 0 THEN 1 ELSE 0 END AS col, count(*) AS n FROM grid_cells GROUP BY ALL),
+c AS (SELECT t.table_id, count(*) FILTER (n > 1) AS doubled, count(*) FILTER (g.col >= t.cols) AS outside, any_value(t.rows) * any_value(t.cols) - count(*) FILTER (g.col < t.cols) AS empty
+      FROM t LEFT JOIN g ON g.table_id = t.table_id GROUP BY t.table_id)
+SELECT * FROM c WHERE doubled > 0 OR outside > 0 OR empty > 0""", ("grid_cells",))
 def _(spark, folder):
-    return ops.grid_errors(corpus.grid_cells(spark, folder))
+    # all tables against cells that miss one, double one or, in every eleventh table, stand one column too far right
+    tables = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("table_id"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("rows"), (F.col("o_custkey") % 4 + 1).cast("int").alias("cols"))
+    cells = corpus.grid_cells(spark, folder).withColumn("col", F.col("col") + F.when(F.col("table_id") % 11 == 0, 1).otherwise(0))
+    return ops.grid_errors(tables, cells.drop("rows", "cols"))
 
 
 @query("paragraph_numbers", "F-13", """

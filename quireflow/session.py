@@ -67,4 +67,12 @@ def settle(df: DataFrame) -> DataFrame:
     """
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    written = df.sparkSession.read.schema(df.schema).parquet(folder)
+    written.settled_in = folder
+    return written
+
+
+def release(settled: DataFrame) -> None:
+    """Removes the files of a settled result that no later plan reads."""
+    where = settled.sparkSession._jvm.org.apache.hadoop.fs.Path(settled.settled_in)
+    where.getFileSystem(settled.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
