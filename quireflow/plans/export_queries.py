@@ -232,6 +232,14 @@ def _(spark, folder):
     return jobs.lifecycle_batch(job_events(spark, folder)).select("job", "id", "outcome")
 
 
+@query("jobs_expired", "I1", """
+WITH e AS (SELECT "user" AS job, id, ts, event FROM usage WHERE event IN ('upload', 'error')),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY job ORDER BY ts, id) AS nxt FROM e)
+SELECT job, strftime(ts + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS ts FROM n WHERE event = 'upload' AND (nxt IS NULL OR nxt > ts + INTERVAL 30 MINUTE)""", ("usage",))
+def _(spark, folder):
+    return jobs.expired_batch(job_events(spark, folder)).select("job", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
 @query("usage_daily_summary", "I2", """
 SELECT strftime(ts, '%Y-%m-%d') AS date, "user", count(*) FILTER (event IN ('convert', 'merge')) AS conversions, CAST(coalesce(sum(files) FILTER (event IN ('convert', 'merge')), 0) AS BIGINT) AS files,
        CAST(coalesce(sum(pages) FILTER (event IN ('convert', 'merge')), 0) AS BIGINT) AS pages, CAST(coalesce(sum(questions) FILTER (event IN ('convert', 'merge')), 0) AS BIGINT) AS questions,

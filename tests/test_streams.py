@@ -26,15 +26,23 @@ def test_usage_stream(spark, folder):
 
 
 def test_job_lifecycle_stream(spark, folder):
+    """Events shuffled over several triggers, late ones included, give the outcomes of the log in order."""
     usage = corpus.usage(spark, folder).where("event <> 'join'")
     events = usage.select(F.col("user").alias("job"), "id", "ts", F.when(F.col("event") == "error", "delete").otherwise(F.col("event")).alias("event"))
-    path = _stage(events)
-    out = jobs.job_lifecycle(spark.readStream.schema(events.schema).parquet(path))
+    path = tempfile.mkdtemp(prefix="spark-stream-")
+    for part in range(3):
+        events.where(F.abs(F.hash("id")) % 3 == part).orderBy(F.hash("job", "id")).coalesce(1).write.mode("append").parquet(path)
+    # a last event, far ahead, moves the watermark past all others
+    events.agg(F.max("ts").alias("ts")).select(F.lit("~").alias("job"), F.lit(-1).cast("bigint").alias("id"), F.expr("ts + interval 400 days").alias("ts"), F.lit("delete").alias("event")).select(
+        *[F.col(c).cast(events.schema[c].dataType) for c in events.columns]).coalesce(1).write.mode("append").parquet(path)
+    # the lateness covers the whole log, since its thirds overlap in full
+    out = jobs.job_lifecycle(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path), "300 days")
     query = out.writeStream.format("memory").queryName("lifecycle").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    got = sorted((r.job, r.ts, r.outcome) for r in spark.table("lifecycle").where("outcome <> 'expired'").collect())
-    expected = sorted((r.job, r.ts, r.outcome) for r in jobs.lifecycle_batch(events).collect())
-    assert got == expected
+    got = sorted((r.job, r.ts, r.outcome) for r in spark.table("lifecycle").where("job <> '~'").collect())
+    expected = [(r.job, r.ts, r.outcome) for r in jobs.lifecycle_batch(events).collect()] + [(r.job, r.ts, "expired") for r in jobs.expired_batch(events).collect()]
+    assert got == sorted(expected)
+    assert {o for _, _, o in got} >= {"expired", "opened", "missing"}
 
 
 def test_samples_stream(spark, folder):
