@@ -205,7 +205,8 @@ def paragraphs(lines: DataFrame, conventions: Conventions = KOREAN) -> DataFrame
     `lines` has doc_id, ord, page, col, text, rx (offset from the left bound), x1, right, y0, size, frame, gap_below (room
     left in the box below a line, null outside boxes). Tests against the previous line alone end a paragraph for sure, so
     they cut the document into short pieces; the tests that look at the first and second line of the open paragraph are
-    folded inside a piece. A piece is an unbroken run of full lines, never a document.
+    folded inside a piece. A piece is an unbroken run of full lines. The pitch is the median step to the line below, or one
+    and a half times the median size where no line follows another.
     """
     same = (F.col("p_page") == F.col("page")) & (F.col("p_col") == F.col("col"))
     pitched = scan.neighbours(
@@ -213,7 +214,7 @@ def paragraphs(lines: DataFrame, conventions: Conventions = KOREAN) -> DataFrame
         lag={f"p_{c}": F.col(c) for c in ("page", "col", "y0", "x1", "size", "right", "text", "frame", "gap_below")})
     pitched = pitched.withColumns({"same": F.coalesce(same, F.lit(False)), "dy": F.col("y0") - F.col("p_y0")})
     step = F.when(F.col("same") & (F.col("dy") > 0) & (F.col("dy") < 3.5 * F.col("p_size")), F.col("dy"))
-    pitch = pitched.groupBy("doc_id").agg(F.coalesce(F.median(step), F.lit(15.0)).alias("pitch"))
+    pitch = pitched.groupBy("doc_id").agg(F.coalesce(F.median(step), 1.5 * F.median("size")).alias("pitch"))
     rows = pitched.join(pitch, "doc_id")
     text, before = F.col("text"), F.col("p_text")
     marker = tx.rx(text, conventions.marker)
@@ -250,7 +251,7 @@ def paragraphs(lines: DataFrame, conventions: Conventions = KOREAN) -> DataFrame
             F.when(starts, F.concat(state["starts"], F.array(e["ord"]))).otherwise(state["starts"]).alias("starts"))
 
     begin = F.struct(F.lit(0.0).alias("first_rx"), F.lit(False).alias("first_no"), F.lit(0.0).alias("second_rx"),
-                     F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
+                     F.lit(0).alias("n"), F.array().cast(f"array<{lines.schema['ord'].dataType.simpleString()}>").alias("starts"))
     folded = F.aggregate("items", begin, advance)["starts"]
     started = lists.select("doc_id", F.explode(folded).alias("ord")).withColumn("starts", F.lit(True))
     numbered = rows.select("doc_id", "page", "ord").join(started, ["doc_id", "ord"], "left")
@@ -535,8 +536,9 @@ def image_rows(images: DataFrame, area: list[str]) -> DataFrame:
         return F.struct(F.when(fits, F.concat(state["row"], F.array(image))).otherwise(F.array(image)).alias("row"),
                         F.when(fits & (F.size(state["row"]) > 0), state["starts"]).otherwise(F.concat(state["starts"], F.array(image["ord"]))).alias("starts"))
 
-    kind = "array<struct<ord:int,x0:double,y0:double,x1:double,y1:double>>"
-    begin = F.struct(F.array().cast(kind).alias("row"), F.array().cast("array<int>").alias("starts"))
+    ord_kind = images.schema["ord"].dataType.simpleString()
+    kind = f"array<struct<ord:{ord_kind},x0:double,y0:double,x1:double,y1:double>>"
+    begin = F.struct(F.array().cast(kind).alias("row"), F.array().cast(f"array<{ord_kind}>").alias("starts"))
     starts = lists.select(*area, F.explode(F.aggregate("run", begin, advance)["starts"]).alias("ord")).withColumn("__s", F.lit(1))
     out = images.join(starts, [*area, "ord"], "left").withColumn("__s", F.coalesce("__s", F.lit(0)))
     return out.withColumn("row", F.sum("__s").over(order)).drop("__s")

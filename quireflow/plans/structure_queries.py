@@ -163,7 +163,7 @@ WITH RECURSIVE l AS (
  FROM (SELECT doc_id, page, col, ord, size, y0, x1, right_x, CASE WHEN wrap = 0 AND line_no % 7 = 3 THEN '3. ' || text ELSE text END AS text,
               x0 - left_x + CASE WHEN wrap = 0 THEN 10 ELSE 0 END AS rx FROM text_lines)
  WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
-p AS (SELECT doc_id, coalesce(median(y0 - p_y0) FILTER (page = p_page AND col = p_col AND y0 > p_y0 AND y0 - p_y0 < 3.5 * p_size), 15.0) AS pitch FROM l GROUP BY doc_id),
+p AS (SELECT doc_id, coalesce(median(y0 - p_y0) FILTER (page = p_page AND col = p_col AND y0 > p_y0 AND y0 - p_y0 < 3.5 * p_size), 1.5 * median(size)) AS pitch FROM l GROUP BY doc_id),
 e AS (SELECT l.*, pitch, coalesce(page = p_page AND col = p_col, false) AS same, y0 - p_y0 AS dy FROM l JOIN p USING (doc_id)),
 walk AS (
  SELECT doc_id, k, ord, rx AS first_rx, numbered AS first_no, rx AS second_rx, 1 AS n, 1 AS para FROM e WHERE k = 1
@@ -346,7 +346,7 @@ def question_items(spark, folder):
     n = corpus.numbers(spark, folder)
     q = F.floor(F.col("doc_id") / 2)
     line = F.col("l_discount") < 0.09
-    return n.select(q.alias("question"), F.struct("doc_id", "number").alias("chunk"), (F.col("doc_id") % 2 * 100 + F.col("ord")).alias("ord"),
+    return n.select(q.alias("question"), F.struct("doc_id", "number").alias("chunk"), (F.col("doc_id").cast("long") % 2 * 1_000_000_000 + F.col("ord")).alias("ord"),
                     F.when(line, "line").otherwise("other").alias("kind"), (line & (F.col("l_returnflag") != "R")).alias("mark"),
                     (F.col("l_quantity") > 45).alias("part"), (F.col("l_quantity") < 10).alias("far"), (F.col("l_partkey") % 2 == 0).alias("p_full"),
                     (F.col("l_partkey") % 5 == 0).alias("sub"), (F.col("l_quantity") > 30).alias("writes"), (F.col("l_partkey") % 7 == 0).alias("credit"))
@@ -354,7 +354,7 @@ def question_items(spark, folder):
 
 @query("question_parts", "D20", """
 WITH RECURSIVE it AS (
- SELECT doc_id // 2 AS question, doc_id % 2 * 100 + ord AS ord, l_discount < 0.09 AS line, l_discount < 0.09 AND l_returnflag <> 'R' AS mark, l_quantity > 45 AS part,
+ SELECT doc_id // 2 AS question, CAST(doc_id AS BIGINT) % 2 * 1000000000 + ord AS ord, l_discount < 0.09 AS line, l_discount < 0.09 AND l_returnflag <> 'R' AS mark, l_quantity > 45 AS part,
         l_quantity < 10 AS far, l_partkey % 2 = 0 AS p_full, l_partkey % 5 = 0 AS sub, l_quantity > 30 AS writes, l_partkey % 7 = 0 AS credit FROM numbers),
 seq AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY ord) AS k FROM it),
 walk AS (
@@ -420,11 +420,11 @@ def answer_lines(spark, folder):
     t = corpus.turns(spark, folder).where("kind <> 'guide'")
     text = F.when((F.col("kind") == "question") & (F.col("number") % 2 == 0), F.concat(F.lit("[해설] "), "text")).otherwise(F.col("text"))
     rows = t.select("doc_id", "chunk", F.col("ord").alias("turn"), F.posexplode(F.split(text, "\n")).alias("ln", "text"))
-    return rows.select("doc_id", F.struct("chunk", "turn").alias("chunk"), (F.col("turn") * 1000 + F.col("ln")).alias("ord"), "text", (F.length("text") > 60).alias("full"))
+    return rows.select("doc_id", F.struct("chunk", "turn").alias("chunk"), (F.col("turn").cast("long") * 1_000_000_000 + F.col("ln")).alias("ord"), "text", (F.length("text") > 60).alias("full"))
 
 
 sql_view("answer_lines", """
-SELECT doc_id, turn * 1000 + CAST(unnest(range(len(ls))) AS INTEGER) AS ord, unnest(ls) AS text FROM (
+SELECT doc_id, CAST(turn AS BIGINT) * 1000000000 + CAST(unnest(range(len(ls))) AS INTEGER) AS ord, unnest(ls) AS text FROM (
  SELECT doc_id, ord AS turn, string_split(CASE WHEN kind = 'question' AND number % 2 = 0 THEN '[해설] ' || text ELSE text END, chr(10)) AS ls FROM turns WHERE kind <> 'guide')""", ("turns",))
 
 
