@@ -12,6 +12,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ from quireflow.session import settle
 
 CAPACITY = 4096
 CHUNK_PIECES = 200_000
-_CACHED_WORDS, _CACHED_IDS = 300_000, 4_000_000
+_CACHED_WORDS, _CACHED_IDS = 700_000, 6_000_000
 
 
 def cut(tokens: int, capacity: int = CAPACITY) -> list[int]:
@@ -42,11 +44,36 @@ def cut(tokens: int, capacity: int = CAPACITY) -> list[int]:
     return pieces
 
 
+# Signs of which a run at the end of a word is a part of its own for the tokenizer, whatever letter or digit stands before.
+_ENDS = ".,;:!?*$%&#|()"
+
+
+class _Ids:
+    """Ids of strings, one after the other in one array, by the number of the string."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def add(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.ids = np.concatenate((self.ids, ids))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered strings, joined, and how many each has."""
+        starts = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - starts
+        total = np.cumsum(sizes)
+        return self.ids[np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - sizes), sizes)], sizes
+
+
 class WordTokens:
     """Ids of texts, each distinct blank-separated part tokenised once.
 
-    Only for tokenizers that treat white space as a boundary and drop it: then parts between blanks or line feeds have
-    the ids that they have in the whole text.
+    Only for tokenizers that lower-case, treat white space as a boundary and drop it, and never join letters or digits
+    with the signs that follow: then parts between blanks or line feeds, and the signs at their ends, have the ids that
+    they have in the whole text. What is known is kept from task to task, up to a fixed number of parts.
     """
 
     def __init__(self, path: str):
@@ -55,39 +82,59 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.words, self.units = _Ids(), _Ids()
+
+    def _learn_units(self, units: set[str]) -> None:
+        new = [u for u in units if u not in self.units.known]
+        plain = [u for u in new if u.isalpha() and "\u0130" not in u]
+        if plain:
+            # one text of all words: each is one part for the tokenizer, told apart by its number
+            found = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(plain))
+            if len(sizes) == len(plain) and sizes.all():
+                self.units.add(plain, np.array(found.ids, np.uint32), sizes)
+            else:
+                plain = []
+        rest = [u for u in new if u not in self.units.known]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.units.add(rest, np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum())), sizes)
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(lengths.sum()))
-        self.ids = np.concatenate((self.ids, flat))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(lengths)))
+        new = [w for w in words if w not in self.words.known]
+        parts = []
+        for w in new:
+            base = w.rstrip(_ENDS)
+            parts += (base, w[len(base):]) if base and base[-1].isalnum() and base[-1] != "\u0130" else (w, "")
+        self._learn_units(set(parts))
+        known = self.units.known
+        ids, sizes = self.units.take(np.fromiter((known[p] for p in parts), np.int64, len(parts)))
+        self.words.add(new, ids, sizes.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > _CACHED_WORDS or len(self.ids) > _CACHED_IDS:
-            self._clear()
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.words.known) > _CACHED_WORDS or len(self.words.ids) > _CACHED_IDS:
+            self.words = _Ids()
+        if len(self.units.known) > _CACHED_WORDS or len(self.units.ids) > _CACHED_IDS:
+            self.units = _Ids()
+        # these two letters are lower-cased otherwise than by the tokenizer, the first to a letter and a mark
+        lowered = [t if "\u0130" in t or "\u03a3" in t else t.lower() for t in texts]
+        parts = [t.replace("\n", " ").split(" ") for t in lowered]
         self._learn(set().union(*parts))
-        known = self.known
-        places = np.fromiter((known[w] for words in parts for w in words), np.int64, sum(map(len, parts)))
-        starts, sizes = self.ends[places], self.ends[places + 1] - self.ends[places]
-        total = np.cumsum(sizes)
-        ids = self.ids[np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - sizes), sizes)]
-        ends = np.concatenate(([0], total))[np.cumsum([len(words) for words in parts])]
+        ids, sizes = self.words.take(np.fromiter(map(self.words.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts))))
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([len(words) for words in parts])]
         return np.split(ids, ends[:-1])
 
 
+@cache
+def encoder_of(path: str) -> WordTokens:
+    """The encoder of a Python worker, which its tasks share."""
+    return WordTokens(path)
+
+
 def pieces(rows: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
     """key, start, length, ids_crc32, doc_tokens: each document's ids, then end_id, cut into pieces that cover them."""
     def work(batches: Iterator[dict]) -> Iterator[dict]:
-        encoder = WordTokens(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch, texts in text_blocks(batches, "text", 1 << 20):
             out = {"at": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": []}
             for k, ids in enumerate(encoder.encode(texts)):

@@ -27,9 +27,11 @@ BOILERPLATE = frozenset("head nav header footer aside form menu button select in
                         "applet canvas audio video search".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 # Words in class and id names of boilerplate.
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?bar|widgets?|footer\w*|site-?header|masthead|topbar|"
-                   r"toolbar|comments?|commentlist|respond|disqus\w*|cookie\w*|consent|gdpr|notices?|alerts?|newsletter|subscribe\w*|signup|login|popup|modal|overlay|share|sharing|social\w*|related|"
-                   r"recommend\w*|pagination|pager|skip-?link|hidden)(?=$|[\s_-])", re.I)
+NAMES = re.compile(
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|banner|unit|space|block|slot|container|wrapper)s?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|"
+    r"(?<!has-)(?<!with-)(?<!no-)side-?bars?|widgets?|footer\w*|(?<!article-)(?<!entry-)(?<!post-)header|masthead|topbar|toolbar|comments?|commentlist|respond|disqus\w*|"
+    r"cookies?|consent|gdpr|notices?|disclaimer|copyright|legal|alerts?|newsletter|subscribe\w*|signup|login|popup|modal|overlay|share|sharing|social\w*|related|"
+    r"recommend\w*|pagination|pager|skip-?link|hidden)(?=$|[\s_-])", re.I)
 # an opening tag of these closes an open one of those
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}

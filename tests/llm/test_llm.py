@@ -244,6 +244,8 @@ def test_main_text_cases():
         (f"<body><nav><a href=x>Home</a></nav><article><h1>Title &lt;1&gt;</h1>{p}{p}</article><div class='ad'>Buy this now, it is cheap.</div><footer>&copy; us</footer>", f"Title <1>\n{said}\n{said}"),
         (f"<div id=sidebar>{p}</div><div><div class='post'>{p}{p}{p}</div><div class='comments'>{p}</div></div>", f"{said}\n{said}\n{said}"),
         (f"<article><h1>T</h1><p><b>bold start<br>{p}<!-- <p>no</p> --><form><p>Your name</p></form></article>", f"T\nbold start\n{said}"),
+        (f"<div class='page with-sidebar'><header><h1>Site</h1>{p}</header><div class='cookie-notice'>{p}</div><div class='post'><div class='entry-header'><h2>Head</h2></div>{p}{p}<aside>{p}</aside></div>"
+         f"<section id='comments'><article>{p}</article></section><div role='navigation'>{p}</div><div class='ad-unit'>{p}</div></div>", f"Head\n{said}\n{said}"),
         (f"<main>{p}<ul><li>one<li>two</ul><style>p{{}}</style><table><tr><td>a<td>b</table></main>", f"{said}\none\ntwo\na\nb"),
         ("<p>a  b\n\tc&nbsp;d</p>" * 2, "a b c d\na b c d"), ("<p title='x > y'>seen</p><p title=\"", "seen"), ("<" * 1000 + "p>", None), ("<div>" * 3000 + "deep", "deep"),
     ]
