@@ -183,12 +183,12 @@ def prune_samples(store: DataFrame, now: int, keep_days: int = 14, max_count: in
     young = store.where(F.lit(now) - F.col("ts") <= keep_days * 86400)
     day = F.floor(F.col("ts") / 86400).alias("day")
     per_day = young.groupBy(day).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    # one row per day of the keep period: at most keep_days + 1 rows
+    # one row per day of the keep period, and of days after now if clocks differ
     later = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
     before = per_day.select("day", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("n_before"),
                             F.coalesce(F.sum("bytes").over(later), F.lit(0)).alias("bytes_before"))
     open_days = before.where((F.col("n_before") < max_count) & (F.col("bytes_before") <= max_bytes))
-    rows = young.withColumn("day", day).join(F.broadcast(open_days), "day")
+    rows = young.withColumn("day", day).join(open_days, "day")
     newest = Window.partitionBy("day").orderBy(F.desc("ts"), F.desc("key"))
     running = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = rows.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= max_count)
