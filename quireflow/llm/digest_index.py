@@ -57,12 +57,23 @@ class DigestIndex:
         return out.select(F.col("key").alias(key), "digest", "keep_id", "group_size", F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
+def plain_key(key: str) -> Column:
+    """The key as a string, empty for null: equal for equal keys, null included."""
+    return F.coalesce(F.col(key).cast("bigint").cast("string"), F.lit(""))
+
+
+def only_these(rows: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
+    """Rows that agree with a row of `wanted` on the named columns, one of those that agree with each other.
+
+    The rows are shuffled once: for the join, which leaves them as the removal of repeats needs them.
+    """
+    return rows.join(wanted.select(*names), names, "left_semi").dropDuplicates(names).drop(*names)
+
+
 def keep_first_copies(rows: DataFrame, decisions: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose decision is to stay, whole; of rows repeated with key and text one stays.
 
     Joined on key and digest together, which spreads the copies of a hot text over all tasks.
     """
-    stay = decisions.where("kept").select(F.col(key).cast("bigint").alias("__key"), F.col("digest").alias("__digest")).distinct()
-    marked = rows.withColumn("__digest", digest_of(F.col(text)))
-    same = marked[key].cast("bigint").eqNullSafe(stay["__key"]) & (marked["__digest"] == stay["__digest"])
-    return marked.join(stay, same, "left_semi").dropDuplicates([key, "__digest"]).drop("__digest")
+    stay = decisions.where("kept").select(plain_key(key).alias("__key"), F.col("digest").alias("__digest"))
+    return only_these(rows.withColumn("__key", plain_key(key)).withColumn("__digest", digest_of(F.col(text))), stay, ["__key", "__digest"])
