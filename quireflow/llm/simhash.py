@@ -29,6 +29,7 @@ SEED = 42
 SAMPLE = 20_000
 CHUNK = 4096
 PROBE_COST = 150.0
+LINKS = 2_000_000
 _PAIRS = 1 << 21
 _LANES = np.uint64(0x0101010101010101)
 
@@ -241,6 +242,15 @@ def _meet(bits: int, bits_of_128: int | None):
     return work
 
 
+def _thinned(batches: Iterator[dict]) -> Iterator[dict]:
+    """A forest of all links of a partition, of which there are about LINKS."""
+    ends = [[batch[c].to_numpy(zero_copy_only=False) for c in ("a", "b")] for batch in batches]
+    if ends:
+        a, b = (np.concatenate(own) for own in zip(*ends, strict=True))
+        tree = forest(a, b, np.zeros(len(a), np.int64))
+        yield {"a": a[tree], "b": b[tree]}
+
+
 def link(prints: DataFrame, bits: int, bits_of_128: int | None = None, sample_rows: int = SAMPLE) -> DataFrame:
     """a, b: links between the distinct values of fp in `prints` that connect all values at most `bits` bits apart.
 
@@ -280,7 +290,10 @@ def link(prints: DataFrame, bits: int, bits_of_128: int | None = None, sample_ro
         dealt = marked.select("fp", *more, "part", "key", F.explode(places).alias("p")).select("fp", *more, "part", "key", "p.chunk", "p.probe")
     tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * len(plan.flips()) // 4_000_000)
     met = dealt.repartition(tasks, "part", "key", "chunk").sortWithinPartitions("part", "key", "chunk", "probe")
-    return in_arrow(met.select("part", "key", "chunk", "probe", "fp", *more), _meet(bits, bits_of_128), "a bigint, b bigint").distinct()
+    found = settle(in_arrow(met.select("part", "key", "chunk", "probe", "fp", *more), _meet(bits, bits_of_128), "a bigint, b bigint").distinct())
+    # the tasks' forests overlap; any part of their links can be thinned to a forest of its own
+    parts = max(1, found.count() // LINKS)
+    return in_arrow(found.repartition(parts), _thinned, "a bigint, b bigint")
 
 
 def classes(prints: DataFrame, links: DataFrame) -> DataFrame:
