@@ -411,6 +411,35 @@ def test_keep_one_of_each(spark):
     assert ids == sorted([-1, 10, *range(20, 40), 21, 50])
 
 
+def test_every_pair_of_jaccard_080_is_linked_and_none_under(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 5)
+    monkeypatch.setattr(simhash, "_PAIRS", 40)
+    rng = random.Random(17)
+    sets = lambda t: {" ".join(t[i:i + 5]) for i in range(len(t) - 4)}
+    texts, line = {}, words(rng, 12).split()
+    for i in range(120):
+        base = words(rng, rng.randrange(60, 400)).split() + (line if i % 2 else [])
+        texts[10 * i] = base
+        for j in range(1, 4):
+            own = base[:]
+            for at in rng.sample(range(len(own)), max(1, int(len(own) * rng.choice((0.01, 0.018, 0.024, 0.04, 0.07))))):
+                own[at] = f"new{at}"
+            texts[10 * i + j] = own
+    shingles = {k: sets(t) for k, t in texts.items()}
+    label, seen = {k: k for k in texts}, []
+    for a, b in itertools.combinations(sorted(texts), 2):
+        same = len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+        if a // 10 == b // 10:
+            seen.append(same)
+        if same >= 0.8:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = {k: new if v == old else v for k, v in label.items()}
+    assert sum(0.8 <= s < 0.9 for s in seen) > 80 and sum(0.5 < s < 0.8 for s in seen) > 80
+    rows = [(k, " ".join(t)) for k, t in texts.items()]
+    kept = {r.doc_id for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {k for k in texts if label[k] == k}
+
+
 # mixing
 
 
