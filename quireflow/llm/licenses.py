@@ -92,8 +92,9 @@ RULES = [
     ("GPL-2.0", ["spdx-gpl2"]),
 ]
 
-# Every sentence above has one of these words in it, so a sentence without them is none of the known ones.
-MARKS = r"licen[sc]e|permission|permitted|redistribution|copyright|software|mpl|cc0"
+# Every sentence above has one of these in it, so a sentence without them is none of the known ones; none has a blank,
+# which may be a line end with a comment sign in the text as it stands.
+MARKS = r"licen[sc]e|permission|permitted|redistribution|copyright|software|warranty|mpl|cc0|4\.0"
 # Comment signs and list stars in front of a line, a full stop at the end of a sentence, and runs of white space.
 _LINE_HEAD = r"(?m)^[ \t]*(//+|#+|/\*+|\*+/?|;+|--|<!--)[ \t]*"
 

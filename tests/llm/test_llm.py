@@ -114,6 +114,38 @@ def test_license_texts(spark):
     assert licenses.scan_licenses(odd_documents(spark)).where("size(licenses) > 0").count() == 0
 
 
+def spelled(tree) -> list[str]:
+    """Texts a parsed pattern fits: every alternative, every optional part with and without, each class by its first character."""
+    texts = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            parts = [chr(arg)]
+        elif name == "ANY":
+            parts = ["x"]
+        elif name == "IN":
+            parts = [chr(a if str(kind) == "LITERAL" else a[0]) for kind, a in arg]
+        elif name == "BRANCH":
+            parts = [t for branch in arg[1] for t in spelled(branch)]
+        elif name == "SUBPATTERN":
+            parts = spelled(arg[3])
+        else:
+            assert name == "MAX_REPEAT"
+            parts = [""] * (arg[0] == 0) + spelled(arg[2])
+        texts = [a + b for a in texts for b in parts]
+    return texts
+
+
+def test_license_marks_are_in_every_sentence(spark):
+    cases = [(name, t) for name, pattern in licenses.SENTENCES for t in spelled(re._parser.parse(pattern))]
+    assert all(re.fullmatch(dict(licenses.SENTENCES)[name], t) for name, t in cases) and {n for n, _ in cases} == {n for n, _ in licenses.SENTENCES}
+    assert [c for c in cases if not re.search(licenses.MARKS, c[1])] == []
+    texts = ["This work is released under CC BY 4.0.", "// Released under Creative Commons\n// Attribution 4.0 International", "Released under CC\n# BY-SA 4.0", "Released under the CC BY-NC 4.0.",
+             "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of merchantability or fitness for a particular purpose."]
+    got = {r.doc_id: (r.licenses, r.sentence_ids) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert [got[k][0] for k in range(4)] == [["CC-BY-4.0"], ["CC-BY-4.0"], ["CC-BY-SA-4.0"], ["CC-BY-NC-4.0"]] and got[4] == ([], ["gpl-hope"])
+
+
 # top-k search
 
 
