@@ -581,6 +581,23 @@ def test_passages(spark):
     assert chaining.repeated_passages(none_of(spark, DOCS)).count() == 0
 
 
+def test_passages_whose_parts_stand_elsewhere(spark):
+    rng = random.Random(23)
+    shared = [words(rng, n).split() for n in (59, 80, 200)]
+    rows = [(3 * k + i, " ".join(words(rng, 100).split() + own + words(rng, 100).split())) for k, own in enumerate(shared) for i in range(3)]
+    whole = {k for k, _ in rows}
+    for own in shared:
+        for start in range(0, len(own) - 24, 5):
+            rows += [(len(rows), " ".join(words(rng, 60).split() + own[start:start + 25] + words(rng, 60).split())) for _ in range(20)]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in got} == whole
+    for k, own in enumerate(shared):
+        for i in range(3):
+            found = [r for r in got if r.doc_id == 3 * k + i]
+            covered = {w for r in found for w in range(r.start_word, r.end_word)}
+            assert covered >= set(range(100, 100 + len(own)))
+
+
 # pipeline
 
 
