@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from quireflow.conventions import KOREAN, Conventions
 from quireflow.functions import scan
 from quireflow.functions import text as tx
+from quireflow.operators import structure
 from quireflow.session import settle
 
 NGRAM = 6
@@ -93,16 +94,32 @@ def passage_coverage(items: DataFrame, outputs: DataFrame, threshold: float = 0.
         "item", "pair", "hits", tx.half_even(F.col("hits") / F.col("n"), 4).alias("coverage"))
 
 
-def order_status(numbers: DataFrame, found: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """PASS if the numbers run without gap from the first one and all were found in order; WARN without any content.
+def order_status(numbers: DataFrame, paras: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """PASS if the numbers run without gap from the first one and the output shows all of them in order; else FAIL.
 
-    `numbers` has doc_id, ord, chunk, number; `found` has doc_id, found (see structure.found_in_order).
+    `numbers` has doc_id, ord, chunk, number: the questions. `paras` has doc_id, ord, chunk, text: the paragraphs of the
+    output, in one greedy pass of which `found` of the numbers first, first + 1, … head a paragraph ("3."). `answers`
+    has doc_id. A document with neither questions nor answers is WARN, one with answers alone FAIL.
     """
     steps = scan.neighbours(numbers, ["doc_id"], ["chunk"], ["ord"], lag={"prev": F.col("number")})
     runs = steps.groupBy("doc_id").agg(
-        F.count("*").alias("questions"), F.bool_and(F.col("prev").isNull() | (F.col("number") == F.col("prev") + 1)).alias("seq_ok"))
-    out = runs.join(found, "doc_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    return out.withColumn("status", F.when(F.col("seq_ok") & (F.col("found") == F.col("questions")), "PASS").otherwise("FAIL"))
+        F.count("*").alias("questions"), F.min_by("number", F.struct("chunk", "ord")).alias("start"),
+        F.bool_and(F.col("prev").isNull() | (F.col("number") == F.col("prev") + 1)).alias("seq_ok"))
+    runs = settle(runs)
+    heads = paras.select("doc_id", "ord", "chunk", F.regexp_extract("text", r"^\s*([1-9][0-9]{0,8}|0)\s*\.", 1).alias("shown")).where("shown <> ''")
+    heads = heads.select("doc_id", "ord", "chunk", F.col("shown").cast("int").alias("number")).join(runs, "doc_id").where(
+        (F.col("number") >= F.col("start")) & (F.col("number") < F.col("start") + F.col("questions")))
+    chain = structure.number_chain(heads.select("doc_id", "ord", "chunk", "number"), runs.select("doc_id", "start"), {1: F.lit(True)})
+    found = chain.groupBy("doc_id").agg(F.count("*").alias("found"))
+    known = paras.select("doc_id").union(numbers.select("doc_id"))
+    answered = None if answers is None else answers.select("doc_id").distinct().withColumn("answered", F.lit(True))
+    docs = (known if answered is None else known.union(answered.select("doc_id"))).distinct().join(runs, "doc_id", "left").join(found, "doc_id", "left")
+    docs = docs.withColumn("answered", F.lit(False)) if answered is None else docs.join(answered, "doc_id", "left")
+    out = docs.select("doc_id", F.coalesce("questions", F.lit(0)).alias("questions"), F.coalesce("seq_ok", F.lit(True)).alias("seq_ok"),
+                      F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("answered", F.lit(False)).alias("answered"))
+    status = F.when((F.col("questions") == 0) & ~F.col("answered"), "WARN").when(
+        (F.col("questions") > 0) & F.col("seq_ok") & (F.col("found") == F.col("questions")), "PASS").otherwise("FAIL")
+    return out.withColumn("status", status).drop("answered")
 
 
 def choice_counts(choices: DataFrame, keys: list[str]) -> DataFrame:

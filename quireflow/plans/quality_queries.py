@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from quireflow.functions import text as tx
 from quireflow.operators import quality as ops
-from quireflow.operators import structure
 from quireflow.plans.registry import query, sql_view
 from quireflow.sources import corpus
 from quireflow.sources.corpus import table
@@ -109,6 +108,11 @@ def numbered(spark, folder):
     return corpus.numbers(spark, folder).select("doc_id", "ord", F.col("number").alias("chunk"), "number")
 
 
+def shown(items):
+    """The questions as an output shows them, a paragraph each."""
+    return items.withColumn("text", F.concat(F.col("number").cast("string"), F.lit(". text"))).drop("number")
+
+
 CHAIN = """
 WITH RECURSIVE chain AS (
   SELECT doc_id, 0 AS pos, min(number) - 1 AS number FROM numbers GROUP BY doc_id
@@ -125,7 +129,34 @@ FROM (SELECT doc_id, count(*) AS questions, bool_and(prev IS NULL OR number = pr
 JOIN (SELECT doc_id, count(*) - 1 AS found FROM chain GROUP BY doc_id) USING (doc_id)""", ("numbers",))
 def _(spark, folder):
     items = numbered(spark, folder)
-    return ops.order_status(items, structure.found_in_order(items))
+    return ops.order_status(items, shown(items))
+
+
+sql_view("order_questions", "SELECT * FROM numbers WHERE doc_id % 7 <> 0", ("numbers",))
+sql_view("order_shown", """
+SELECT doc_id, CASE WHEN doc_id % 5 = 1 AND ord <= 2 THEN 3 - ord ELSE ord END AS pos, number
+FROM numbers WHERE NOT (doc_id % 5 = 0 AND ord = 2)""", ("numbers",))
+
+
+@query("question_order_of_outputs", "F-4", """
+WITH RECURSIVE chain AS (
+  SELECT doc_id, 0 AS pos, arg_min(number, ord) - 1 AS number, count(*) AS questions, arg_min(number, ord) AS start FROM order_questions GROUP BY doc_id
+  UNION ALL
+  SELECT c.doc_id, n.pos, n.number, c.questions, c.start FROM chain c JOIN order_shown n ON n.doc_id = c.doc_id AND n.number = c.number + 1
+  WHERE n.pos > c.pos AND n.number < c.start + c.questions
+    AND NOT EXISTS (SELECT 1 FROM order_shown m WHERE m.doc_id = n.doc_id AND m.number = n.number AND m.pos > c.pos AND m.pos < n.pos))
+SELECT doc_id, coalesce(questions, 0) AS questions, coalesce(seq_ok, true) AS seq_ok, coalesce(found, 0) AS found,
+       CASE WHEN questions IS NULL AND doc_id % 2 = 0 THEN 'WARN' WHEN seq_ok AND found = questions THEN 'PASS' ELSE 'FAIL' END AS status
+FROM (SELECT DISTINCT doc_id FROM numbers)
+LEFT JOIN (SELECT doc_id, count(*) AS questions, bool_and(prev IS NULL OR number = prev + 1) AS seq_ok
+           FROM (SELECT *, lag(number) OVER (PARTITION BY doc_id ORDER BY ord) AS prev FROM order_questions) GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) - 1 AS found FROM chain GROUP BY doc_id) USING (doc_id)""", ("order_questions", "order_shown"))
+def _(spark, folder):
+    items = numbered(spark, folder)
+    swapped = (F.col("doc_id") % 5 == 1) & (F.col("ord") <= 2)
+    at = F.when(swapped, 3 - F.col("ord")).otherwise(F.col("ord")).cast("int")
+    output = shown(items).where(~((F.col("doc_id") % 5 == 0) & (F.col("ord") == 2))).withColumn("ord", at).withColumn("chunk", F.lit(0))
+    return ops.order_status(items.where("doc_id % 7 <> 0"), output, items.where("doc_id % 2 <> 0").select("doc_id"))
 
 
 @query("choice_counts", "F-5", """

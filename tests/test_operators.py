@@ -158,3 +158,13 @@ def test_retention_keeps_newest_prefix(spark):
             break
         kept.add(key)
     assert got == kept
+
+
+def test_order_of_questions_in_the_output(spark):
+    paras = {1: "3. a|x|4 . b|5. c", 2: "3. a|5. c", 3: "4. b|3. a|5. c", 4: "no question", 5: "no question", 6: "3. a|5. b", 7: "3. a|4. b|5. c|6. d", 8: "1. a|2. b"}
+    asked = {1: [3, 4, 5], 2: [3, 4, 5], 3: [3, 4, 5], 6: [3, 5], 7: [3, 4, 5], 8: [2, 1]}
+    numbers = spark.createDataFrame([(d, o, 0, n) for d, own in asked.items() for o, n in enumerate(own)], "doc_id int, ord int, chunk int, number int")
+    texts = spark.createDataFrame([(d, o, 0, t) for d, own in paras.items() for o, t in enumerate(own.split("|"))], "doc_id int, ord int, chunk int, text string")
+    answers = spark.createDataFrame([(5,)], "doc_id int")
+    got = {r.doc_id: (r.questions, r.found, r.status) for r in quality.order_status(numbers, texts, answers).collect()}
+    assert got == {1: (3, 3, "PASS"), 2: (3, 1, "FAIL"), 3: (3, 1, "FAIL"), 4: (0, 0, "WARN"), 5: (0, 0, "FAIL"), 6: (2, 1, "FAIL"), 7: (3, 3, "PASS"), 8: (2, 1, "FAIL")}
