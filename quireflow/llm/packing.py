@@ -81,7 +81,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a text with the string of an added token is encoded whole: the tokenizer looks for those before all else
+        self.added = [token.content.lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.words, self.units = _Ids(), _Ids()
 
     def _learn_units(self, units: set[str]) -> None:
@@ -118,11 +119,15 @@ class WordTokens:
             self.units = _Ids()
         # these two letters are lower-cased otherwise than by the tokenizer, the first to a letter and a mark
         lowered = [t if "\u0130" in t or "\u03a3" in t else t.lower() for t in texts]
-        parts = [t.replace("\n", " ").split(" ") for t in lowered]
+        whole = {k for k, t in enumerate(lowered) if any(token in t.lower() for token in self.added)} if self.added else set()
+        parts = [[] if k in whole else t.replace("\n", " ").split(" ") for k, t in enumerate(lowered)]
         self._learn(set().union(*parts))
         ids, sizes = self.words.take(np.fromiter(map(self.words.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts))))
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([len(words) for words in parts])]
-        return np.split(ids, ends[:-1])
+        encoded = np.split(ids, ends[:-1])
+        for k in whole:
+            encoded[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+        return encoded
 
 
 @cache

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import chaining, hyperdimensional, impact_search, licenses, mixing, packing, simhash, text_density, toxicity
+from quireflow.llm import (
+    best_fit, chaining, hyperdimensional, impact_search, licenses, middle, mixing, packing, simhash, spelling, text_density, toxicity)
 from quireflow.llm.common import held_out, table
 from quireflow.llm.digest_index import DigestIndex
 from quireflow.session import ensure_checkpoint_dir
@@ -164,3 +165,47 @@ FROM ruled
 
 
 SQL["op10_license_scan"] = _license_sql()
+
+
+@register
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words, their more frequent spelling one letter away, and where such spellings lead."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 2048 tokens, whole where it fits one."""
+    return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle last, and rebuilt from that; both texts as digests."""
+    found = middle.restore(middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+SQL["op13_fill_in_middle"] = """
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h, string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents),
+drawn AS (
+  SELECT doc_id, t, lines, len(lines) - (t = '' OR right(t, 1) = chr(10))::INT AS n,
+    ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4
+  FROM hashed),
+cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+heads AS (
+  SELECT *, CASE WHEN low = 0 THEN '' WHEN low < len(lines) THEN array_to_string(lines[1:low], chr(10)) || chr(10) ELSE t END AS p,
+    CASE WHEN high = 0 THEN '' WHEN high < len(lines) THEN array_to_string(lines[1:high], chr(10)) || chr(10) ELSE t END AS pm
+  FROM cuts),
+parts AS (SELECT *, substr(pm, length(p) + 1) AS m, substr(t, length(pm) + 1) AS s FROM heads)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""

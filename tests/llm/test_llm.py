@@ -41,6 +41,11 @@ def odd_documents(spark):
     return spark.createDataFrame(rows, ODD)
 
 
+def special_texts():
+    """Texts with the strings of the tokenizer's added tokens, whole, broken up and in other cases."""
+    return ["hello <|endoftext|> world", "a<|startoftext|>b. <|endoftext|>", "<|ENDOFTEXT|> x", "<|endoftext", "\u0130 <|endoftext|>", "a <| b |> <|endoftext|><|endoftext|>"]
+
+
 def none_of(spark, schema):
     return spark.createDataFrame([], schema)
 
@@ -53,7 +58,7 @@ def test_sql(spark, duck, folder, name):
 
 def test_registered():
     runs, sql = load_llm()
-    assert {int(m[1]) for n in runs if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert {int(m[1]) for n in runs if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
     assert "pipeline" in runs and set(sql) <= set(runs)
 
 
@@ -314,9 +319,9 @@ def test_packing(spark, folder):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     docs = spark.read.parquet(f"{folder}/documents.parquet").select(*[c.split()[0] for c in DOCS.split(", ")]).unionByName(
-        odd_documents(spark).where("doc_id <> 6").selectExpr("doc_id + 1000000 AS doc_id", "text", "lang", "source", "n_chars"))
+        odd_documents(spark).where("doc_id <> 6").selectExpr("doc_id + 1000000 AS doc_id", "text", "lang", "source", "n_chars")).unionByName(
+        spark.createDataFrame([(2_000_000 + k, t, None, None, None) for k, t in enumerate(special_texts())], DOCS))
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     got = packing.pack(docs.withColumn("length", F.lit("x")), tokenizer_path()).collect()
     by, bins = defaultdict(list), defaultdict(list)
