@@ -11,7 +11,7 @@ from quireflow.plans.structure_queries import digit, text_lines
 from quireflow.sources import corpus
 from quireflow.sources.corpus import table
 from quireflow.sources.tables import order_sources
-from quireflow.streaming import feeds, jobs
+from quireflow.streaming import bundles, feeds, jobs
 
 LATIN = Conventions(script=r"\p{L}")
 
@@ -253,3 +253,33 @@ SELECT doc_id AS bundle, bool_and(l_returnflag <> 'R' AND until >= 20) AS ready,
 def _(spark, folder):
     members = corpus.numbers(spark, folder).select(F.col("doc_id").alias("bundle"), (F.col("l_returnflag") != "R").alias("converted"), F.col("l_quantity").cast("long").alias("until"))
     return jobs.bundle_ready(members, 20)
+
+
+def bundle_events(spark, folder):
+    """Four neighbouring users are a bundle's jobs: views join it, errors take a conversion back, large clicks close it."""
+    u = corpus.usage(spark, folder)
+    event = F.when(F.col("event").isin("join", "upload"), "member").when(F.col("event") == "error", "delete").when(
+        (F.col("event") == "download") & (F.col("seconds") > 180), "close").when(F.col("event").isin("convert", "download"), "convert")
+    until = F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("seconds") * 3600000000).cast("long"))
+    return u.select(F.floor(F.col("user").cast("long") / 4).cast("string").alias("bundle"), F.col("user").alias("job"), "id", "ts", event.alias("event"), until.alias("until"))
+
+
+@query("bundle_flips", "I4", """
+WITH e AS (SELECT CAST(CAST("user" AS BIGINT) // 4 AS VARCHAR) AS bundle, "user" AS job, id, epoch_us(ts) AS micros,
+             CASE WHEN event IN ('join', 'upload') THEN 'member' WHEN event = 'error' THEN 'delete' WHEN event = 'download' AND seconds > 180 THEN 'close' ELSE 'convert' END AS ev,
+             epoch_us(ts) + CAST(floor(seconds * 3600000000) AS BIGINT) AS until FROM usage),
+t AS (SELECT *, count(*) FILTER (ev = 'close') OVER (PARTITION BY bundle ORDER BY micros, id) - (ev = 'close')::INT AS turn FROM e),
+closed AS (SELECT bundle, turn, micros AS closed FROM t WHERE ev = 'close'),
+joined AS (SELECT j.*, c.closed FROM (SELECT bundle, turn, job, min(micros) AS joined FROM t WHERE ev = 'member' GROUP BY ALL) j LEFT JOIN closed c ON c.bundle = j.bundle AND c.turn = j.turn),
+held AS (SELECT bundle, job, turn, micros, CASE WHEN ev = 'convert' THEN until END AS until, lead(micros) OVER (PARTITION BY bundle, turn, job ORDER BY micros) AS nxt
+         FROM (SELECT bundle, turn, job, micros, arg_max(ev, id) AS ev, arg_max(until, id) AS until FROM t WHERE ev IN ('convert', 'delete') GROUP BY ALL)),
+inside AS (SELECT h.bundle, greatest(h.micros, joined) AS a, least(until + 1, coalesce(nxt, until + 1), coalesce(closed, until + 1)) AS b
+           FROM held h JOIN joined j ON j.bundle = h.bundle AND j.turn = h.turn AND j.job = h.job WHERE until IS NOT NULL),
+steps AS (SELECT bundle, joined AS micros, 1 AS m, 0 AS o FROM joined UNION ALL SELECT bundle, closed, -1, 0 FROM joined WHERE closed IS NOT NULL
+          UNION ALL SELECT bundle, a, 0, 1 FROM inside WHERE a < b UNION ALL SELECT bundle, b, 0, -1 FROM inside WHERE a < b),
+run AS (SELECT bundle, micros, sum(sum(m)) OVER w AS members, sum(sum(o)) OVER w AS inside FROM steps GROUP BY bundle, micros WINDOW w AS (PARTITION BY bundle ORDER BY micros)),
+flips AS (SELECT *, members > 0 AND members = inside AS ready FROM run),
+told AS (SELECT *, coalesce(lag(ready) OVER (PARTITION BY bundle ORDER BY micros), false) AS was FROM flips)
+SELECT bundle, micros, ready, CAST(members AS BIGINT) AS members FROM told WHERE ready <> was""", ("usage",))
+def _(spark, folder):
+    return bundles.bundle_flips(bundle_events(spark, folder)).select("bundle", F.unix_micros("ts").alias("micros"), "ready", "members")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quireflow.operators import usage as ops
 from quireflow.sources import corpus
-from quireflow.streaming import feeds, jobs
+from quireflow.plans.export_queries import bundle_events
+from quireflow.streaming import bundles, feeds, jobs
 
 
 def _stage(df):
@@ -74,3 +75,65 @@ def test_sources_and_csv(spark, folder):
     path = tempfile.mkdtemp(prefix="spark-csv-") + "/out"
     export.write_usage_csv(corpus.usage(spark, folder), path)
     assert spark.read.csv(path, header=True).columns[0].endswith("time")
+
+
+def _bundle_flips(spark, streams, snapshot=None, name="bundle_flips_seen"):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for key, value in bundles.BUNDLE_STREAM_CONF.items():
+        spark.conf.set(key, value)
+    try:
+        out = bundles.bundle_stream(streams, "300 days", snapshot)
+        out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return sorted((r.bundle, r.ts, r.ready, r.members) for r in spark.table(name).collect())
+
+
+def _in_triggers(spark, events, parts):
+    """The events in so many files and as many triggers, out of order, and a last one that moves the watermark past all."""
+    path = tempfile.mkdtemp(prefix="spark-stream-")
+    for part in range(parts):
+        events.where(F.abs(F.hash("id")) % parts == part).orderBy(F.hash("id", "job")).coalesce(1).write.mode("append").parquet(path)
+    end = spark.createDataFrame([("~", "~", -1, "2026-01-01 00:00:00", "tick", None)], "bundle string, job string, id bigint, ts string, event string, until timestamp")
+    end.withColumn("ts", F.col("ts").cast("timestamp")).select(*events.columns).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_bundle_stream(spark, folder):
+    """Two streams, shuffled over three triggers each, give the flips of the finished log, ends of windows included."""
+    events = bundle_events(spark, folder).where("event is not null")
+    expected = sorted((r.bundle, r.ts, r.ready, r.members) for r in bundles.bundle_flips(events).collect())
+    streams = [_in_triggers(spark, events.where("event in ('member', 'close')"), 3), _in_triggers(spark, events.where("event not in ('member', 'close')"), 3)]
+    assert _bundle_flips(spark, streams) == expected
+    known = {(r.bundle, r.ts) for r in events.collect()}
+    assert any((bundle, ts) not in known for bundle, ts, ready, _ in expected if not ready) and {ready for _, _, ready, _ in expected} == {True, False}
+
+
+def test_bundle_stream_from_snapshot(spark, folder):
+    """What came before an instant as a batch, what came later as a stream."""
+    events, asof = bundle_events(spark, folder).where("event is not null"), "2024-01-12 00:00:00"
+    flips = sorted((r.bundle, r.ts, r.ready, r.members) for r in bundles.bundle_flips(events).where(F.col("ts") > F.lit(asof).cast("timestamp")).collect())
+    later = _in_triggers(spark, events.where(F.col("ts") > F.lit(asof).cast("timestamp")), 2)
+    assert flips and _bundle_flips(spark, [later], bundles.bundle_snapshot(events, asof), "bundle_flips_later") == flips
+
+
+def test_bundle_flips_small(spark):
+    def run(rows):
+        schema = "bundle string, job string, id bigint, ts bigint, event string, until bigint"
+        events = spark.createDataFrame(rows, schema).withColumns({c: F.timestamp_seconds(c) for c in ("ts", "until")})
+        return [(r.bundle, r.s, r.ready, r.members) for r in bundles.bundle_flips(events).select("bundle", (F.unix_micros("ts") / 1e6).alias("s"), "ready", "members").orderBy("bundle", "s").collect()]
+
+    member = [("b", "j", 1, 0, "member", None), ("b", "k", 2, 0, "member", None)]
+    assert run(member) == []
+    both = member + [("b", "j", 3, 10, "convert", 100), ("b", "k", 4, 20, "convert", 50)]
+    assert run(both) == [("b", 20, True, 2), ("b", 50.000001, False, 2)]
+    # another conversion keeps the window open, a late member closes it, its conversion opens it again
+    assert run(both + [("b", "k", 5, 50, "convert", 70)]) == [("b", 20, True, 2), ("b", 70.000001, False, 2)]
+    assert run(both + [("b", "l", 6, 30, "member", None), ("b", "l", 7, 40, "convert", 41)]) == [("b", 20, True, 2), ("b", 30, False, 3), ("b", 40, True, 3), ("b", 41.000001, False, 3)]
+    assert run(both + [("b", "l", 7, 30, "convert", 90), ("b", "l", 6, 40, "member", None)]) == [("b", 20, True, 2), ("b", 50.000001, False, 3)]
+    # deleted and converted in one instant: the last counts; an unknown event and a job of no bundle count for nothing
+    assert run(both + [("b", "j", 8, 30, "delete", None), ("b", "j", 9, 30, "convert", 60), ("b", "x", 10, 25, "convert", 60), ("b", "j", 11, 26, "view", None)]) == [("b", 20, True, 2), ("b", 50.000001, False, 2)]
+    assert run(both + [("b", "j", 9, 30, "convert", 60), ("b", "j", 10, 30, "delete", None)]) == [("b", 20, True, 2), ("b", 30, False, 2)]
+    # closed, and opened anew under the same name
+    assert run(both + [("b", "", 12, 30, "close", None), ("b", "j", 13, 31, "member", None), ("b", "j", 14, 32, "convert", 33)]) == [
+        ("b", 20, True, 2), ("b", 30, False, 0), ("b", 32, True, 1), ("b", 33.000001, False, 1)]
