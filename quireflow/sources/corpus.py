@@ -163,6 +163,34 @@ FROM (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS ord, text,
       FROM conversations)""")
 
 
+def turn_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """turns set on the page grid as a workbook: guides and questions first, all answers behind them; question heads are large."""
+    flat = turns(spark, folder).withColumn("text", F.regexp_replace("text", "\n", " "))
+    answers = (F.col("kind") == "answer").cast("int")
+    rows = flat.withColumns({"section": answers, "rows": F.regexp_extract_all("text", F.lit(r"(?s).{1,48}"), F.lit(0))})
+    sizes = rows.select("doc_id", "section", "chunk", "ord", F.size("rows").cast("long").alias("n"))
+    first = scan.running(sizes, ["doc_id"], ["section", "chunk"], ["ord"], sums={"upto": F.col("n")}).select("doc_id", "ord", (F.col("upto") - F.col("n")).alias("first_row"))
+    placed = rows.join(first, ["doc_id", "ord"]).select("doc_id", "ord", "kind", "number", "first_row", F.posexplode("rows").alias("wrap", "text"))
+    placed = placed.withColumns({"row_no": (F.col("first_row") + F.col("wrap")).cast("int"), "lang": F.lit("en"),
+                                 "line_no": F.when((F.col("kind") == "question") & (F.col("wrap") == 0), 0).otherwise(1)})
+    return place_rows(placed.where(F.length(F.trim("text")) > 0)).drop("first_row")
+
+
+sql_view("turn_rows", r"""
+SELECT *, CAST(row_no // 80 + 1 AS INTEGER) AS page, CAST(row_no % 80 // 40 AS INTEGER) AS col, 70 + 14 * (row_no % 40) AS y0, 70 + 14 * (row_no % 40) + CASE WHEN kind = 'question' AND wrap = 0 THEN 12 ELSE 10 END AS y1
+FROM (SELECT doc_id, ord, kind, number, CAST(wrap AS INTEGER) AS wrap, CAST(first_row + wrap AS INTEGER) AS row_no, substr(text, wrap * 48 + 1, 48) AS text
+      FROM (SELECT *, unnest(range(n)) AS wrap FROM (
+            SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY kind = 'answer', ord) AS BIGINT) - n AS first_row
+            FROM (SELECT doc_id, ord, kind, number, replace(text, chr(10), ' ') AS text, CAST((length(text) + 47) // 48 AS BIGINT) AS n FROM turns))))
+WHERE length(trim(text)) > 0""", ("turns",))
+
+
+def grid_pages(rows: DataFrame) -> DataFrame:
+    """The pages of rows on the grid."""
+    return rows.groupBy("doc_id", "page").agg(F.lit(PAGE_W).alias("width"), F.lit(PAGE_H).alias("height"), F.lit(298.0).alias("split_x"),
+                                              F.lit(60.0).alias("top"), F.lit(780.0).alias("bottom"))
+
+
 EVENT_NAMES = {"signup": "join", "view": "upload", "click": "download", "purchase": "convert", "error": "error"}
 
 
