@@ -1,5 +1,7 @@
 """Exports, previews, profiles, and the finished-log twins of the streaming operators."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quireflow.conventions import Conventions
@@ -10,8 +12,9 @@ from quireflow.plans.registry import query, sql_view
 from quireflow.plans.structure_queries import digit, text_lines
 from quireflow.sources import corpus
 from quireflow.sources.corpus import table
+from quireflow.session import ensure_checkpoint_dir
 from quireflow.sources.tables import order_sources
-from quireflow.streaming import bundles, feeds, jobs
+from quireflow.streaming import bundles, feeds, incremental, jobs
 
 LATIN = Conventions(script=r"\p{L}")
 
@@ -283,3 +286,17 @@ told AS (SELECT *, coalesce(lag(ready) OVER (PARTITION BY bundle ORDER BY micros
 SELECT bundle, micros, ready, CAST(members AS BIGINT) AS members FROM told WHERE ready <> was""", ("usage",))
 def _(spark, folder):
     return bundles.bundle_flips(bundle_events(spark, folder)).select("bundle", F.unix_micros("ts").alias("micros"), "ready", "members")
+
+
+@query("documents_updated", "I5", """
+SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS batch FROM doc_lines GROUP BY doc_id""", ("doc_lines",))
+def _(spark, folder):
+    # the first delivery has another first line in every third document; the second has all documents as they are
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    stages = [incremental.Stage("lines", "1", lambda texts: texts.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))),
+              incremental.Stage("sizes", "1", lambda texts, lines: lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars")), ("lines",))]
+    store = incremental.DocumentStore(spark, f"{ensure_checkpoint_dir(spark)}/documents-{uuid.uuid4().hex}", stages)
+    store.update(docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("draft\n"), "text")).otherwise(F.col("text"))), 0)
+    store.update(docs, 1)
+    made_in = store.manifest().where("stage = 'sizes'").select("doc_id", "batch")
+    return store.rows("sizes").join(made_in, "doc_id").select("doc_id", "lines", "chars", "batch")

@@ -20,7 +20,10 @@ PAGE_W, PAGE_H = 595.0, 842.0
 
 def doc_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Text lines of the documents: doc_id, line_no, text, source, lang."""
-    docs = table(spark, folder, "documents")
+    return lines_of_texts(table(spark, folder, "documents"))
+
+
+def lines_of_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
 
 
@@ -35,7 +38,12 @@ def layout_rows(spark: SparkSession, folder: str) -> DataFrame:
     The row number inside the document is a running sum over its lines, taken in two levels so that one huge document
     does not become one task.
     """
-    lines = doc_lines(spark, folder).withColumn("rows", F.regexp_extract_all("text", F.lit(r"(?s).{1,48}"), F.lit(0)))
+    return set_rows(doc_lines(spark, folder))
+
+
+def set_rows(lines: DataFrame) -> DataFrame:
+    """Lines of texts as rows of the grid."""
+    lines = lines.withColumn("rows", F.regexp_extract_all("text", F.lit(r"(?s).{1,48}"), F.lit(0)))
     lines = lines.withColumn("rows", F.when(F.size("rows") == 0, F.array(F.lit(""))).otherwise(F.col("rows")))
     sizes = lines.select("doc_id", "line_no", (F.col("line_no") / 512).cast("int").alias("chunk"),
                          F.size("rows").cast("long").alias("n"))

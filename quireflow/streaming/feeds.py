@@ -1,10 +1,8 @@
-"""Continuous usage summary, failure store and document intake."""
+"""Continuous usage summary and failure store."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.operators import usage as ops
@@ -29,7 +27,7 @@ def samples_stream(failures: DataFrame, store: str, checkpoint: str, **limits):
     """Keeps the failure store up to date: each micro-batch is folded into the newest version and pruned.
 
     A batch writes a version folder named by its id and reads the one before it, so a batch that is run again after a lost
-    executor or driver gives the same store.
+    executor or driver gives the same store. Versions before that one are removed.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
@@ -41,15 +39,11 @@ def samples_stream(failures: DataFrame, store: str, checkpoint: str, **limits):
         if limits:
             merged = ops.prune_samples(merged, **limits)
         merged.write.mode("overwrite").parquet(f"{store}/version={batch_id}")
+        root = spark._jvm.org.apache.hadoop.fs.Path(store)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith("version=") and int(name.removeprefix("version=")) < batch_id - 1:
+                files.delete(status.getPath(), True)
 
     return failures.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
-
-
-def corpus_stream(spark: SparkSession, folder: str, schema: str, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """New document files through the batch operators: each micro-batch overwrites its own output partition."""
-    documents = spark.readStream.schema(schema).parquet(folder)
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        process(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

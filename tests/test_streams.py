@@ -1,13 +1,16 @@
 """Streaming forms against their finished-log twins."""
 
+import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from quireflow.operators import convert
 from quireflow.operators import usage as ops
 from quireflow.sources import corpus
 from quireflow.plans.export_queries import bundle_events
-from quireflow.streaming import bundles, feeds, jobs
+from quireflow.streaming import bundles, feeds, incremental, jobs
 
 
 def _stage(df):
@@ -56,14 +59,101 @@ def test_samples_stream(spark, folder):
     assert got == {(r.key, r["count"]) for r in ops.upsert_samples(failures).collect()}
 
 
-def test_corpus_stream(spark, folder):
-    from quireflow.operators import profile
-
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    path, out, checkpoint = _stage(docs), tempfile.mkdtemp(prefix="spark-out-"), tempfile.mkdtemp(prefix="spark-ck-")
-    layer = lambda df: profile.text_layer(df.select("doc_id", "text"))
-    feeds.corpus_stream(spark, path, docs.schema.simpleString().replace("struct<", "").rstrip(">").replace(":", " "), layer, out, checkpoint).trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(out).count() == docs.count()
+def test_samples_stream_later_batches(spark, folder):
+    """Three triggers give the store of all failures; a batch run again changes nothing; old versions go."""
+    failures = corpus.failures(spark, folder)
+    failures = failures.withColumn("key", F.concat(F.lit("k"), (F.col("doc_id") % 4).cast("string")))
+    path = tempfile.mkdtemp(prefix="spark-stream-")
+    for part in range(3):
+        failures.where(F.col("doc_id") % 3 == part).coalesce(1).write.mode("append").parquet(path)
+    store, checkpoint = tempfile.mkdtemp(prefix="spark-store-"), tempfile.mkdtemp(prefix="spark-ck-")
+    stream = spark.readStream.schema(failures.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    feeds.samples_stream(stream, store, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(os.listdir(store)) == ["version=1", "version=2"]
+
+    def rows(df):
+        return sorted(tuple(str(r[c]) for c in ("key", "count", "first_ts", "ts", "doc_id", "status", "error")) for r in df.collect())
+
+    expected = rows(ops.upsert_samples(failures))
+    assert rows(spark.read.parquet(f"{store}/version=2")) == expected
+    # the driver is lost after the last batch was written, before it was noted as done
+    for name in os.listdir(f"{checkpoint}/commits"):
+        if name in ("2", ".2.crc"):
+            os.remove(f"{checkpoint}/commits/{name}")
+    feeds.samples_stream(stream, store, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(f"{store}/version=2")) == expected
+
+
+def _word_stages(version="1", fails=False):
+    def count(docs, lines):
+        if fails:
+            raise RuntimeError("lost")
+        return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), F.lit(version).alias("made_by"))
+
+    return [incremental.Stage("lines", "1", lambda docs: docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))),
+            incremental.Stage("counts", version, count, ("lines",)),
+            incremental.Stage("total", "1", lambda docs, counts: counts.select("doc_id", (F.col("lines") + F.col("chars")).alias("total")), ("counts",))]
+
+
+def test_document_store(spark):
+    folder = tempfile.mkdtemp(prefix="spark-store-")
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    totals = lambda store: {r.doc_id: r.total for r in store.rows("total").collect()}
+    ran = lambda stage, batch: sorted({r.doc_id for r in spark.read.parquet(f"{folder}/{stage}/batch={batch}").collect()})
+    store = incremental.DocumentStore(spark, folder, _word_stages())
+    with pytest.raises(LookupError):
+        store.rows("total")
+    first = docs((1, "a\nb"), (2, "cc"), (2, "cc"), (3, None), (4, "dddd"), (None, "x"))
+    assert store.update(first, 0) == {"lines": 4, "counts": 4, "total": 4}
+    assert totals(store) == {1: 4, 2: 3, 3: 1, 4: 5}
+    second = docs((2, "cc"), (4, "changed"), (5, "new\nnew"))
+    # lost before its manifest: nothing of the batch is seen, and running it again gives all of it
+    with pytest.raises(RuntimeError):
+        incremental.DocumentStore(spark, folder, _word_stages(fails=True)).update(second, 1)
+    assert totals(store) == {1: 4, 2: 3, 3: 1, 4: 5}
+    assert store.update(second, 1) == {"lines": 2, "counts": 2, "total": 2} and ran("lines", 1) == ran("total", 1) == [4, 5]
+    expected = {1: 4, 2: 3, 3: 1, 4: 8, 5: 8}
+    assert totals(store) == expected
+    assert store.update(docs((1, "other")), 1) == {"lines": 0, "counts": 0, "total": 0} and totals(store) == expected
+    assert store.update(second, 2) == {"lines": 0, "counts": 0, "total": 0} and totals(store) == expected
+    # a new version of a stage: it and what uses it run again, from stored rows and, for a changed document, new ones
+    later = incremental.DocumentStore(spark, folder, _word_stages("2"))
+    assert later.update(docs((1, "a\nb"), (2, "now longer"), (5, "new\nnew")), 3) == {"lines": 1, "counts": 3, "total": 3}
+    assert totals(later) == expected | {2: 11} and ran("lines", 3) == [2] and ran("counts", 3) == [1, 2, 5]
+    assert {r.doc_id: r.made_by for r in later.rows("counts").collect()} == {1: "2", 2: "2", 3: "1", 4: "1", 5: "2"}
+    # rows of the first two batches are still in use; once all documents are new, they are not
+    assert later.vacuum() == []
+    everything = docs((1, "a\nb"), (2, "now longer"), (3, ""), (4, "changed"), (5, "new\nnew"))
+    assert later.update(everything, 4) == {"lines": 0, "counts": 2, "total": 2}
+    assert later.vacuum() == ["counts/batch=0", "counts/batch=1", "total/batch=0", "total/batch=1"]
+    assert totals(later) == expected | {2: 11}
+    assert later.update(docs(), 5) == {"lines": 0, "counts": 0, "total": 0}
+
+
+def test_document_stream(spark, folder):
+    """Two triggers with new, changed and unchanged documents through the conversion give what the batch gives."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 14 AND length(text) < 6000").select("doc_id", "source", "lang", "text")
+    docs = docs.withColumn("text", F.concat(F.lit("1. first\n"), "text", F.lit("\n2. second")))
+    ids = sorted(r.doc_id for r in docs.collect())
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == ids[1], F.concat("text", F.lit("\n3. third"))).otherwise(F.col("text")))
+    path, out, checkpoint = (tempfile.mkdtemp(prefix="spark-docs-") for _ in range(3))
+    docs.where(F.col("doc_id") < ids[-1]).coalesce(1).write.mode("append").parquet(path)
+    changed.where(F.col("doc_id").isin(ids[0], ids[1], ids[-1])).coalesce(1).write.mode("append").parquet(path)
+
+    def lay_out(texts):
+        rows = corpus.set_rows(corpus.lines_of_texts(texts))
+        return corpus.explode_glyphs(rows), corpus.grid_pages(rows)
+
+    store = incremental.DocumentStore(spark, out, incremental.conversion_stages(lay_out))
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    incremental.document_stream(stream, store, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    assert store.batches() == [0, 1]
+    assert {r.doc_id for r in spark.read.parquet(f"{out}/lines/batch=1").select("doc_id").distinct().collect()} == {ids[1], ids[-1]}
+    whole = convert.convert(*lay_out(changed))
+    for name, found in whole.items():
+        columns = sorted(found.columns)
+        rows = lambda df: sorted(str(tuple(r)) for r in df.select(*columns).collect())  # noqa: B023, E731
+        assert rows(store.rows(name)) == rows(found), name
 
 
 def test_sources_and_csv(spark, folder):
