@@ -282,6 +282,40 @@ def _(spark, folder):
     return ops.detect_tables(ruled_tables(spark, folder)).select(*PAGE, "row", "col", "rowspan", "colspan", "x0", "x1")
 
 
+def paired_tables(spark, folder):
+    """Strokes and pages by order, four kinds in turn: a table wider than 60 % of the page; one below the content band; one
+    whose middle rule is the column divider; and two tables side by side, 12 or 30 points apart."""
+    o = table(spark, folder, "orders").select(
+        F.floor(F.col("o_orderkey") / 8).alias("doc_id"), (F.col("o_orderkey") % 8).cast("int").alias("page"), (F.col("o_orderkey") % 4).alias("kind"),
+        (F.col("o_orderkey") % 5 == 0).alias("wide"), (F.col("o_custkey") % 3 + 2).cast("int").alias("rows"), (F.col("o_custkey") % 2 + 1).cast("int").alias("left"),
+        (F.floor(F.col("o_custkey") / 2) % 2 + 1).cast("int").alias("right"), F.when(F.col("o_custkey") % 5 == 0, 30.0).otherwise(12.0).alias("gap"))
+    side = F.struct
+    paired = F.col("kind") == 3
+    first = side(F.lit(50.0).alias("x"), F.when(F.col("kind") == 0, 3).when(paired, F.col("left")).otherwise(2).alias("cols"), F.when(F.col("kind") == 0, 140.0).otherwise(30.0).alias("w"))
+    second = side((F.lit(50.0) + F.col("left") * 30 + F.col("gap")).alias("x"), F.col("right").alias("cols"), F.lit(30.0).alias("w"))
+    t = o.withColumn("t", F.explode(F.when(paired, F.array(first, second)).otherwise(F.array(first)))).withColumn("top", F.when(F.col("kind") == 1, 600.0).otherwise(100.0))
+    r = t.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows")))).withColumn("y", F.col("top") + F.col("r") * 20)
+    flat = r.select(*PAGE, F.col("t.x").alias("x0"), F.col("y").alias("y0"), (F.col("t.x") + F.col("t.cols") * F.col("t.w")).alias("x1"), F.col("y").alias("y1"))
+    v = r.where(F.col("r") < F.col("rows")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("t.cols")))).withColumn("x", F.col("t.x") + F.col("c") * F.col("t.w"))
+    tall = v.select(*PAGE, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), (F.col("y") + 20).alias("y1"))
+    pages = o.select(*PAGE, F.lit(595.0).alias("width"), F.lit(90.0).alias("top"), F.lit(500.0).alias("bottom"), F.when(F.col("kind") == 2, F.when(F.col("wide"), 80.5).otherwise(82.0)).alias("divider"), "wide")
+    return flat.unionByName(tall), pages
+
+
+@query("tables_with_open_cells", "C22 C23", """
+WITH o AS (SELECT o_orderkey // 8 AS doc_id, CAST(o_orderkey % 8 AS INTEGER) AS page, o_orderkey % 4 AS kind, o_orderkey % 5 = 0 AS wide, o_custkey % 3 + 2 AS rows, o_custkey % 2 + 1 AS l, o_custkey // 2 % 2 + 1 AS r, o_custkey % 5 = 0 AS apart FROM orders),
+t AS (SELECT doc_id, page, rows, 0 AS base, 3 AS cols, 50.0 AS x, 140.0 AS w, -1 AS gap_col FROM o WHERE kind = 0 AND wide
+ UNION ALL SELECT doc_id, page, rows, 0, 2, 50, 30, -1 FROM o WHERE kind = 2 AND NOT wide
+ UNION ALL SELECT doc_id, page, rows, 0, l, 50, 30, -1 FROM o WHERE kind = 3 AND apart AND l = 2
+ UNION ALL SELECT doc_id, page, rows, 0, r, 50 + l * 30 + 30, 30, -1 FROM o WHERE kind = 3 AND apart AND r = 2
+ UNION ALL SELECT doc_id, page, rows, 0, l + 1 + r, 50, 30, l FROM o WHERE kind = 3 AND NOT apart),
+c AS (SELECT *, unnest(range(cols)) AS c FROM (SELECT *, unnest(range(rows)) AS r FROM t))
+SELECT doc_id, page, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, c = gap_col AS open, CAST(x + c * w - CASE WHEN gap_col >= 0 AND c > gap_col THEN 18 ELSE 0 END AS DOUBLE) AS x0,
+       CAST(x + (c + 1) * w - CASE WHEN gap_col >= 0 AND c >= gap_col THEN 18 ELSE 0 END AS DOUBLE) AS x1, CAST(100 + r * 20 AS DOUBLE) AS y0 FROM c""")
+def _(spark, folder):
+    return ops.detect_tables(*paired_tables(spark, folder)).select(*PAGE, "row", "col", "open", "x0", "x1", "y0")
+
+
 @query("tables_bridged", "C23", """
 WITH o AS (SELECT o_orderkey // 8 AS doc_id, CAST(o_orderkey % 8 AS INTEGER) AS page, o_orderkey AS k, o_custkey % 4 + 2 AS rules, o_orderkey % 5 AS g FROM orders)
 SELECT doc_id, page, r * 2 + 1 AS hid, r * 2 + 2 AS joins FROM (SELECT *, unnest(range(rules)) AS r FROM o) WHERE g >= 1 AND rules >= 3 AND k % 7 <> 0""")
