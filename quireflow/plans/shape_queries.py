@@ -483,6 +483,96 @@ def _(spark, folder):
     return ops.highlights(glyphs, fills).select(*PAGE, F.col("gid").alias("sid"), F.coalesce("shade", F.lit("")).alias("shade"))
 
 
+def struck(s):
+    """Strokes, tables of two rows and boxes of a page, moved to heights 40 points apart so that many fall together."""
+    y = F.floor(F.col("y0") / 40) * 40.0
+    strokes = role(s, "R").select(*PAGE, F.col("sid").alias("seg"), "x0", (y + F.col("sid") % 3).alias("y0"), "x1", (y + F.col("sid") % 3).alias("y1"))
+    cells = role(s, "A").select(*PAGE, F.col("sid").alias("tbl"), F.explode(F.array(F.lit(0.0), F.lit(40.0))).alias("down"), (F.col("x0") - 40).alias("x0"), (F.col("x1") + 40).alias("x1"), y.alias("y")).select(
+        *PAGE, "tbl", "x0", (F.col("y") + F.col("down")).alias("y0"), "x1", (F.col("y") + F.col("down") + 40).alias("y1"))
+    boxes = role(s, "N").select(*PAGE, "x0", y.alias("y0"), "x1", (y + 80).alias("y1"))
+    return strokes, cells, boxes
+
+
+@query("underline_candidates", "C33", """
+WITH s AS (SELECT doc_id, page, sid, x0, x1, floor(y0 / 40) * 40 + sid % 3 AS y FROM shapes WHERE flag = 'R'),
+r AS (SELECT doc_id, page, x0 - 40 AS a, x1 + 40 AS b, floor(y0 / 40) * 40 + unnest([0, 40, 80]) AS y FROM shapes WHERE flag = 'A'),
+e AS (SELECT doc_id, page, x0 AS a, x1 AS b, floor(y0 / 40) * 40 + unnest([0, 80]) AS y FROM shapes WHERE flag = 'N')
+SELECT doc_id, page, sid AS seg FROM s WHERE x1 - x0 < 180 AND NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = s.doc_id AND r.page = s.page AND abs(s.y - r.y) <= 1.5 AND s.x0 >= a - 2 AND s.x1 <= b + 2)
+ AND NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = s.doc_id AND e.page = s.page AND abs(s.y - e.y) <= 1.5 AND ((s.x0 <= a + 3 AND s.x1 >= b - 3) OR s.x1 - s.x0 >= 0.8 * (b - a)))""", ("shapes",))
+def _(spark, folder):
+    s = shapes(spark, folder)
+    strokes, cells, boxes = struck(s)
+    pages = s.select(*PAGE).distinct().withColumn("width", F.lit(300.0))
+    return ops.underline_strokes(strokes, pages, ops.table_rules(cells), ops.flat_edges(boxes)).select(*PAGE, "seg")
+
+
+@query("label_blanks_underlined", "C33", """
+WITH l AS (SELECT doc_id, ord, CASE number % 3 WHEN 0 THEN 'ab:' WHEN 1 THEN 'a label too long:' ELSE 'ab ：' END AS text, l_quantity AS q, l_discount AS d FROM numbers),
+f AS (SELECT *, 50.0 + 5 * length(text) AS lx1, 50.0 + 5 * length(text) + q - 5 AS sx0, 15 + 100 * d + q AS len FROM l),
+h AS (SELECT *, (SELECT count(*) FROM range(length(text)) r(k) WHERE 50.0 + 5 * k + 2.5 BETWEEN sx0 - 0.5 AND sx0 + len + 0.5 AND text[k + 1] <> ' ') AS solid FROM f)
+SELECT doc_id, ord, CAST(length(text) + CASE WHEN behind THEN n + 1 ELSE 0 END AS BIGINT) AS glyphs, CAST(CASE WHEN solid > 0 THEN solid WHEN behind THEN n ELSE 0 END AS BIGINT) AS underlined,
+       CASE WHEN behind THEN sx0 + n * 5 ELSE lx1 END AS ends
+FROM (SELECT *, solid = 0 AND lx1 - 1 <= sx0 AND sx0 - lx1 < 40 AND len > 20 AND length(text) <= 12 AS behind, CAST(greatest(3, round_even(len / 5, 0)) AS INTEGER) AS n FROM h)""", ("numbers",))
+def _(spark, folder):
+    n = corpus.numbers(spark, folder)
+    text = F.when(F.col("number") % 3 == 0, "ab:").when(F.col("number") % 3 == 1, "a label too long:").otherwise("ab ：")
+    rows = n.select("doc_id", F.lit(1).alias("page"), F.col("ord").alias("line"), text.alias("text"), "l_quantity", "l_discount").withColumn("y1", F.lit(100.0) + F.col("line") * 20)
+    end = F.lit(50.0) + F.length("text") * 5
+    lines = rows.select(*PAGE, "line", "text", F.lit(10.0).alias("size"), F.lit(50.0).alias("x0"), (F.col("y1") - 10).alias("y0"), end.alias("x1"), "y1")
+    start = end + F.col("l_quantity") - 5
+    segments = rows.select(*PAGE, F.col("line").alias("seg"), start.alias("x0"), (F.col("y1") + 1).alias("y0"), (start + 15 + 100 * F.col("l_discount") + F.col("l_quantity")).alias("x1"))
+    glyphs = rows.select(*PAGE, "line", F.posexplode(F.split("text", "")).alias("gno", "c")).select(
+        *PAGE, "line", "gno", (F.col("c") == " ").alias("space"), (F.lit(50.0) + F.col("gno") * 5).alias("x0"), (F.lit(55.0) + F.col("gno") * 5).alias("x1"))
+    out = ops.underlines(lines, glyphs, segments)
+    return out.groupBy("doc_id", F.col("line").alias("ord")).agg(F.count("*").alias("glyphs"), F.count_if("underline").alias("underlined"), F.max("x1").alias("ends"))
+
+
+@query("highlighted_outside_tables", "C34", """
+WITH g AS (SELECT *, x0 + 5 AS cx, y0 + 5 AS cy, y0 - part % 3 * 4 AS ly0, y0 - part % 3 * 4 + 10 AS ly1 FROM shapes WHERE flag <> 'A'),
+f AS (SELECT * FROM shapes b WHERE flag = 'A' AND NOT EXISTS (SELECT 1 FROM shapes t WHERE t.doc_id = b.doc_id AND t.page = b.page AND t.flag = 'N' AND b.x0 >= t.x0 - 102 AND b.x1 <= t.x1 + 102 AND b.y0 >= t.y0 - 62 AND b.y0 + 15 <= t.y1 + 62))
+SELECT g.doc_id, g.page, g.sid, coalesce(arg_max('#' || f.disc, f.sid), '') AS shade FROM g LEFT JOIN f ON f.doc_id = g.doc_id AND f.page = g.page AND g.supp % 4 <> 0
+ AND cx BETWEEN f.x0 - 1 AND f.x1 + 1 AND cy BETWEEN f.y0 - 2 AND f.y0 + 17 AND ly0 < f.y0 + 15 AND ly1 > f.y0 GROUP BY g.doc_id, g.page, g.sid""", ("shapes",))
+def _(spark, folder):
+    s = shapes(spark, folder)
+    above = F.col("y0") - F.col("part") % 3 * 4
+    glyphs = s.where("flag <> 'A'").select(*PAGE, F.col("sid").alias("gid"), "x0", "y0", (F.col("x0") + 10).alias("x1"), (F.col("y0") + 10).alias("y1"),
+                                           (F.col("supp") % 4 == 0).alias("in_cell"), above.alias("line_y0"), (above + 10).alias("line_y1"))
+    fills = role(s, "A").select(*PAGE, F.col("sid").alias("draw_ord"), "x0", "y0", "x1", (F.col("y0") + 15).alias("y1"), F.concat(F.lit("#"), F.col("disc").cast("string")).alias("color"))
+    tables = role(s, "N").select(*PAGE, (F.col("x0") - 100).alias("x0"), (F.col("y0") - 60).alias("y0"), (F.col("x1") + 100).alias("x1"), (F.col("y1") + 60).alias("y1"))
+    return ops.highlights(glyphs, fills, tables).select(*PAGE, F.col("gid").alias("sid"), F.coalesce("shade", F.lit("")).alias("shade"))
+
+
+def pictures_and_texts(s):
+    """Pictures, and texts around them; a third of the texts opens with '<' and a third closes with '>'."""
+    images = role(s, "A").select(*PAGE, F.col("sid").alias("img"), "x0", "y0", (F.col("x0") + 60 + F.col("qty") * 4).alias("x1"), (F.col("y0") + 60 + F.col("part") % 60).alias("y1"))
+    foot = F.lit(60.0) + F.floor(F.col("y0") / 5) * 5
+    text = F.concat(F.when(F.col("part") % 3 != 1, "< ").otherwise(""), F.lit("w"), F.col("sid").cast("string"), F.when(F.col("part") % 3 != 2, ">").otherwise(""))
+    frags = s.where("flag <> 'A'").select(*PAGE, F.col("sid").alias("fid"), text.alias("text"), (F.lit(8.0) + F.col("supp") % 3 * 8).alias("size"), "x0", foot.alias("y0"), (F.col("x0") + 20 + F.col("qty")).alias("x1"), (foot + 10).alias("y1"))
+    return images, frags
+
+
+PICTURES = """
+WITH i AS (SELECT doc_id, page, sid AS img, x0, y0, x0 + 60 + qty * 4 AS x1, y0 + 60 + part % 60 AS y1 FROM shapes WHERE flag = 'A'),
+f AS (SELECT doc_id, page, sid AS fid, CASE WHEN part % 3 <> 1 THEN '<' ELSE '' END || 'w' || sid || CASE WHEN part % 3 <> 2 THEN '>' ELSE '' END AS t, 8.0 + supp % 3 * 8 AS size, x0, 60.0 + floor(y0 / 5) * 5 AS y0, x0 + 20 + qty AS x1, 70.0 + floor(y0 / 5) * 5 AS y1
+      FROM shapes WHERE flag <> 'A')"""
+
+
+@query("captions_absorbed", "C31", PICTURES + """,
+b AS (SELECT i.doc_id, i.page, img, list(fid) AS fids, string_agg(t, '' ORDER BY f.x0, fid) AS read FROM i JOIN f ON f.doc_id = i.doc_id AND f.page = i.page AND f.y0 - i.y1 BETWEEN 0 AND 1.5 * size AND i.x0 - size <= f.x0 AND f.x1 <= i.x1 + size GROUP BY ALL)
+SELECT doc_id, page, frag, min(img) AS image FROM (SELECT doc_id, page, img, unnest(fids) AS frag FROM b WHERE regexp_full_match(read, '[<〈＜].{1,30}[>〉＞]')) GROUP BY ALL""", ("shapes",))
+def _(spark, folder):
+    return ops.captions(*pictures_and_texts(shapes(spark, folder)))
+
+
+@query("bubble_texts_absorbed", "C31", PICTURES + """,
+p AS (SELECT i.doc_id, i.page, img, fid, f.x0 AS a, f.x1 AS b, i.x0 AS ia, i.x1 AS ib FROM i JOIN f ON f.doc_id = i.doc_id AND f.page = i.page AND i.x1 - i.x0 >= 80 AND i.y1 - i.y0 >= 80
+      AND f.x0 >= i.x0 - 1 AND f.x1 <= i.x1 + 1 AND f.y0 >= i.y0 - 1 AND f.y1 <= i.y1 + 1),
+g AS (SELECT doc_id, page, img FROM p GROUP BY doc_id, page, img, ia, ib HAVING count(*) >= 2 AND max(b - a) <= 0.8 * (ib - ia) AND (min(a) - ia >= 0.2 * (ib - ia) OR ib - max(b) >= 0.2 * (ib - ia)))
+SELECT doc_id, page, fid AS frag, min(img) AS image FROM p JOIN g USING (doc_id, page, img) GROUP BY ALL""", ("shapes",))
+def _(spark, folder):
+    return ops.bubble_texts(*pictures_and_texts(shapes(spark, folder)))
+
+
 ASSIGN = """
 SELECT doc_id, page, sid, kind, CASE WHEN kind = 'table' AND NOT m.a > sa * 1.02 THEN NULL WHEN kind = 'image' AND NOT (x0 >= m.x0 - 3 AND x1 <= m.x1 + 3) THEN NULL ELSE m.box END AS box FROM (
  SELECT i.doc_id, i.page, i.sid, i.kind, i.x0, i.x1, (i.x1 - i.x0) * (i.y1 - i.y0) AS sa, arg_min({'a': b.a, 'box': b.box, 'x0': b.x0, 'x1': b.x1}, (b.a, b.box)) AS m

@@ -19,3 +19,17 @@ def test_entry_needs_no_session_for_sql():
 
     assert set(oracle_sql()) <= set(queries())
     assert len(queries()) >= 200
+
+
+def test_missing_package_leaves_the_rest(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    for name in [n for n in sys.modules if n.startswith("quireflow.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "quireflow.llm", None)
+    with pytest.warns(UserWarning):
+        assert __spark_entry__.load_llm() == ({}, {})
+    with pytest.warns(UserWarning):
+        assert len(__spark_entry__.queries()) >= 200
