@@ -225,6 +225,31 @@ def _(spark, folder):
     return out.select(*PAGE, "boxes", "x0", "x1")
 
 
+def sloped_parts(spark, folder):
+    """Boxes, strokes and column splits by order, five kinds in turn: a slanting link, falling or rising; linked boxes inside
+    another; boxes that reach into a chart, one or two; a chart over the column split; two charts that overlap."""
+    o = table(spark, folder, "orders").select(F.floor(F.col("o_orderkey") / 8).alias("doc_id"), (F.col("o_orderkey") % 8).cast("int").alias("page"), (F.col("o_orderkey") % 5).alias("kind"), (F.col("o_custkey") % 2 == 1).alias("odd"))
+    rect = lambda k, *v: F.struct(F.lit(k).alias("k"), *[F.lit(float(x)).alias(c) for x, c in zip(v, ("x0", "y0", "x1", "y1"), strict=True)])
+    one, two, flat = rect(1, 0, 100, 60, 140), rect(2, 120, 100, 180, 140), rect(1, 62, 120, 118, 120)
+    kind = F.col("kind")
+    boxes = (F.when((kind == 0) & ~F.col("odd"), F.array(one, rect(2, 120, 200, 180, 240))).when(kind == 0, F.array(one, rect(2, 120, 0, 180, 40)))
+             .when(kind == 1, F.array(rect(1, 20, 100, 80, 140), rect(2, 120, 100, 180, 140), rect(3, 0, 0, 300, 300)))
+             .when((kind == 2) & F.col("odd"), F.array(one, two, rect(3, 70, 130, 110, 160), rect(4, 70, 150, 112, 170))).when(kind == 2, F.array(one, two, rect(3, 70, 130, 110, 160)))
+             .when(kind == 3, F.array(one, two)).otherwise(F.array(one, two, rect(3, 20, 150, 80, 190), rect(4, 140, 150, 200, 190))))
+    strokes = (F.when((kind == 0) & ~F.col("odd"), F.array(rect(1, 30, 142, 150, 198))).when(kind == 0, F.array(rect(1, 30, 42, 150, 98)))
+               .when(kind == 1, F.array(rect(1, 82, 120, 118, 120))).when(kind == 4, F.array(flat, rect(2, 90, 121, 90, 160), rect(3, 82, 170, 138, 170))).otherwise(F.array(flat)))
+    spread = lambda column, name: o.select(*PAGE, F.explode(column).alias("s")).select(*PAGE, F.col("s.k").alias(name), "s.x0", "s.y0", "s.x1", "s.y1")
+    return spread(boxes, "box"), spread(strokes, "seg"), o.select(*PAGE, F.when((kind == 3) & F.col("odd"), 90.0).alias("column_split"))
+
+
+@query("linked_charts_complete", "C19", """
+SELECT o_orderkey // 8 AS doc_id, CAST(o_orderkey % 8 AS INTEGER) AS page, CASE WHEN k = 4 THEN 4 ELSE 2 END AS boxes, CAST(-2 AS DOUBLE) AS x0, CAST(CASE WHEN k = 0 AND odd THEN -2 ELSE 98 END AS DOUBLE) AS y0,
+       CAST(CASE WHEN k = 4 THEN 202 ELSE 182 END AS DOUBLE) AS x1, CAST(CASE WHEN k = 0 AND NOT odd THEN 242 WHEN k = 2 AND odd THEN 172 WHEN k = 2 THEN 162 WHEN k = 4 THEN 192 ELSE 142 END AS DOUBLE) AS y1
+FROM (SELECT o_orderkey, o_orderkey % 5 AS k, o_custkey % 2 = 1 AS odd FROM orders) WHERE k <> 1 AND NOT (k = 3 AND odd)""")
+def _(spark, folder):
+    return ops.linked_boxes(*sloped_parts(spark, folder)).select(*PAGE, "boxes", "x0", "y0", "x1", "y1")
+
+
 @query("box_colours", "C20", """
 WITH e AS (SELECT b.doc_id, b.page, b.box, s.status AS c, count(*) AS n, min(s.sid) AS seen FROM big_boxes b JOIN shapes s ON s.doc_id = b.doc_id AND s.page = b.page AND s.flag = 'R'
   AND least(abs(s.y0 - b.y0), abs(s.y0 - b.y1)) < 1.5 AND s.x0 < b.x1 AND s.x1 > b.x0 GROUP BY ALL)
