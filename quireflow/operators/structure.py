@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quireflow.conventions import CIRCLED, KOREAN, SPACE, Conventions
 from quireflow.functions import graph, scan
 from quireflow.functions import text as tx
+from quireflow.session import settle
 
 FLOW = ["doc_id"]
 
@@ -149,12 +150,47 @@ def label_icons(leads: DataFrame, scope: list[str]) -> DataFrame:
     """
     place = Window.partitionBy(*scope, "question").orderBy("ord")
     votes = leads.withColumn("k", F.row_number().over(place)).where("k <= 10")
-    counts = votes.groupBy(*scope, "digest", "k").agg(F.count("*").alias("n"), F.min(F.struct("question", "ord")).alias("seen"))
+    return _voted(votes.withColumn("seen", F.struct("question", "ord")), scope)
+
+
+def _voted(votes: DataFrame, scope: list[str]) -> DataFrame:
+    counts = votes.groupBy(*scope, "digest", "k").agg(F.count("*").alias("n"), F.min("seen").alias("seen"))
     # smallest struct wins: most votes, then earliest sight
     return counts.groupBy(*scope, "digest").agg(F.min(F.struct((-F.col("n")).alias("n"), "seen", "k")).alias("m")).select(
         *scope, "digest", F.element_at(F.array(*[F.lit(c) for c in CIRCLED]), F.col("m.k")).alias("label"), (-F.col("m.n")).alias("votes"))
 
 
+def icon_runs(leads: DataFrame) -> DataFrame:
+    """Icons at line starts as sets of choices, for documents without question heads: adds run and k, the place in it.
+
+    `leads` has doc_id, ord, chunk, page, col, x0, digest. A run goes on while page, column and x (to three points) stay the
+    same and no icon comes twice. The next start behind a start s is the first place whose icon has stood at s or later,
+    so it is the smallest "next place of the same icon" over all places from s on: a running minimum from behind. The
+    starts that count are those on the way along these pointers from where the place on the page changes.
+    """
+    spot = F.struct("page", "col", F.rint(F.col("x0") / 3).alias("x"))
+    rows = leads.withColumn("spot", spot)
+    rows = scan.neighbours(rows, FLOW, ["chunk"], ["ord"], lag={"p_spot": F.col("spot")})
+    rows = settle(scan.islands(rows, FLOW, ["chunk"], ["ord"], ~F.col("p_spot").eqNullSafe(F.col("spot")), "stretch"))
+    again = scan.neighbours(rows, [*FLOW, "stretch", "digest"], ["chunk"], ["ord"], lead={"again": F.col("ord")})
+    back = again.withColumns({"back_chunk": -F.col("chunk"), "back": -F.col("ord")})
+    ahead = scan.running(back, [*FLOW, "stretch"], ["back_chunk"], ["back"], maxes={"__next": -F.col("again")})
+    pointers = ahead.select("doc_id", F.col("ord").alias("node"), (-F.col("__next")).alias("nxt"))
+    first = rows.groupBy("doc_id", "stretch").agg(F.min("ord").alias("node")).select("doc_id", "node")
+    starts = graph.follow_chain(pointers, first, FLOW).select("doc_id", F.col("node").alias("ord")).withColumn("starts", F.lit(True))
+    marked = rows.join(starts, ["doc_id", "ord"], "left")
+    runs = scan.islands(marked, FLOW, ["chunk"], ["ord"], F.col("starts"), "run")
+    return scan.numbered(runs, [*FLOW, "run"], ["chunk"], ["ord"], "k").select(*leads.columns, "run", F.col("k").cast("int").alias("k"))
+
+
+def label_icons_unheaded(leads: DataFrame) -> DataFrame:
+    """label_icons() for documents without question heads: runs of three or more icons vote. `leads` as for icon_runs()."""
+    runs = settle(icon_runs(leads))
+    long = runs.groupBy("doc_id", "run").agg(F.count("*").alias("n")).where("n >= 3").select("doc_id", "run")
+    votes = runs.where("k <= 10").join(long, ["doc_id", "run"])
+    return _voted(votes.withColumn("seen", F.col("ord")), FLOW)
+
+
 def nearest_label(samples: DataFrame, prototypes: DataFrame, scope: list[str], limit: float) -> DataFrame:
     """Label of the closest prototype by mean squared error, or null beyond the limit.
 
@@ -258,6 +294,30 @@ def paragraphs(lines: DataFrame, conventions: Conventions = KOREAN) -> DataFrame
     return scan.islands(numbered, FLOW, ["page"], ["ord"], F.col("starts"), "para").select("doc_id", "ord", "para")
 
 
+def stanza_breaks(lines: DataFrame, paras: DataFrame, conventions: Conventions = KOREAN) -> DataFrame:
+    """Lines in front of which a blank paragraph stands: doc_id, ord.
+
+    `paras` is paragraphs() of `lines`. A paragraph that starts over 1.7 pitches below the line before it opens a stanza,
+    unless it would have been the hanging second line of a numbered paragraph; so does one in another column or page if
+    the box before it had room for more than a line.
+    """
+    rows = scan.neighbours(lines, FLOW, ["page"], ["ord"], lag={f"p_{c}": F.col(c) for c in ("page", "col", "y0", "x1", "size", "right", "gap_below")})
+    rows = rows.withColumns({"same": F.coalesce((F.col("p_page") == F.col("page")) & (F.col("p_col") == F.col("col")), F.lit(False)), "dy": F.col("y0") - F.col("p_y0")})
+    step = F.when(F.col("same") & (F.col("dy") > 0) & (F.col("dy") < 3.5 * F.col("p_size")), F.col("dy"))
+    pitch = rows.groupBy("doc_id").agg(F.coalesce(F.median(step), 1.5 * F.median("size")).alias("pitch"))
+    rows = settle(rows.join(paras, ["doc_id", "ord"]))
+    first = rows.groupBy("doc_id", "para").agg(F.min(F.struct("ord", "rx", "text")).alias("f"), F.count("*").alias("n"))
+    second = rows.join(first.select("doc_id", "para", F.col("f.ord").alias("first")), ["doc_id", "para"]).where("ord > first").groupBy("doc_id", "para").agg(F.min_by("rx", "ord").alias("second_rx"))
+    before = first.join(second, ["doc_id", "para"], "left").select(
+        "doc_id", (F.col("para") + 1).alias("para"), F.col("f.rx").alias("first_rx"), tx.rx(F.col("f.text"), rf"^{SPACE}*\p{{Nd}}{{1,2}}{SPACE}?\.{SPACE}").alias("numbered"), F.col("n").alias("b_n"), "second_rx")
+    starts = rows.join(first.select("doc_id", F.col("f.ord").alias("ord")), ["doc_id", "ord"]).join(before, ["doc_id", "para"]).join(pitch, "doc_id")
+    offset = F.col("rx") - F.col("first_rx")
+    hang = (F.col("numbered") & F.coalesce(is_full(F.col("p_x1"), F.col("p_right"), F.col("p_size")), F.lit(False)) & (offset >= 0.8 * F.col("size")) & (offset <= 3 * F.col("size"))
+            & (F.col("dy") > 0) & (F.col("dy") <= 3 * F.col("size")) & ((F.col("b_n") == 1) | (F.abs(F.col("rx") - F.col("second_rx")) < 0.4 * F.col("size"))))
+    blank = F.when(F.col("same"), (F.col("dy") > 1.7 * F.col("pitch")) & ~hang).otherwise(F.coalesce(F.col("p_gap_below") > 1.25 * F.col("pitch"), F.lit(False)))
+    return starts.where(blank).select("doc_id", "ord")
+
+
 def bracket_groups(lines: DataFrame) -> DataFrame:
     """Runs of consecutive lines of one bracket, named by the bracket's label line.
 
@@ -443,6 +503,50 @@ def assemble_questions(items: DataFrame) -> DataFrame:
         *items.columns, "state", "choice")
 
 
+def behind_last(assembled: DataFrame) -> DataFrame:
+    """Adds dropped: items of the last question before the answers that stand on a page behind its fifth choice.
+
+    `assembled` is assemble_questions() of items with page and last. Pages don't fall along a question, so all that is
+    dropped comes behind all that stays, and the states of the rest are right.
+    """
+    chosen = (F.col("kind") == "line") & (F.col("state") == "choices")
+    upto = (F.col("choice") < 5) | ((F.col("choice") == 5) & F.col("mark"))
+    seen = scan.running(assembled, ["question"], ["chunk"], ["ord"], maxes={
+        "__most": F.when(chosen, F.col("choice")), "__page": F.when(chosen & upto & (F.col("mark") | ~F.col("credit")), F.col("page"))})
+    complete = F.coalesce(F.col("__most") >= 5, F.lit(False)) & ~F.coalesce(chosen & F.col("mark") & (F.col("choice") == 5), F.lit(False))
+    return seen.withColumn("dropped", F.col("last") & complete & (F.col("page") > F.col("__page"))).drop("__most", "__page")
+
+
+def question_roles(assembled: DataFrame) -> DataFrame:
+    """Adds role: header for the line in front of the first choice that can head a grid of choices, credit for the source
+    of a choice's quotation, else empty.
+
+    `assembled` is assemble_questions() of items with segments (of the line, parted by wide gaps) and chars.
+    """
+    line = F.col("kind") == "line"
+    rows = scan.neighbours(assembled, ["question"], ["chunk"], ["ord"], lead={
+        "__opens": line & F.col("mark") & (F.col("state") == "choices") & (F.col("choice") == 1)})
+    header = line & (F.col("state") == "blocks") & (F.col("segments") >= 2) & (F.col("chars") <= 40) & F.coalesce("__opens", F.lit(False))
+    credit = line & (F.col("state") == "choices") & ~F.col("mark") & F.col("credit")
+    return rows.withColumn("role", F.when(header, "header").when(credit, "credit").otherwise("")).drop("__opens")
+
+
+def choice_parts(lines: DataFrame) -> DataFrame:
+    """Adds part: 0 for the text of a choice, then 1, 2, … for the paragraphs set below it.
+
+    `lines` has question, choice, chunk, ord, full, writes, marker and arrow: the lines of choices in order, without credits.
+    The text ends at the first line with a marker or an arrow behind a line that ends early or asks for writing. From
+    there on each such line opens a paragraph, and any other line does unless the paragraph was opened by an arrow; so what
+    opens it is the last marker or arrow, and no fold is needed.
+    """
+    key, opens = ["question", "choice"], F.col("marker") | F.col("arrow")
+    rows = scan.neighbours(lines, key, ["chunk"], ["ord"], lag={"__full": F.col("full"), "__writes": F.col("writes")})
+    rows = scan.running(rows, key, ["chunk"], ["ord"], maxes={"__cut": (opens & (~F.col("__full") | F.col("__writes"))).cast("int")},
+                        lasts={"__arrow": F.when(F.col("arrow"), 1).when(F.col("marker"), 0)})
+    starts = (F.col("__cut") == 1) & (opens | (F.coalesce("__arrow", F.lit(0)) == 0))
+    return scan.running(rows, key, ["chunk"], ["ord"], sums={"part": F.coalesce(starts.cast("long"), F.lit(0))}).select(*lines.columns, "part")
+
+
 def question_type(choices: DataFrame, keys: list[str]) -> DataFrame:
     """objective, unless every choice asks for writing."""
     return choices.groupBy(*keys).agg(F.when(F.bool_and("writes"), "subjective").otherwise("objective").alias("qtype"))

@@ -678,3 +678,47 @@ def _(spark, folder):
     x0 = F.col("ord") * 60.0
     paths = corpus.numbers(spark, folder).select("doc_id", F.lit(1).alias("page"), x0.alias("x0"), F.lit(100.0).alias("y0"), (x0 + 12 + F.col("l_quantity")).alias("x1"), F.lit(110.0).alias("y1"))
     return ops.outline_rows(paths).select("doc_id", "x0", "x1", "letters")
+
+
+@query("bracket_labels_split", "C32", """
+WITH l AS (SELECT doc_id, ord, CASE number % 4 WHEN 0 THEN '[A] of text' WHEN 1 THEN '[A]' WHEN 2 THEN 'text [A]' ELSE ' [B]text' END AS text, number % 4 AS kind, 50.0 + l_quantity % 40 AS x, l_discount * 100 AS d, l_suppkey % 7 = 0 AS cell,
+            100.0 + ord * 100 AS y0, CASE WHEN l_partkey % 3 = 0 THEN 12.0 ELSE 30.0 END AS len, l_partkey % 2 = 0 AS above FROM numbers),
+r AS (SELECT *, CASE WHEN above THEN y0 + 5 + d * 3 - len ELSE y0 + 12 - d * 3 END AS ra, CASE WHEN above THEN y0 + 5 + d * 3 ELSE y0 + 12 - d * 3 + len END AS rb FROM l),
+s AS (SELECT doc_id, ord, text, kind IN (0, 3) AND NOT cell AND rb - ra >= 20 AND (rb <= y0 + 20 OR ra >= y0 - 10) AND x BETWEEN CASE kind WHEN 3 THEN 55 ELSE 50 END - 3 AND CASE kind WHEN 3 THEN 70 ELSE 65 END + 3 AND x < 70 AS split FROM r)
+SELECT doc_id, ord, part, string_agg(c, '' ORDER BY k) AS text FROM (
+ SELECT doc_id, ord, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS k, text, split,
+        CASE WHEN split THEN CASE WHEN unnest(range(length(text))) < instr(text, ']') THEN 'label' ELSE 'body' END ELSE 'line' END AS part FROM s)
+WHERE NOT split OR c <> ' ' OR k > instr(text, ']') GROUP BY ALL""".replace("WHERE NOT split OR c <> ' ' OR k > instr(text, ']') GROUP BY ALL", "WHERE NOT split OR c <> ' ' OR k > instr(text, ']') GROUP BY doc_id, ord, part"), ("numbers",))
+def _(spark, folder):
+    n = corpus.numbers(spark, folder)
+    kind = F.col("number") % 4
+    text = F.when(kind == 0, "[A] of text").when(kind == 1, "[A]").when(kind == 2, "text [A]").otherwise(" [B]text")
+    y0, drop = F.lit(100.0) + F.col("ord") * 100, F.col("l_discount") * 100 * 3
+    length, above = F.when(F.col("l_partkey") % 3 == 0, 12.0).otherwise(30.0), F.col("l_partkey") % 2 == 0
+    rows = n.select("doc_id", F.lit(1).alias("page"), F.col("ord").alias("line"), text.alias("text"), F.lit(10.0).alias("size"), y0.alias("y0"), (y0 + 10).alias("y1"), (F.col("l_suppkey") % 7 == 0).alias("in_cell"),
+                    (F.lit(50.0) + F.col("l_quantity") % 40).alias("x"), F.when(above, y0 + 5 + drop - length).otherwise(y0 + 12 - drop).alias("ra"), F.when(above, y0 + 5 + drop).otherwise(y0 + 12 - drop + length).alias("rb"))
+    glyphs = rows.select(*PAGE, "line", F.posexplode(F.split("text", "")).alias("gno", "c"))
+    glyphs = glyphs.withColumns({"x0": F.lit(50.0) + F.col("gno") * 5, "x1": F.lit(55.0) + F.col("gno") * 5})
+    runs = rows.select(*PAGE, "x", F.col("ra").alias("y0"), F.col("rb").alias("y1"))
+    out = ops.split_labels(rows.select(*PAGE, "line", "text", "size", "y0", "y1", "in_cell"), glyphs, runs).withColumn("part", F.coalesce("part", F.lit("line")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gno", "c"))), lambda g: g["c"]), "")
+    return out.groupBy("doc_id", F.col("line").alias("ord"), "part").agg(joined.alias("text"))
+
+
+@query("outline_rows_kept", "C44", """
+WITH RECURSIVE r AS (SELECT doc_id, ord, 50.0 + l_partkey % 200 AS x0, 50.0 + l_partkey % 200 + 20 + l_quantity AS x1, 100.0 + ord * 14 AS y0, number % 4 + 1 AS n, l_discount >= 0.07 AS twice, l_suppkey % 4 = 0 AS followed, l_partkey % 2 = 0 AS large FROM numbers),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0) AS k, n >= 3 OR (n <= 2 AND followed AND NOT large) AS root FROM r WHERE NOT twice),
+w AS (
+ SELECT doc_id, k, ord, CASE WHEN root THEN [{'x0': x0, 'x1': x1, 'y1': y0 + 10}] ELSE [] END AS kept, root AS keep FROM f WHERE k = 1
+ UNION ALL
+ SELECT f.doc_id, f.k, f.ord, CASE WHEN ok THEN list_append(w.kept, {'x0': f.x0, 'x1': f.x1, 'y1': f.y0 + 10}) ELSE w.kept END, ok
+ FROM w JOIN f ON f.doc_id = w.doc_id AND f.k = w.k + 1, LATERAL (SELECT f.root OR len(list_filter(w.kept, lambda q: f.y0 - q.y1 BETWEEN 0 AND 18 AND f.x0 BETWEEN q.x0 - 20 AND q.x1)) > 0 AS ok))
+SELECT r.doc_id, CAST(n AS INTEGER) AS letters, x0 - 3 AS x0, y0 - 1.5 AS y0, x1 + 5 AS x1, y0 + 11.5 AS y1 FROM r JOIN w ON w.doc_id = r.doc_id AND w.ord = r.ord WHERE keep""", ("numbers",))
+def _(spark, folder):
+    n = corpus.numbers(spark, folder)
+    x0, y0 = F.lit(50.0) + F.col("l_partkey") % 200, F.lit(100.0) + F.col("ord") * 14
+    rows = n.select("doc_id", F.lit(1).alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 20 + F.col("l_quantity")).alias("x1"), (y0 + 10).alias("y1"), (F.col("number") % 4 + 1).cast("int").alias("letters"),
+                    (F.col("l_discount") >= 0.07).alias("twice"), (F.col("l_suppkey") % 4 == 0).alias("followed"), (F.col("l_partkey") % 2 == 0).alias("large"))
+    over = rows.where("twice").select(*PAGE, F.lit("g").alias("c"), F.lit(10.0).alias("size"), "x0", "y0", (F.col("x0") + 0.6 * (F.col("x1") - F.col("x0"))).alias("x1"), "y1")
+    behind = rows.where("followed").select(*PAGE, F.lit("g").alias("c"), F.when(F.col("large"), 12.0).otherwise(10.0).alias("size"), (F.col("x1") + 10).alias("x0"), "y0", (F.col("x1") + 15).alias("x1"), "y1")
+    return ops.kept_outline_rows(rows.select(*PAGE, "x0", "y0", "x1", "y1", "letters"), over.unionByName(behind)).drop("page")

@@ -100,6 +100,21 @@ def _(spark, folder):
     return ops.label_icons(leads, ["scope"])
 
 
+@query("icon_labels_unheaded", "D5", f"""
+WITH RECURSIVE l AS (SELECT conv_id // 10 AS doc_id, row_number() OVER (PARTITION BY conv_id // 10 ORDER BY conv_id, turn) AS k, conv_id, length(text) % 7 AS digest FROM conversations),
+walk AS (
+ SELECT doc_id, k, conv_id, digest, 1 AS run, 1 AS place, [digest] AS seen FROM l WHERE k = 1
+ UNION ALL
+ SELECT n.doc_id, n.k, n.conv_id, n.digest, w.run + fresh::INT, CASE WHEN fresh THEN 1 ELSE w.place + 1 END, CASE WHEN fresh THEN [n.digest] ELSE list_append(w.seen, n.digest) END
+ FROM walk w JOIN l n ON n.doc_id = w.doc_id AND n.k = w.k + 1, LATERAL (SELECT n.conv_id <> w.conv_id OR list_contains(w.seen, n.digest) AS fresh)),
+votes AS (SELECT w.* FROM walk w JOIN (SELECT doc_id, run FROM walk GROUP BY ALL HAVING count(*) >= 3) g ON g.doc_id = w.doc_id AND g.run = w.run WHERE place <= 10)
+SELECT doc_id, digest, {DIGITS_SQL}[arg_min(place, (-n, seen))] AS label, max(n) AS votes FROM (SELECT doc_id, digest, place, count(*) AS n, min(k) AS seen FROM votes GROUP BY ALL) GROUP BY doc_id, digest""")
+def _(spark, folder):
+    conv = table(spark, folder, "conversations").select(F.floor(F.col("conv_id") / 10).alias("doc_id"), F.col("conv_id").alias("page"), "turn", (F.length("text") % 7).cast("long").alias("digest"))
+    leads = scan.numbered(conv, ["doc_id"], ["page"], ["turn"], "ord").select("doc_id", "ord", F.col("page").alias("chunk"), "page", F.lit(0).alias("col"), F.lit(50.0).alias("x0"), "digest")
+    return ops.label_icons_unheaded(leads)
+
+
 @query("nearest_icon_label", "D6", """
 SELECT vec_id, CASE WHEN mse < 0.03 THEN label ELSE -1 END AS nearest, round_even(mse * 1000000, 0) / 1000000 AS mse FROM (
  SELECT e.vec_id, min(d) AS mse, arg_min(label, (d, label)) AS label FROM (
@@ -188,6 +203,42 @@ def _(spark, folder):
     return ops.paragraphs(lines)
 
 
+@query("stanza_breaks", "D10", """
+WITH RECURSIVE l AS (
+ SELECT doc_id, page, col, size, y0, rx, gap, row_number() OVER w AS k, ord, x1 >= right_x - greatest(1.2 * size, 6) AS is_full,
+        regexp_matches(text, '^\\s*\\d{1,2}\\s?\\.\\s') AS numbered,
+        regexp_matches(text, '^\\s*([①-⑳]|\\([A-Za-z0-9]\\)(\\s|$)|[A-Z]\\s*\\.|\\d{1,2}\\s*\\.(\\D|$)|[-–—•·]\\s|[가-힣A-Za-z]{1,6}\\s?:|S#|\\[[^\\]]{1,20}\\])') AS marker,
+        lag(page) OVER w AS p_page, lag(col) OVER w AS p_col, lag(y0) OVER w AS p_y0, lag(size) OVER w AS p_size, lag(gap) OVER w AS p_gap,
+        lag(x1 >= right_x - greatest(1.2 * size, 6)) OVER w AS p_full
+ FROM (SELECT doc_id, page, col, ord, size, y0, x1, right_x, CASE ord % 4 WHEN 0 THEN 30.0 WHEN 1 THEN 3.0 END AS gap, CASE WHEN wrap = 0 AND line_no % 7 = 3 THEN '3. ' || text ELSE text END AS text,
+              x0 - left_x + CASE WHEN wrap = 0 THEN 10 ELSE 0 END AS rx FROM (SELECT * REPLACE (y0 + floor(ord / 3) * 12 AS y0) FROM text_lines))
+ WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+p AS (SELECT doc_id, coalesce(median(y0 - p_y0) FILTER (page = p_page AND col = p_col AND y0 > p_y0 AND y0 - p_y0 < 3.5 * p_size), 1.5 * median(size)) AS pitch FROM l GROUP BY doc_id),
+e AS (SELECT l.*, pitch, coalesce(page = p_page AND col = p_col, false) AS same, y0 - p_y0 AS dy FROM l JOIN p USING (doc_id)),
+walk AS (
+ SELECT doc_id, k, ord, rx AS first_rx, numbered AS first_no, rx AS second_rx, 1 AS n, false AS blank FROM e WHERE k = 1
+ UNION ALL
+ SELECT doc_id, k, ord, CASE WHEN brk THEN rx ELSE first_rx END, CASE WHEN brk THEN numbered ELSE first_no END,
+        CASE WHEN brk OR n = 1 THEN rx ELSE second_rx END, CASE WHEN brk THEN 1 ELSE n + 1 END, brk AND CASE WHEN same THEN dy > 1.7 * pitch AND NOT hang ELSE roomy END
+ FROM (SELECT *, NOT p_full OR roomy OR (same AND dy > 1.3 * pitch AND NOT hang) OR (marker AND rx <= first_rx + 0.4 * size)
+              OR (abs(size - p_size) > 0.15 * greatest(size, p_size) AND NOT hang)
+              OR (n >= 2 AND rx > second_rx + CASE WHEN same THEN 0.4 ELSE 1.0 END * size) AS brk
+       FROM (SELECT e.*, w.first_rx, w.first_no, w.second_rx, w.n, NOT e.same AND coalesce(e.p_gap > 1.25 * e.pitch, false) AS roomy,
+                    same AND w.first_no AND e.p_full AND e.rx - w.first_rx BETWEEN 0.8 * e.size AND 3 * e.size AND dy > 0 AND dy <= 3 * e.size
+                    AND (w.n = 1 OR abs(e.rx - w.second_rx) < 0.4 * e.size) AS hang
+             FROM walk w JOIN e ON e.doc_id = w.doc_id AND e.k = w.k + 1)))
+SELECT doc_id, ord FROM walk WHERE blank""".replace("\\\\", "\\"), ("text_lines",))
+def _(spark, folder):
+    # every third line stands 12 points further down
+    lines = text_lines(spark, folder)
+    first = F.col("wrap") == 0
+    lines = lines.withColumns({
+        "text": F.when(first & (F.col("line_no") % 7 == 3), F.concat(F.lit("3. "), "text")).otherwise(F.col("text")),
+        "rx": F.col("x0") - F.col("left") + F.when(first, 10).otherwise(0), "y0": F.col("y0") + F.floor(F.col("ord") / 3) * 12,
+        "frame": F.lit(None).cast("string"), "gap_below": F.when(F.col("ord") % 4 == 0, 30.0).when(F.col("ord") % 4 == 1, 3.0)})
+    return ops.stanza_breaks(lines, ops.paragraphs(lines))
+
+
 @query("bracket_groups", "D11", """
 WITH rest AS (SELECT doc_id, ord, CASE WHEN l_returnflag <> 'R' THEN l_returnflag END AS b FROM numbers WHERE NOT (number = 1 AND l_returnflag <> 'R')),
 lab AS (SELECT doc_id, l_returnflag AS b, arg_max('[' || l_linestatus || ']', ord) AS label FROM numbers WHERE number = 1 AND l_returnflag <> 'R' GROUP BY 1, 2)
@@ -352,7 +403,7 @@ def question_items(spark, folder):
                     (F.col("l_partkey") % 5 == 0).alias("sub"), (F.col("l_quantity") > 30).alias("writes"), (F.col("l_partkey") % 7 == 0).alias("credit"))
 
 
-@query("question_parts", "D20", """
+QUESTION_WALK = """
 WITH RECURSIVE it AS (
  SELECT doc_id // 2 AS question, CAST(doc_id AS BIGINT) % 2 * 1000000000 + ord AS ord, l_discount < 0.09 AS line, l_discount < 0.09 AND l_returnflag <> 'R' AS mark, l_quantity > 45 AS part,
         l_quantity < 10 AS far, l_partkey % 2 = 0 AS p_full, l_partkey % 5 = 0 AS sub, l_quantity > 30 AS writes, l_partkey % 7 = 0 AS credit FROM numbers),
@@ -367,11 +418,73 @@ walk AS (
    WHEN w.state = 'choices' THEN CASE WHEN NOT s.credit AND w.marks >= 5 AND (s.far OR NOT s.p_full) AND NOT s.sub THEN 'after' ELSE 'choices' END
    WHEN w.state = 'stem' AND s.part THEN 'blocks' ELSE w.state END AS ns
   FROM walk w JOIN seq s ON s.question = w.question AND s.k = w.k + 1))
+"""
+
+
+@query("question_parts", "D20", QUESTION_WALK + """
 SELECT w.question, w.ord, CASE WHEN w.state = 'choices' AND NOT line THEN 'blocks' ELSE w.state END AS state FROM walk w JOIN seq s ON s.question = w.question AND s.k = w.k""", ("numbers",))
 def _(spark, folder):
     return ops.assemble_questions(question_items(spark, folder)).select("question", "ord", "state")
 
 
+def question_details(items, n):
+    """Items with what the details of a question look at."""
+    return items.join(n.select(F.floor(F.col("doc_id") / 2).alias("question"), (F.col("doc_id").cast("long") % 2 * 1_000_000_000 + F.col("ord")).alias("ord"),
+        (F.col("doc_id") % 2 * 10 + F.floor(F.col("number") / 3)).alias("page"), (F.floor(F.col("doc_id") / 2) % 3 != 0).alias("last"), (F.col("l_suppkey") % 3 + 1).alias("segments"),
+        F.col("l_quantity").alias("chars"), (F.col("l_suppkey") % 2 == 0).alias("full"), (F.col("l_suppkey") % 5 < 2).alias("marker"), (F.col("l_suppkey") % 5 == 3).alias("arrow")), ["question", "ord"])
+
+
+@query("question_tail_dropped", "D20", """
+WITH RECURSIVE it AS (
+ SELECT doc_id // 2 AS question, CAST(doc_id AS BIGINT) % 2 * 1000000000 + ord AS ord, l_discount < 0.09 AS line, l_discount < 0.09 AND l_returnflag <> 'R' AS mark, l_quantity > 45 AS part,
+        l_quantity < 10 AS far, l_partkey % 2 = 0 AS p_full, l_partkey % 5 = 0 AS sub, l_quantity > 30 AS writes, l_partkey % 7 = 0 AS credit, doc_id % 2 * 10 + number // 3 AS page, doc_id // 2 % 3 <> 0 AS last FROM numbers),
+seq AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY ord) AS k FROM it),
+walk AS (
+ SELECT DISTINCT question, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS ord, 'stem' AS state, 0 AS marks, true AS all_write, CAST(-1 AS BIGINT) AS most, false AS gone FROM seq
+ UNION ALL
+ SELECT question, k, ord, CASE WHEN gone THEN state ELSE ns END, marks + CASE WHEN NOT gone AND ns = 'choices' AND mark THEN 1 ELSE 0 END, all_write AND (gone OR NOT (ns = 'choices' AND mark) OR writes),
+        CASE WHEN NOT gone AND ns = 'choices' AND line AND (mark OR NOT credit) THEN greatest(most, page) ELSE most END, gone
+ FROM (SELECT s.*, w.marks, w.all_write, w.state, w.most, s.last AND w.marks >= 5 AND s.page > w.most AS gone, CASE WHEN w.state = 'after' THEN 'after'
+   WHEN NOT s.line THEN CASE WHEN w.state = 'choices' AND (w.marks >= 5 OR w.all_write) THEN 'after' WHEN w.state = 'choices' THEN 'choices' ELSE 'blocks' END
+   WHEN s.mark THEN 'choices'
+   WHEN w.state = 'choices' THEN CASE WHEN NOT s.credit AND w.marks >= 5 AND (s.far OR NOT s.p_full) AND NOT s.sub THEN 'after' ELSE 'choices' END
+   WHEN w.state = 'stem' AND s.part THEN 'blocks' ELSE w.state END AS ns
+  FROM walk w JOIN seq s ON s.question = w.question AND s.k = w.k + 1))
+SELECT question, ord, gone AS dropped FROM walk WHERE k > 0""", ("numbers",))
+def _(spark, folder):
+    items = question_details(question_items(spark, folder), corpus.numbers(spark, folder))
+    return ops.behind_last(ops.assemble_questions(items)).select("question", "ord", "dropped")
+
+
+DETAILS = QUESTION_WALK + """,
+det AS (SELECT doc_id // 2 AS question, CAST(doc_id AS BIGINT) % 2 * 1000000000 + ord AS ord, l_suppkey % 3 + 1 AS segments, l_quantity AS chars, l_suppkey % 2 = 0 AS own_full, l_suppkey % 5 < 2 AS marker, l_suppkey % 5 = 3 AS arrow FROM numbers),
+st AS (SELECT s.*, d.segments, d.chars, d.own_full, d.marker, d.arrow, CASE WHEN w.state = 'choices' AND NOT line THEN 'blocks' ELSE w.state END AS state, w.marks
+       FROM walk w JOIN seq s ON s.question = w.question AND s.k = w.k JOIN det d ON d.question = s.question AND d.ord = s.ord),
+roles AS (SELECT *, CASE WHEN line AND state = 'blocks' AND segments >= 2 AND chars <= 40 AND coalesce(lead(line AND mark AND state = 'choices' AND marks = 1) OVER (PARTITION BY question ORDER BY k), false) THEN 'header'
+       WHEN line AND state = 'choices' AND NOT mark AND credit THEN 'credit' ELSE '' END AS role FROM st)"""
+
+
+@query("question_line_roles", "D20", DETAILS + """
+SELECT question, ord, role FROM roles""", ("numbers",))
+def _(spark, folder):
+    items = question_details(question_items(spark, folder), corpus.numbers(spark, folder))
+    return ops.question_roles(ops.assemble_questions(items)).select("question", "ord", "role")
+
+
+@query("choice_paragraphs", "D20", DETAILS + """,
+c AS (SELECT question, marks, ord, own_full, writes, marker, arrow, row_number() OVER (PARTITION BY question, marks ORDER BY ord) AS m FROM roles WHERE line AND state = 'choices' AND role = ''),
+parts AS (SELECT question, marks, ord, m, own_full, writes, false AS cut, false AS arrowed, 0 AS part FROM c WHERE m = 1
+ UNION ALL
+ SELECT n.question, n.marks, n.ord, n.m, n.own_full, n.writes, p.cut OR hit, CASE WHEN NOT (p.cut OR hit) THEN false WHEN n.arrow THEN true WHEN n.marker THEN false ELSE p.arrowed END,
+        CASE WHEN NOT (p.cut OR hit) THEN 0 WHEN n.marker OR n.arrow OR NOT p.arrowed THEN p.part + 1 ELSE p.part END
+ FROM parts p JOIN c n ON n.question = p.question AND n.marks = p.marks AND n.m = p.m + 1, LATERAL (SELECT (n.marker OR n.arrow) AND (NOT p.own_full OR p.writes) AS hit))
+SELECT question, CAST(marks AS BIGINT) AS choice, ord, CAST(part AS BIGINT) AS part FROM parts""", ("numbers",))
+def _(spark, folder):
+    items = question_details(question_items(spark, folder), corpus.numbers(spark, folder))
+    roles = ops.question_roles(ops.assemble_questions(items))
+    return ops.choice_parts(roles.where("kind = 'line' AND state = 'choices' AND role = ''")).select("question", "choice", "ord", "part")
+
+
 @query("question_types", "D20", """
 SELECT doc_id, CASE WHEN bool_and(l_quantity > 30) THEN 'subjective' ELSE 'objective' END AS qtype FROM numbers GROUP BY doc_id""", ("numbers",))
 def _(spark, folder):
