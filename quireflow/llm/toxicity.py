@@ -124,7 +124,9 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = known.where(F.pmod(F.xxhash64("__key"), F.lit(spread)) < int(share * spread))
     shards = max(1, -(-min(count, max_train_rows) // shard_rows))
     chosen = (rows.select(F.col(key).cast("bigint").alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-              .join(F.broadcast(known), "__key").repartition(shards, F.xxhash64("__key")))
+              .join(F.broadcast(known), "__key").repartition(shards, F.xxhash64("__key"))
+              # learned in the order of a hash, so neither the layout of the input nor a task run again changes the model
+              .sortWithinPartitions(F.xxhash64("__key", F.lit("order")), "__key", F.xxhash64("text"), "text"))
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         texts: list[np.ndarray] = []
@@ -136,13 +138,13 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             texts += [x.astype(np.int32) for x in np.split(pairs & (1 << BITS) - 1, ends)]
             marks += batch["__label"].to_pylist()
         if texts:
-            # learn in an order that no input order sets
-            order = np.random.default_rng(len(texts)).permutation(len(texts))
-            places, weights = _ftrl([texts[k] for k in order], np.array(marks)[order], rounds, alpha, beta, l1, l2)
+            places, weights = _ftrl(texts, np.array(marks), rounds, alpha, beta, l1, l2)
             yield {"place": places, "weight": weights.astype(np.float64), "shard": np.full(len(places), 1)}
 
-    sums = in_arrow(chosen.select("__key", "text", "__label"), work, "place bigint, weight double, shard bigint").groupBy("place").agg(
-        F.sum("weight").alias("weight"), F.sum("shard").alias("shards"))
+    # a place has one weight of each shard; added up in one order, so that the sums don't differ in their last digits
+    found = in_arrow(chosen.select("__key", "text", "__label"), work, "place bigint, weight double, shard bigint").groupBy("place").agg(
+        F.array_sort(F.collect_list("weight")).alias("weights"), F.sum("shard").alias("shards"))
+    sums = found.select("place", F.aggregate("weights", F.lit(0.0), lambda total, w: total + w).alias("weight"), "shards")
     found = sums.toPandas().sort_values("place")
     if not len(found):
         return Model()

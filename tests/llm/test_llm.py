@@ -266,6 +266,10 @@ def test_toxicity(spark):
     right = [(by[i] >= 0.5) == (i % 5 == 0) for i in range(1200, 1500)]
     assert sum(right) >= 0.97 * len(right)
     assert by[9000] == by[9001] < 0.5 <= by[9002] and [r.score for r in got if r.doc_id == 9002] == [by[9002]] * 2
+    # the same rows in other partitions, the other way round, learn the same model
+    turned = docs.repartition(7, F.xxhash64("text")).sortWithinPartitions(F.desc("doc_id"))
+    other = toxicity.fit(turned, spark.createDataFrame(labels[::-1], "doc_id bigint, toxic int"), shard_rows=700)
+    assert (other.places == model.places).all() and (other.weights == model.weights).all() and other.bias == model.bias
     blank = toxicity.fit(none_of(spark, DOCS), none_of(spark, "doc_id bigint, toxic int"))
     assert {r.score for r in toxicity.score(docs, blank, {"doc_id": F.col("doc_id")}).collect()} == {0.5}
 
