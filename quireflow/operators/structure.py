@@ -394,6 +394,50 @@ def para_layout(lines: DataFrame, para: list[str]) -> DataFrame:
                     indent.alias("indent"), F.coalesce(tx.half_even(F.col("pitch") / F.col("size") * 100), F.lit(0.0)).cast("int").alias("line_pct"))
 
 
+DEFAULT_LINE_PCT = 155  # fixed value: line pitch of body paragraphs, in percent
+
+
+def para_metrics(lines: DataFrame, para: list[str], area: list[str], conventions: Conventions = KOREAN) -> DataFrame:
+    """Alignment, role, indent, line pitch and source position of paragraphs.
+
+    `lines` has para keys + (ord, page, col, text, x0, x1, y0, size, left, right) and big, the largest letter of the line. Pieces
+    set further right on the row of the line before them belong to the text, but not to indents and pitches. A line alone
+    is indented against where most lines of its `area` (the first of the para keys) start, the earlier start on ties. The
+    pitch is held against the largest letter of the first line, as the writer will, unless that leaves no room.
+    """
+    order = Window.partitionBy(*para).orderBy("ord")
+    rows = lines.withColumns({f"__p_{c}": F.lag(c).over(order) for c in ("page", "col", "y0", "size", "x1")} | {"__rx": F.col("x0") - F.col("left")})
+    beside = ((F.col("__p_page") == F.col("page")) & (F.col("__p_col") == F.col("col")) & (F.abs(F.col("y0") - F.col("__p_y0")) < 0.4 * F.col("__p_size")) & (F.col("x0") > F.col("__p_x1")))
+    rows = rows.withColumn("__beside", F.coalesce(beside, F.lit(False)))
+    starts = lines.groupBy(*area, F.rint(F.col("x0") - F.col("left")).alias("base")).agg(F.count("*").alias("n"), F.min("ord").alias("seen"))
+    base = starts.groupBy(*area).agg(F.min_by("base", F.struct(-F.col("n"), F.col("seen"))).alias("base"))
+    whole = rows.groupBy(*para).agg(F.count("*").alias("n_whole"), F.median("size").alias("size"))
+    heads = rows.where(~F.col("__beside")).withColumns({"__no": F.row_number().over(order), "__same": (F.lag("page").over(order) == F.col("page")) & (F.lag("col").over(order) == F.col("col")), "__dy": F.col("y0") - F.lag("y0").over(order)})
+    tol = F.greatest(1.2 * F.first("size").over(order), F.lit(6.0))
+    heads = heads.withColumn("__at_right", F.col("x1") >= F.first("right").over(order) - tol)
+
+    def nth(column: str, n: int) -> Column:
+        return F.max(F.when(F.col("__no") == n, F.col(column)))
+
+    g = heads.groupBy(*para).agg(
+        F.count("*").alias("n"), F.bool_and("__at_right").alias("at_right"), *[nth(c, 1).alias(f"f_{c}") for c in ("x0", "x1", "size", "left", "right", "text", "__rx", "page", "y0", "big")],
+        nth("__rx", 2).alias("rx2"), F.median(F.when(F.col("__same") & (F.col("__dy") > 0), F.col("__dy"))).alias("pitch"),
+        F.max_by(F.struct("page", "y0"), "ord").alias("last")).join(whole, para).join(base, area)
+    width = F.greatest(F.lit(1.0), F.col("f_right") - F.col("f_left"))
+    right = (F.col("n") <= 2) & F.col("at_right") & (F.col("f_x0") > F.col("f_left") + 0.3 * width) & (F.col("n_whole") == F.col("n"))
+    margins = F.abs((F.col("f_x0") - F.col("f_left")) - (F.col("f_right") - F.col("f_x1")))
+    centre = ~right & (F.col("n_whole") == 1) & (margins < 0.04 * width) & (F.col("f_x0") > F.col("f_left") + 0.15 * width)
+    start = F.col("f___rx") - F.col("base")
+    indent = F.when(right | centre, 0.0).when(F.col("n") >= 2, tx.half_even(F.col("f___rx") - F.col("rx2"), 1)).otherwise(
+        F.when(start > 0.4 * F.col("f_size"), tx.half_even(start, 1)).otherwise(0.0))
+    against = F.rint(F.col("pitch") / F.greatest(F.col("size"), F.coalesce("f_big", "size")) * 100)
+    pct = F.coalesce(F.when(against < 105, F.rint(F.col("pitch") / F.col("size") * 100)).otherwise(against), F.lit(0.0)).cast("int")
+    role = F.when((F.col("n_whole") == 1) & tx.rx(F.col("f_text"), conventions.label), "label").when(right & tx.rx(F.col("f_text"), rf"^{SPACE}*[-–—]"), "credit").otherwise("")
+    foot = F.col("last.y0") + F.when(pct > 0, pct).otherwise(DEFAULT_LINE_PCT) / 100 * F.col("size")
+    return g.select(*para, F.when(right, "RIGHT").when(centre, "CENTER").otherwise("LEFT").alias("align"), role.alias("role"), indent.alias("indent"), pct.alias("line_pct"),
+                    F.col("f_page").alias("src_page"), F.col("f_y0").alias("src_y0"), foot.alias("src_y1"), F.col("last.page").alias("src_last"))
+
+
 def letter_spacing(segments: DataFrame, para: list[str]) -> DataFrame:
     """Letter spacing in percent by the tightest segment; only narrowing of 2 % or more counts, at most 20 %.
 
@@ -615,6 +659,43 @@ def underline_negatives(stems: DataFrame, pattern: str) -> DataFrame:
     return stems.join(uses, "doc_id").withColumn("words", F.when(F.col("__uses"), found).otherwise(F.array().cast("array<string>"))).drop("__uses")
 
 
+def underline_runs(runs: DataFrame, conventions: Conventions = KOREAN) -> DataFrame:
+    """Runs of stems with all negative words underlined, in documents that underline one in any stem; others stay.
+
+    `runs` has doc_id, stem, run, text, underline, look (a string for weight, colour and size). Blanks inside such a word go, and
+    one is put in front of a word that was joined to the word before it. A word takes the look of its first letter.
+    Neighbouring runs that look the same are one. All windows are over one stem, a short text.
+    """
+    stem = ["doc_id", "stem"]
+    order = Window.partitionBy(*stem).orderBy("at")
+    chars = runs.select(*stem, "run", "underline", "look", F.posexplode(F.split("text", "")).alias("k", "c")).where("c <> ''").withColumn(
+        "at", F.row_number().over(Window.partitionBy(*stem).orderBy("run", "k")))
+    texts = runs.groupBy(*stem).agg(ordered_concat(["run"], F.col("text")).alias("text"))
+    # each match between two signs that no text holds; what lies between them is inside
+    marked = texts.select(*stem, F.posexplode(F.split(F.regexp_replace("text", conventions.negative, "\u0001$1\u0002"), "")).alias("k", "c")).where("c <> ''")
+    by = Window.partitionBy(*stem).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened, closed = F.sum((F.col("c") == "\u0001").cast("int")).over(by), F.sum((F.col("c") == "\u0002").cast("int")).over(by)
+    plain = marked.withColumns({"word": opened, "inside": opened > closed}).where(~F.col("c").isin("\u0001", "\u0002"))
+    inside = plain.withColumn("at", F.row_number().over(Window.partitionBy(*stem).orderBy("k"))).where("inside").select(*stem, "at", "word")
+    rows = chars.join(inside, [*stem, "at"], "left").withColumn("before", F.lag("c").over(order))
+    uses = rows.where("word is not null").groupBy("doc_id").agg(F.bool_or("underline").alias("uses"))
+    rows = rows.join(uses, "doc_id", "left").withColumn("word", F.when(F.coalesce("uses", F.lit(False)), F.col("word")))
+    first = Window.partitionBy(*stem, "word").orderBy("at")
+    solid = F.when(~tx.is_space(F.col("c")), F.col("look"))
+    changed = F.col("word").isNotNull()
+    whole = Window.partitionBy(*stem, "word").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"opens": changed & (F.row_number().over(first) == 1), "new_look": F.when(changed, F.first(solid, ignorenulls=True).over(whole)).otherwise(F.col("look"))})
+    joined = F.col("opens") & (F.col("c") == "않") & F.coalesce(tx.rx(F.col("before"), "[가-힣]"), F.lit(False))
+    letter = F.struct(F.lit(1).alias("part"), F.col("c").alias("c"), (F.col("underline") | changed).alias("underline"))
+    blank = F.struct(F.lit(0).alias("part"), F.lit(" ").alias("c"), F.lit(False).alias("underline"))
+    out = rows.where(~(changed & tx.is_space(F.col("c")))).select(*stem, "at", F.col("new_look").alias("look"), F.explode(F.when(joined, F.array(blank, letter)).otherwise(F.array(letter))).alias("l"))
+    out = out.select(*stem, "at", "look", "l.*")
+    along = Window.partitionBy(*stem).orderBy("at", "part")
+    fresh = (F.lag("look").over(along) != F.col("look")) | (F.lag("underline").over(along) != F.col("underline"))
+    out = out.withColumn("run", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return out.groupBy(*stem, "run").agg(ordered_concat(["at", "part"], F.col("c")).alias("text"), F.first("underline").alias("underline"), F.first("look").alias("look"))
+
+
 def side_by_side(a: Column, b: Column) -> Column:
     over_y = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
     over_x = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])

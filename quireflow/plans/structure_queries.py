@@ -314,6 +314,34 @@ def _(spark, folder):
     return ops.para_layout(number_lines(spark, folder), ["doc_id"])
 
 
+@query("paragraph_metrics", "D14", """
+WITH l AS (SELECT doc_id, line_no, ord, page, col, wrap, size, y0 - CASE WHEN beside THEN 13 ELSE 0 END AS y0, CASE WHEN beside THEN 300.0 + 270 * col ELSE x0 + shift END AS x0, CASE WHEN beside THEN 310.0 + 270 * col ELSE x1 + shift END AS x1,
+             left_x, right_x, CASE WHEN line_no % 13 = 5 THEN '[A]' WHEN line_no % 13 = 6 THEN '- ' || text ELSE text END AS text, CASE WHEN wrap = 0 AND line_no % 5 = 0 THEN 16.0 WHEN wrap = 0 AND line_no % 5 = 1 THEN 12.0 ELSE size END AS big
+      FROM (SELECT *, wrap > 0 AND ord % 11 = 0 AS beside, CASE WHEN wrap = 0 AND line_no % 3 = 0 THEN 10 WHEN length(text) < 30 AND line_no % 3 = 1 THEN (right_x - x1) / CASE WHEN line_no % 2 = 0 THEN 2 ELSE 1 END ELSE 0 END AS shift FROM text_lines)),
+p AS (SELECT *, coalesce(lag(page) OVER w = page AND lag(col) OVER w = col AND abs(y0 - lag(y0) OVER w) < 0.4 * lag(size) OVER w AND x0 > lag(x1) OVER w, false) AS piece, x0 - left_x AS rx FROM l WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY ord)),
+b AS (SELECT doc_id, arg_min(base, (-n, seen)) AS base FROM (SELECT doc_id, round_even(rx, 0) AS base, count(*) AS n, min(ord) AS seen FROM p GROUP BY 1, 2) GROUP BY doc_id),
+h AS (SELECT *, row_number() OVER w AS no, lag(page) OVER w = page AND lag(col) OVER w = col AS same, y0 - lag(y0) OVER w AS dy, first_value(right_x) OVER w AS r1, first_value(size) OVER w AS s1 FROM p WHERE NOT piece WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY ord)),
+g AS (SELECT doc_id, line_no, count(*) AS n, bool_and(x1 >= r1 - greatest(1.2 * s1, 6)) AS at_right, max(x0) FILTER (no = 1) AS x0, max(x1) FILTER (no = 1) AS x1, max(left_x) FILTER (no = 1) AS lx, max(right_x) FILTER (no = 1) AS rxx, max(text) FILTER (no = 1) AS text,
+             max(rx) FILTER (no = 1) AS rx1, max(rx) FILTER (no = 2) AS rx2, max(page) FILTER (no = 1) AS src_page, max(y0) FILTER (no = 1) AS src_y0, max(big) FILTER (no = 1) AS big, max(size) FILTER (no = 1) AS fsize, median(dy) FILTER (same AND dy > 0) AS pitch, max(page) AS src_last, arg_max(y0, ord) AS last_y FROM h GROUP BY doc_id, line_no),
+f AS (SELECT g.*, w.n_whole, w.size, base, n <= 2 AND at_right AND x0 > lx + 0.3 * (rxx - lx) AND n_whole = n AS r FROM g JOIN (SELECT doc_id, line_no, count(*) AS n_whole, median(size) AS size FROM p GROUP BY 1, 2) w ON w.doc_id = g.doc_id AND w.line_no = g.line_no JOIN b ON b.doc_id = g.doc_id),
+c AS (SELECT *, NOT r AND n_whole = 1 AND abs((x0 - lx) - (rxx - x1)) < 0.04 * (rxx - lx) AND x0 > lx + 0.15 * (rxx - lx) AS c,
+             CAST(coalesce(CASE WHEN round_even(pitch / greatest(size, big) * 100, 0) < 105 THEN round_even(pitch / size * 100, 0) ELSE round_even(pitch / greatest(size, big) * 100, 0) END, 0) AS INTEGER) AS line_pct FROM f)
+SELECT doc_id, line_no, CASE WHEN r THEN 'RIGHT' WHEN c THEN 'CENTER' ELSE 'LEFT' END AS align, CASE WHEN n_whole = 1 AND text = '[A]' THEN 'label' WHEN r AND trim(text) LIKE '-%' THEN 'credit' ELSE '' END AS role,
+       CASE WHEN r OR c THEN 0.0 WHEN n >= 2 THEN round_even((rx1 - rx2) * 10, 0) / 10 WHEN rx1 - base > 0.4 * fsize THEN round_even((rx1 - base) * 10, 0) / 10 ELSE 0.0 END AS indent, line_pct, src_page, src_y0,
+       last_y + CASE WHEN line_pct > 0 THEN line_pct ELSE 155 END / 100.0::DOUBLE * size AS src_y1, src_last FROM c""", ("text_lines",))
+def _(spark, folder):
+    # some lines start further right, some end at the right bound or stand in the middle, some are pieces on a row
+    lines = text_lines(spark, folder)
+    head, no = F.col("wrap") == 0, F.col("line_no")
+    beside = ~head & (F.col("ord") % 11 == 0)
+    shift = F.when(head & (no % 3 == 0), 10.0).when((F.length("text") < 30) & (no % 3 == 1), (F.col("right") - F.col("x1")) / F.when(no % 2 == 0, 2.0).otherwise(1.0)).otherwise(0.0)
+    lines = lines.withColumns({
+        "y0": F.col("y0") - F.when(beside, 13).otherwise(0), "x0": F.when(beside, F.lit(300.0) + F.col("col") * 270).otherwise(F.col("x0") + shift),
+        "x1": F.when(beside, F.lit(310.0) + F.col("col") * 270).otherwise(F.col("x1") + shift), "text": F.when(no % 13 == 5, "[A]").when(no % 13 == 6, F.concat(F.lit("- "), "text")).otherwise(F.col("text")),
+        "big": F.when(head & (no % 5 == 0), 16.0).when(head & (no % 5 == 1), 12.0).otherwise(F.col("size"))})
+    return ops.para_metrics(lines, ["doc_id", "line_no"], ["doc_id"])
+
+
 @query("letter_spacing", "D15", """
 SELECT doc_id, line_no, CASE WHEN v <= -2 THEN greatest(-20, v) ELSE 0 END AS spacing FROM (
  SELECT doc_id, line_no, CAST(round_even(min(((5.0 * (n - 1) + le / 1000.0 * size) - em / 1000.0 * size) / (n * size)) * 100, 0) AS INTEGER) AS v
@@ -578,6 +606,25 @@ def _(spark, folder):
     return ops.underline_negatives(stems, r"\b(of|in|the)(?= th)").select("doc_id", "ord", F.size("words").cast("long").alias("words"))
 
 
+@query("negative_runs_underlined", "D24", """
+WITH s AS (SELECT doc_id, ord, number % 4 AS kind, bool_or(number % 4 = 3 AND l_quantity > 40) OVER (PARTITION BY doc_id) AS uses, l_quantity > 40 AS lined, l_returnflag AS look FROM numbers)
+SELECT doc_id, ord, CASE kind
+  WHEN 0 THEN CASE WHEN uses THEN '옳지 /A|않은_/A| 것/A|은?/B' ELSE '옳지 않 은 것/A|은?/B' END
+  WHEN 1 THEN CASE WHEN uses THEN '적절하지 /A|않는_/A| 것은?/A' ELSE '적절하지않/A|는/B| 것은?/A' END
+  WHEN 2 THEN '아닌가/A| 것은?/B'
+  ELSE CASE WHEN uses THEN '답이 /A|아닌_/B|것은?/A' WHEN lined THEN '' ELSE '답이 /A|아닌/B|것은?/A' END END AS runs FROM s""", ("numbers",))
+def _(spark, folder):
+    # look B marks other weights; a stem of the fourth kind has its word underlined where the quantity is over 40
+    n = corpus.numbers(spark, folder).withColumn("kind", F.col("number") % 4)
+    run = lambda k, text, look, lined=False: F.struct(F.lit(k).alias("run"), F.lit(text).alias("text"), F.lit(look).alias("look"), (F.lit(lined) & (F.col("l_quantity") > 40)).alias("underline"))
+    parts = (F.when(F.col("kind") == 0, F.array(run(1, "옳지 않", "A"), run(2, " 은 것", "A"), run(3, "은?", "B"))).when(F.col("kind") == 1, F.array(run(1, "적절하지않", "A"), run(2, "는", "B"), run(3, " 것은?", "A")))
+             .when(F.col("kind") == 2, F.array(run(1, "아닌가", "A"), run(2, " 것은?", "B"))).otherwise(F.array(run(1, "답이 ", "A"), run(2, "아닌", "B", True), run(3, "것은?", "A"))))
+    runs = n.select("doc_id", F.col("ord").alias("stem"), F.explode(parts).alias("r")).select("doc_id", "stem", "r.*")
+    out = ops.underline_runs(runs)
+    shown = F.concat("text", F.when(F.col("underline"), "_").otherwise(""), F.lit("/"), "look")
+    return out.groupBy("doc_id", F.col("stem").alias("ord")).agg(ops.ordered_concat(["run"], shown, "|").alias("runs"))
+
+
 @query("image_rows", "D25", """
 WITH RECURSIVE im AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY sid) AS k, floor(y0 / 200) * 200 AS top FROM shapes),
 walk AS (
