@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Identifier and pattern of known licence sentences, as normalised by `normalised` (public licence texts).
+# "v. 2.0" is cut behind the "v"; no other version of that licence has the sentence.
 SENTENCES = [
-    ("apache2-licensed", r"(this (work|file|software|project) is )?licensed under the apache license,? version 2(\.0)?( \(the \"?license\"?\))?"),
+    ("apache2-licensed", r"(this (work|file|software|project) is )?licensed under the apache license,? version 2(\.0)?( \(the \"?license\"?\))?(;? you may not use this file except in compliance with the license)?"),
     ("apache2-condition", r"you may not use this file except in compliance with the license"),
     ("apache2-copy", r"you may obtain a copy of the license at https?://www\.apache\.org/licenses/license-2\.0"),
     ("apache2-asis", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \"?as is\"? basis, without warranties or conditions of any kind, either express or implied"),
@@ -38,7 +39,7 @@ SENTENCES = [
     ("gpl2-orlater", r"this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or \(at your option\) any later version"),
     ("gpl-hope", r"this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gpl-received", r"you should have received a copy of the gnu general public license along with this program"),
-    ("mpl2-terms", r"this source code form is subject to the terms of the mozilla public license, v\. 2\.0"),
+    ("mpl2-terms", r"this source code form is subject to the terms of the mozilla public license, v(\. 2\.0)?"),
     ("mpl2-copy", r"if a copy of the mpl was not distributed with this file, you can obtain one at https?://mozilla\.org/mpl/2\.0/?"),
     ("cc-by-nc4-named", r"(this (work|file|text|document) is )?(released|licensed) under (a |the )?(cc by-nc 4\.0|creative commons attribution-noncommercial 4\.0 international)( licen[sc]e)?"),
     ("cc-by-sa4-named", r"(this (work|file|text|document) is )?(released|licensed) under (a |the )?(cc by-sa 4\.0|creative commons attribution-sharealike 4\.0 international)( licen[sc]e)?"),
@@ -57,6 +58,7 @@ SENTENCES = [
 # Licence and the sentence identifiers that state it, in order; longer rules stand before their parts.
 RULES = [
     ("Apache-2.0", ["apache2-licensed", "apache2-condition", "apache2-copy", "apache2-asis", "apache2-limits"]),
+    ("Apache-2.0", ["apache2-licensed", "apache2-copy", "apache2-asis", "apache2-limits"]),
     ("Apache-2.0", ["apache2-licensed", "apache2-condition"]),
     ("Apache-2.0", ["apache2-licensed"]),
     ("MIT", ["mit-title", "mit-grant", "mit-notice", "mit-asis", "mit-liability"]),
@@ -109,12 +111,15 @@ def sentences(text: Column) -> Column:
     """The sentences of a text: those of its lines, then those that run over line ends, as two arrays.
 
     A licence may stand on a line of its own after a line without a full stop, or be wrapped at a fixed width; the
-    first array has the former whole and the second the latter.
+    first array has the former whole and the second the latter. An address set off by blank lines belongs to the sentence
+    before it. A colon ends a sentence at a line end and in front of a list, not inside a line.
     """
     clean = F.regexp_replace(text, _LINE_HEAD, "")
     ends = F.regexp_replace(clean, r"([.!?])[ \t\r\f]+", "$1\n")
-    wrapped = F.regexp_replace(F.regexp_replace(clean, r"\n[ \t\r\f]*\n", ".\n\n"), r"([^\n])\n([^\n])", "$1 $2")
-    ends_wrapped = F.regexp_replace(wrapped, r"([.!?:])[ \t\r\f]+", "$1\n")
+    joined = F.regexp_replace(clean, r"\n[ \t\r\f]*\n[ \t\r\f]*(https?://)", " $1")
+    listed = F.regexp_replace(F.regexp_replace(joined, r":[ \t\r\f]*\n", ":\n\n"), r":[ \t\r\f]+([0-9*(])", ":\n\n$1")
+    wrapped = F.regexp_replace(F.regexp_replace(listed, r"\n[ \t\r\f]*\n", ".\n\n"), r"([^\n])\n([^\n])", "$1 $2")
+    ends_wrapped = F.regexp_replace(wrapped, r"([.!?])[ \t\r\f]+", "$1\n")
     return F.array(F.split(ends, r"\n+"), F.split(ends_wrapped, r"\n+"))
 
 

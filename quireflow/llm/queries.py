@@ -153,9 +153,10 @@ def _license_sql() -> str:
 WITH clean AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '(?m)^[ \t]*(//+|#+|/\*+|\*+/?|;+|--|<!--)[ \t]*', '', 'g') AS t FROM documents),
 cut AS (
   SELECT doc_id, regexp_split_to_array(regexp_replace(t, '([.!?])[ \t\r\f]+', '\1' || chr(10), 'g'), '\n+') AS p1,
-    regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(t, '\n[ \t\r\f]*\n', '.' || chr(10) || chr(10), 'g'),
-      '([^\n])\n([^\n])', '\1 \2', 'g'), '([.!?:])[ \t\r\f]+', '\1' || chr(10), 'g'), '\n+') AS p2
-  FROM clean),
+    regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(t2, '\n[ \t\r\f]*\n', '.' || chr(10) || chr(10), 'g'),
+      '([^\n])\n([^\n])', '\1 \2', 'g'), '([.!?])[ \t\r\f]+', '\1' || chr(10), 'g'), '\n+') AS p2
+  FROM (SELECT doc_id, t, regexp_replace(regexp_replace(regexp_replace(t, '\n[ \t\r\f]*\n[ \t\r\f]*(https?://)', ' \1', 'g'),
+      ':[ \t\r\f]*\n', ':' || chr(10) || chr(10), 'g'), ':[ \t\r\f]+([0-9*(])', ':' || chr(10) || chr(10) || '\1', 'g') AS t2 FROM clean)),
 known AS (SELECT doc_id, {ids('p1')} AS a, {ids('p2')} AS b FROM cut),
 ruled AS (SELECT doc_id, a, b, {rules('a')}, {rules('b')} FROM known)
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(a_found, b_found))), ';') AS licenses,

@@ -26,12 +26,29 @@ BLOCK = frozenset("address article aside blockquote body br button caption cente
 BOILERPLATE = frozenset("head nav header footer aside form menu button select input textarea script style noscript iframe template svg math dialog object embed "
                         "applet canvas audio video search".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
-# Words in class and id names of boilerplate.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|ad(?:box|banner|unit|space|block|slot|container|wrapper)s?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|"
-    r"(?<!has-)(?<!with-)(?<!no-)side-?bars?|widgets?|footer\w*|(?<!article-)(?<!entry-)(?<!post-)header|masthead|topbar|toolbar|comments?|commentlist|respond|disqus\w*|"
-    r"cookies?|consent|gdpr|notices?|disclaimer|copyright|legal|alerts?|newsletter|subscribe\w*|signup|login|popup|modal|overlay|share|sharing|social\w*|related|"
-    r"recommend\w*|pagination|pager|skip-?link|hidden)(?=$|[\s_-])", re.I)
+# Words that name boilerplate in class and id names, and words of layout that say nothing of what is in it. A
+# name counts if it has a word of the former and no other word: related-posts does, related-work does not.
+NAMES = frozenset("ad ads adbox adbanner adunit adspace adblock adslot adcontainer adwrapper advert adverts advertisement advertisements advertising adsense banner "
+                  "sponsor sponsors sponsored sponsorship promo promos promotion promotions nav navs navbar navigation navigations menu menus menubar breadcrumb breadcrumbs "
+                  "sidebar sidebars widget widgets footer footers header headers masthead topbar toolbar comment comments commentlist respond disqus cookie cookies consent gdpr "
+                  "notice notices disclaimer disclaimers copyright legal alert alerts newsletter newsletters subscribe subscription subscriptions signup login popup popups modal "
+                  "overlay share sharing social socials related recommended recommendations pagination pager skiplink hidden".split())
+LAYOUT = frozenset("a area articles bar block body bottom box btn button buttons col column container content div element fluid form global group holder home icon icons id image "
+                   "images inner item items left link links list main mobile module outer page panel posts primary region right row rss rail secondary section side site skip slot "
+                   "small space sticky tertiary text thread threads title top unit visually web wrap wrapper zone info large desktop policy bars skyscraper leaderboard".split())
+_PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
+
+
+def boilerplate_name(names: str) -> bool:
+    """Whether one of the names of a class or id attribute names boilerplate."""
+    for name in names.split():
+        words = [w for w in _PARTS.split(name) if w and not w.isdigit()]
+        low = [w.lower() for w in words] if len(words) > 1 else [name.strip("-_").lower()]
+        if any(w in NAMES for w in low) and all(w in NAMES or w in LAYOUT for w in low) or "".join(low) in NAMES:
+            return True
+    return False
+
+
 # an opening tag of these closes an open one of those
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
@@ -44,25 +61,28 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Tree:
-    """Nodes in page order, as columns: parent, name, whether boilerplate, and text pieces with the node they stand in."""
+    """Nodes in page order, as columns: parent, name, whether boilerplate or inside an article, and text pieces with the node they stand in."""
 
     def __init__(self, page: str):
-        self.parent, self.name, self.skip = [-1], [""], [False]
+        self.parent, self.name, self.skip, self.article = [-1], [""], [False], [False]
         self.pieces: list[tuple[int, str]] = []  # text, or "" for the start or end of a block
         self._read(page)
 
     def _open(self, parent: int, name: str, attributes: str) -> int:
-        skip = self.skip[parent] or name in BOILERPLATE
+        # the heading of an article stands in a header of its own
+        inside = self.article[parent] or name == "article"
+        skip = self.skip[parent] or name in BOILERPLATE and not (name == "header" and inside)
         if not skip and attributes and name not in ("html", "body", "main", "article"):
             for m in _ATTRIBUTE.finditer(attributes):
                 kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
                 if (kind == "hidden" or kind == "role" and value.lower() in ROLES or kind == "aria-hidden" and value.lower() == "true"
-                        or kind in ("class", "id") and NAMES.search(value)):
+                        or kind in ("class", "id") and boilerplate_name(value)):
                     skip = True
                     break
         self.parent.append(parent)
         self.name.append(name)
         self.skip.append(skip)
+        self.article.append(inside)
         return len(self.name) - 1
 
     def _read(self, page: str) -> None:

@@ -111,6 +111,23 @@ def test_license_texts(spark):
              (7, "Released under the MIT License. Licensed under the Apache License, Version 2.0. Released under the MIT License."),
              (8, "x. this work is  licensed under the gnu general public license, VERSION 3!"), (9, "SPDX-License-Identifier: MIT\nint x;"), (9, "SPDX-License-Identifier: MIT\nint x;"),
              (10, "// SPDX-License-Identifier: Apache-2.0\n" + "a b. " * 50_000)]
+    apache = ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n"
+              "    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\n"
+              "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.\n")
+    gpl = ("This program is free software{0} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{1} either version {2} of the License, or\n"
+           "(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+           "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License\n"
+           "along with this program.  If not, see <https://www.gnu.org/licenses/>.\n")
+    mpl = ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n")
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n"
+           "   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n"
+           "   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n")
+    notices = [("Apache-2.0", apache), ("GPL-3.0-or-later", gpl.format(":", ",", 3)), ("GPL-2.0-or-later", gpl.format(";", ";", 2)), ("MPL-2.0", mpl), ("BSD-3-Clause", bsd), ("MIT", mit)]
+    wrappings = [lambda t: t, lambda t: "/*\n" + "".join(f" * {line}\n" for line in t.split("\n")) + " */\nint main;", lambda t: "".join(f"# {line}\n" for line in t.split("\n")) + "x = 1",
+                 lambda t: t.replace("\n", "\r\n"), lambda t: "Some words before\n\n" + t + "\nand behind."]
+    standard = [(1000 + 10 * k + n, wrap(text), name) for k, (name, text) in enumerate(notices) for n, wrap in enumerate(wrappings)]
+    seen = {r.doc_id: list(r.licenses) for r in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, t, _ in standard], "doc_id int, text string")).collect()}
+    assert seen == {i: [name] for i, _, name in standard}
     found = licenses.scan_licenses(spark.createDataFrame([(k, t, "x") for k, t in cases], "doc_id int, text string, licenses string"))
     got = sorted((r.doc_id, tuple(r.licenses), r.n_sentences) for r in found.collect())
     assert got == [(1, ("MIT",), 3), (2, ("CC-BY-NC-4.0",), 1), (3, ("MIT",), 1), (4, (), 0), (5, (), 0), (6, (), 0), (7, ("Apache-2.0", "MIT"), 3), (8, ("GPL-3.0",), 1),
@@ -290,6 +307,11 @@ def test_main_text_cases():
         (f"<main>{p}<ul><li>one<li>two</ul><style>p{{}}</style><table><tr><td>a<td>b</table></main>", f"{said}\none\ntwo\na\nb"),
         ("<p>a  b\n\tc&nbsp;d</p>" * 2, "a b c d\na b c d"), ("<p title='x > y'>seen</p><p title=\"", "seen"), ("<" * 1000 + "p>", None), ("<div>" * 3000 + "deep", "deep"),
     ]
+    # names that only mention boilerplate say nothing of what they are on
+    for name in ("overflow-hidden", "has-ads", "comments-open", "nav-closed", "fixed-header", "with-share", "has-banner", "related-reading", "no-sidebar", "entry-header", "headerless"):
+        cases += [(f"<div class='{name}'><h2>Head</h2>{p * 6}</div>", "\n".join(["Head"] + [said] * 6)), (f"<body class='{name}'><div id='{name}'><article><h2>Head</h2>{p * 6}</article></div></body>", "\n".join(["Head"] + [said] * 6))]
+    inner = f"<section class='related-work'>{p}</section><p class='copyright-law'>On rights.</p><ul class='share-prices'><li>one<li>two</ul>"
+    cases.append((f"<article><header><h1>Top</h1></header>{p * 2}{inner}<footer>{p}</footer></article><div class='related-posts'>{p}</div><div id='adBox'>{p}</div><div class='side-bar left'>{p}</div>", f"Top\n{said}\n{said}\n{said}\nOn rights.\none\ntwo"))
     for page, expected in cases:
         got = text_density.main_text(page)
         assert expected is None or got == expected, (page[:200], got)
