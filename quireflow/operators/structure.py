@@ -770,6 +770,23 @@ def doc_stats(items: DataFrame) -> DataFrame:
     return out.withColumn("counts_differ", (F.col("answers") > 0) & (F.col("answers") != F.col("questions")))
 
 
+def document_stats(questions: DataFrame, passages: DataFrame, aux: DataFrame, loose: DataFrame, dropped: DataFrame, answers: DataFrame, heads: DataFrame) -> DataFrame:
+    """All counts of a document: questions by type, passages, boxes of questions, loose and dropped items, answers.
+
+    Each table has doc_id and one row for each thing counted; `questions` has qtype, `heads` the question heads found.
+    expected_found holds if there are as many heads as answers. One aggregation over the tagged rows, combined before the
+    shuffle; a document that no table names is not listed.
+    """
+    tables = {"passages": passages, "aux_blocks": aux, "loose_items": loose, "dropped_items": dropped, "answers": answers, "heads": heads}
+    rows = questions.select("doc_id", F.lit("questions").alias("what"), "qtype")
+    for what, table in tables.items():
+        rows = rows.unionByName(table.select("doc_id", F.lit(what).alias("what"), F.lit(None).cast("string").alias("qtype")))
+    counts = rows.groupBy("doc_id").agg(
+        F.count_if(F.col("what") == "questions").alias("questions"), *[F.count_if(F.col("qtype") == t).alias(t) for t in ("objective", "subjective")],
+        *[F.count_if(F.col("what") == what).alias(what) for what in tables])
+    return counts.withColumns({"expected_found": (F.col("heads") > 0) & (F.col("heads") == F.col("answers")), "counts_differ": (F.col("answers") > 0) & (F.col("answers") != F.col("questions"))}).drop("heads")
+
+
 def choice_warnings(choices: DataFrame, question: list[str]) -> DataFrame:
     """Questions whose choice labels are not ①②③… in order, or that have neither four nor five choices.
 

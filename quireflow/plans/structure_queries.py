@@ -750,3 +750,16 @@ def _(spark, folder):
     glyphs = F.transform(F.split("text", ""), lambda c, i: F.struct(c.alias("c"), (F.col("left") + i * 5).alias("x0"), (F.col("left") + i * 5 + 5).alias("x1")))
     rows = lines.select("doc_id", "ord", F.when(F.col("ord") % 3 != 0, 20).alias("cut"), glyphs.alias("glyphs"))
     return ops.cut_lines(rows).select("doc_id", "ord", "part", "text", "x0", "x1")
+
+
+@query("document_counts", "D29", """
+SELECT doc_id, count(*) FILTER (l_returnflag = 'R') AS questions, count(*) FILTER (l_returnflag = 'R' AND l_partkey % 2 = 0) AS objective, count(*) FILTER (l_returnflag = 'R' AND l_partkey % 2 = 1) AS subjective,
+       count(*) FILTER (number = 1) AS passages, count(*) FILTER (l_returnflag = 'A' AND l_linestatus = 'F') AS aux_blocks, count(*) FILTER (l_discount > 0.08) AS loose_items, count(*) FILTER (l_quantity > 45) AS dropped_items,
+       count(*) FILTER (l_returnflag = 'N') AS answers, count(*) FILTER (l_returnflag = 'R' AND l_suppkey % 3 <> 0) > 0 AND count(*) FILTER (l_returnflag = 'R' AND l_suppkey % 3 <> 0) = count(*) FILTER (l_returnflag = 'N') AS expected_found,
+       count(*) FILTER (l_returnflag = 'N') > 0 AND count(*) FILTER (l_returnflag = 'N') <> count(*) FILTER (l_returnflag = 'R') AS counts_differ
+FROM numbers GROUP BY doc_id HAVING count(*) FILTER (l_returnflag IN ('R', 'N') OR number = 1 OR (l_returnflag = 'A' AND l_linestatus = 'F') OR l_discount > 0.08 OR l_quantity > 45) > 0""", ("numbers",))
+def _(spark, folder):
+    n = corpus.numbers(spark, folder)
+    questions = n.where("l_returnflag = 'R'").withColumn("qtype", F.when(F.col("l_partkey") % 2 == 0, "objective").otherwise("subjective"))
+    return ops.document_stats(questions, n.where("number = 1"), n.where("l_returnflag = 'A' and l_linestatus = 'F'"), n.where("l_discount > 0.08"), n.where("l_quantity > 45"),
+                              n.where("l_returnflag = 'N'"), n.where("l_returnflag = 'R' and l_suppkey % 3 <> 0"))

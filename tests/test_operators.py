@@ -168,3 +168,44 @@ def test_order_of_questions_in_the_output(spark):
     answers = spark.createDataFrame([(5,)], "doc_id int")
     got = {r.doc_id: (r.questions, r.found, r.status) for r in quality.order_status(numbers, texts, answers).collect()}
     assert got == {1: (3, 3, "PASS"), 2: (3, 1, "FAIL"), 3: (3, 1, "FAIL"), 4: (0, 0, "WARN"), 5: (0, 0, "FAIL"), 6: (2, 1, "FAIL"), 7: (3, 3, "PASS"), 8: (2, 1, "FAIL")}
+
+
+def test_primitives_under_their_schemas(spark, tmp_path):
+    from quireflow.sources import tables
+
+    root = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0, 0, "a", 1.0, 2.0, 3.0, 4.0, 10.0, "f", 0, 0, 0, None, None, 0.1)], tables.PRIMITIVES["glyphs"]).write.parquet(f"{root}/glyphs")
+    spark.createDataFrame([(1, 1, 0, 0, "l", 0.0, 0.0, 9.0, 0.0, 1.0, "s", [0.0], None, 1.0)], tables.PRIMITIVES["paths"]).write.parquet(f"{root}/paths")
+    spark.createDataFrame([(1, 1, None, 0.0, 0.0, 9.0, 9.0, "d", False, [0.5])], tables.PRIMITIVES["images"]).write.parquet(f"{root}/images")
+    spark.createDataFrame([(1, 1, 595.0, 842.0), (1, 1, 595.0, 842.0)], tables.PRIMITIVES["pages"]).write.parquet(f"{root}/pages")
+    loaded = tables.load_primitives(spark, root)
+    assert {name: df.count() for name, df in loaded.items()} == {"glyphs": 1, "paths": 1, "images": 1, "pages": 2}
+    assert loaded["glyphs"].first().c == "a" and loaded["paths"].first().stroke == [0.0]
+    found = {r.table_name: (r.null_keys, r.repeated_keys) for r in tables.key_violations(loaded).collect()}
+    assert found == {"glyphs": (0, 0), "paths": (0, 0), "images": (1, 0), "pages": (0, 1)}
+
+
+def test_presets_listed(spark, tmp_path):
+    import json
+
+    from quireflow.sources import tables
+
+    (tmp_path / "b-second.json").write_text(json.dumps({"name": "Second", "fonts": ["x", "y"], "runs": {"a": 1}}, indent=1))
+    (tmp_path / "a-first.json").write_text(json.dumps({"fonts": []}))
+    rows = [(r.id, r.name, r.fonts) for r in tables.list_presets(spark, str(tmp_path)).collect()]
+    assert rows == [("a-first", "a-first", []), ("b-second", "Second", ["x", "y"])]
+
+
+def test_usage_appended(spark, folder, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quireflow.operators import usage as ops
+    from quireflow.sources import corpus
+
+    log = corpus.usage(spark, folder).withColumn("user", F.when(F.col("id") % 7 == 0, "  ").otherwise(F.col("user")))
+    path = str(tmp_path / "log")
+    ops.append_usage(log.where("id % 2 = 0"), path)
+    ops.append_usage(log.where("id % 2 = 1"), path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == log.count() and stored.where("user = '?'").count() == log.where("id % 7 = 0").count()
+    assert stored.where("date <> to_date(ts)").count() == 0 and stored.where("abs(seconds * 100 - rint(seconds * 100)) > 1e-6").count() == 0
