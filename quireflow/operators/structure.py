@@ -339,10 +339,18 @@ def ordered_concat(order: list[str], text: Column, separator: str = "") -> Colum
 
 
 def para_text(lines: DataFrame, reliable: DataFrame, para: list[str]) -> DataFrame:
-    """Text of a paragraph: a space between two lines if the first kept one, or the layer keeps none, or emphasis ends."""
+    """Text of a paragraph: a space between two lines if the first kept one, or the layer keeps none, or emphasis ends.
+
+    Where lines have page, col, x0, x1, y0 and size, a piece further right on the row of the line before it has one too.
+    """
     order = Window.partitionBy(*para).orderBy("ord")
     rows = lines.join(reliable.select("doc_id", "reliable"), "doc_id", "left").withColumn("__space", F.lag("trailing_space").over(order))
     spaced = F.coalesce("__space", F.lit(False)) | ~F.coalesce("reliable", F.lit(False)) | F.coalesce("emphasis_ends", F.lit(False))
+    place = ("page", "col", "x1", "y0", "size")
+    if {*place, "x0"} <= set(lines.columns):
+        rows = rows.withColumns({f"__p_{c}": F.lag(c).over(order) for c in place})
+        beside = ((F.col("__p_page") == F.col("page")) & (F.col("__p_col") == F.col("col")) & (F.abs(F.col("y0") - F.col("__p_y0")) < 0.4 * F.col("__p_size")) & (F.col("x0") > F.col("__p_x1")))
+        spaced = spaced | F.coalesce(beside, F.lit(False))
     piece = F.when(F.col("__space").isNull(), F.col("text")).when(spaced, F.concat(F.lit(" "), "text")).otherwise(F.col("text"))
     return rows.groupBy(*para).agg(ordered_concat(["ord"], piece).alias("text"))
 
@@ -394,6 +402,30 @@ def para_layout(lines: DataFrame, para: list[str]) -> DataFrame:
                     indent.alias("indent"), F.coalesce(tx.half_even(F.col("pitch") / F.col("size") * 100), F.lit(0.0)).cast("int").alias("line_pct"))
 
 
+def glyph_runs(glyphs: DataFrame, line: list[str]) -> DataFrame:
+    """Glyphs of a line as runs of one look: weight, colour, size to half points, shade and box, and underline.
+
+    `glyphs` has line keys + (gno, c, underline, bold, color, size, icon, shade, boxed). An icon has the size 0. A space looks like
+    the letter before it, but is shaded or boxed only if it is so itself, and all spaces between it and that letter are.
+    A space at the start of the line stands for a letter.
+    """
+    order = Window.partitionBy(*line).orderBy("gno")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    letter = ~tx.is_space(F.col("c")) | (F.row_number().over(order) == 1)
+    rows = glyphs.withColumn("__letter", letter).withColumn("__at", F.sum(F.col("__letter").cast("int")).over(upto))
+    half = F.when(F.col("icon"), 0.0).otherwise(F.rint(F.col("size") * 2) / 2)
+    own = F.struct("bold", "color", half.alias("size"), "shade", "boxed")
+    since = Window.partitionBy(*line, "__at").orderBy("gno").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.first(F.when(F.col("__letter"), own), ignorenulls=True).over(since)
+    held = rows.withColumns({"__first": first, "__shaded": F.min(F.when(F.col("__letter"), True).otherwise(F.col("shade").isNotNull())).over(since),
+                             "__boxed": F.min(F.when(F.col("__letter"), True).otherwise(F.col("boxed"))).over(since)})
+    look = F.struct("__first.bold", "__first.color", "__first.size", F.when(F.col("__shaded"), F.col("__first.shade")).alias("shade"), (F.col("__first.boxed") & F.col("__boxed")).alias("boxed"), "underline")
+    held = held.withColumn("__look", look)
+    changed = ~F.col("__look").eqNullSafe(F.lag("__look").over(order))
+    held = held.withColumn("run", F.sum(changed.cast("int")).over(upto))
+    return held.groupBy(*line, "run").agg(ordered_concat(["gno"], F.col("c")).alias("text"), F.first("__look").alias("look")).select(*line, "run", "text", "look.*")
+
+
 DEFAULT_LINE_PCT = 155  # fixed value: line pitch of body paragraphs, in percent
 
 
@@ -696,6 +728,29 @@ def underline_runs(runs: DataFrame, conventions: Conventions = KOREAN) -> DataFr
     return out.groupBy(*stem, "run").agg(ordered_concat(["at", "part"], F.col("c")).alias("text"), F.first("underline").alias("underline"), F.first("look").alias("look"))
 
 
+def paired_boxes(flow: DataFrame) -> DataFrame:
+    """Two wide boxes that meet in the middle of a page, as one table of two cells.
+
+    `flow` has doc_id, ord, chunk, kind, parts (the box goes on elsewhere), wide (over both columns, or on a page of one) and
+    bounds. A box pairs with the item right behind it if that is such a box too, starts where it ends, to three points,
+    and shares 60 % of the lower one's height. A box is in one pair only: along a chain of boxes that could all pair with
+    their neighbours it is the first with the second, the third with the fourth. Returns the table with the bounds of both
+    cells: ord of the left box, right_ord, x0, middle (its x1), right_x0, x1, y0, y1.
+    """
+    fields = ("ord", "kind", "parts", "wide", "x0", "y0", "x1", "y1")
+    rows = scan.neighbours(flow, FLOW, ["chunk"], ["ord"], lead={f"n_{c}": F.col(c) for c in fields})
+    shared = F.least("y1", "n_y1") - F.greatest("y0", "n_y0")
+    box = (F.col("kind") == "box") & (F.col("n_kind") == "box") & ~F.col("parts") & ~F.col("n_parts") & F.col("wide")
+    meets = box & (F.abs(F.col("x1") - F.col("n_x0")) < 3) & (shared > 0.6 * F.least(F.col("y1") - F.col("y0"), F.col("n_y1") - F.col("n_y0")))
+    rows = rows.withColumn("__meets", F.coalesce(meets, F.lit(False)))
+    rows = scan.neighbours(rows, FLOW, ["chunk"], ["ord"], lag={"__before": F.col("__meets")})
+    chained = scan.islands(rows, FLOW, ["chunk"], ["ord"], F.col("__meets") & ~F.coalesce("__before", F.lit(False)), "__chain")
+    placed = scan.numbered(chained.where("__meets"), [*FLOW, "__chain"], ["chunk"], ["ord"], "__no")
+    return placed.where(F.col("__no") % 2 == 1).select(
+        "doc_id", "ord", F.col("n_ord").alias("right_ord"), "x0", F.col("x1").alias("middle"), F.col("n_x0").alias("right_x0"), F.col("n_x1").alias("x1"),
+        F.least("y0", "n_y0").alias("y0"), F.greatest("y1", "n_y1").alias("y1"))
+
+
 def side_by_side(a: Column, b: Column) -> Column:
     over_y = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
     over_x = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])

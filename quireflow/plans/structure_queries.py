@@ -763,3 +763,53 @@ def _(spark, folder):
     questions = n.where("l_returnflag = 'R'").withColumn("qtype", F.when(F.col("l_partkey") % 2 == 0, "objective").otherwise("subjective"))
     return ops.document_stats(questions, n.where("number = 1"), n.where("l_returnflag = 'A' and l_linestatus = 'F'"), n.where("l_discount > 0.08"), n.where("l_quantity > 45"),
                               n.where("l_returnflag = 'N'"), n.where("l_returnflag = 'R' and l_suppkey % 3 <> 0"))
+
+
+@query("glyph_runs_complete", "D13", """
+WITH RECURSIVE g AS (SELECT doc_id, ord, CASE WHEN l_partkey % 3 = 0 THEN ' ' ELSE l_returnflag END AS c, l_linestatus = 'F' AS bold, CASE WHEN l_partkey % 5 = 0 THEN '#1' END AS color, CASE WHEN l_suppkey % 7 = 0 THEN 0.0 ELSE round_even((9.8 + l_suppkey % 2 * 0.3) * 2, 0) / 2 END AS size,
+           CASE WHEN l_quantity > 15 THEN CASE WHEN l_quantity > 35 THEN '#a' ELSE '#b' END END AS shade, l_discount > 0.02 AS boxed, l_suppkey % 4 = 0 AS underline FROM numbers),
+w AS (
+ SELECT doc_id, ord, c, bold, color, size, shade, boxed, underline, 1 AS run FROM g WHERE ord = 1
+ UNION ALL
+ SELECT doc_id, ord, c, bold, color, size, shade, boxed, underline, run + CASE WHEN bold = p.bold AND color IS NOT DISTINCT FROM p.color AND size = p.size AND shade IS NOT DISTINCT FROM p.shade AND boxed = p.boxed AND underline = p.underline THEN 0 ELSE 1 END
+ FROM (SELECT n.doc_id, n.ord, n.c, CASE WHEN n.c = ' ' THEN w.bold ELSE n.bold END AS bold, CASE WHEN n.c = ' ' THEN w.color ELSE n.color END AS color, CASE WHEN n.c = ' ' THEN w.size ELSE n.size END AS size,
+   CASE WHEN n.c = ' ' THEN CASE WHEN n.shade IS NOT NULL THEN w.shade END ELSE n.shade END AS shade, CASE WHEN n.c = ' ' THEN w.boxed AND n.boxed ELSE n.boxed END AS boxed, n.underline, w.run, w AS p
+   FROM w JOIN g n ON n.doc_id = w.doc_id AND n.ord = w.ord + 1))
+SELECT doc_id, CAST(run AS BIGINT) AS run, string_agg(c, '' ORDER BY ord) AS text, any_value(bold) AS bold, coalesce(any_value(color), '') AS color, any_value(size) AS size, coalesce(any_value(shade), '') AS shade, any_value(boxed) AS boxed, any_value(underline) AS underline
+FROM w GROUP BY doc_id, run""", ("numbers",))
+def _(spark, folder):
+    n = corpus.numbers(spark, folder)
+    glyphs = n.select("doc_id", F.col("ord").alias("gno"), F.when(F.col("l_partkey") % 3 == 0, " ").otherwise(F.col("l_returnflag")).alias("c"), (F.col("l_suppkey") % 4 == 0).alias("underline"), (F.col("l_linestatus") == "F").alias("bold"),
+                      F.when(F.col("l_partkey") % 5 == 0, "#1").alias("color"), (F.lit(9.8) + F.col("l_suppkey") % 2 * 0.3).alias("size"), (F.col("l_suppkey") % 7 == 0).alias("icon"),
+                      F.when(F.col("l_quantity") > 35, "#a").when(F.col("l_quantity") > 15, "#b").alias("shade"), (F.col("l_discount") > 0.02).alias("boxed"))
+    out = ops.glyph_runs(glyphs, ["doc_id"])
+    return out.select("doc_id", F.col("run").cast("long").alias("run"), "text", "bold", F.coalesce("color", F.lit("")).alias("color"), "size", F.coalesce("shade", F.lit("")).alias("shade"), "boxed", "underline")
+
+
+@query("row_pieces_joined", "D12", f"""
+SELECT doc_id, line_no, string_agg(piece, '' ORDER BY ord) AS text FROM (
+ SELECT t.doc_id, line_no, ord, CASE WHEN wrap = min(wrap) OVER w1 THEN text WHEN NOT reliable OR lag(trailing_space) OVER w2 OR coalesce(beside AND lag(page) OVER w2 = page AND lag(col) OVER w2 = col AND NOT lag(beside) OVER w2, false) THEN ' ' || text ELSE text END AS piece
+ FROM (SELECT *, wrap > 0 AND ord % 3 = 0 AS beside FROM text_lines) t JOIN ({RELIABLE}) r ON r.doc_id = t.doc_id WINDOW w1 AS (PARTITION BY t.doc_id, line_no), w2 AS (PARTITION BY t.doc_id, line_no ORDER BY ord)) GROUP BY doc_id, line_no""", ("text_lines",))
+def _(spark, folder):
+    # every third row is a piece on the row before it
+    lines = text_lines(spark, folder).withColumn("emphasis_ends", F.lit(False))
+    beside = (F.col("wrap") > 0) & (F.col("ord") % 3 == 0)
+    moved = lines.withColumns({"y0": F.col("y0") - F.when(beside, 13).otherwise(0), "x0": F.when(beside, F.lit(300.0) + F.col("col") * 270).otherwise(F.col("x0")),
+                               "x1": F.when(beside, F.lit(310.0) + F.col("col") * 270).otherwise(F.col("x1"))})
+    return ops.para_text(moved, ops.space_reliable(lines), ["doc_id", "line_no"])
+
+
+@query("boxes_paired", "D26 D8", """
+WITH RECURSIVE f AS (SELECT doc_id, ord, CASE WHEN l_discount > 0.09 THEN 'line' ELSE 'box' END AS kind, l_suppkey % 9 = 0 AS parts, l_partkey % 8 <> 0 AS wide, ord * 100.0 AS x0, ord * 100.0 + 98 + l_suppkey % 4 AS x1, CASE WHEN l_quantity > 40 THEN 30.0 ELSE 0.0 END AS y0,
+           CASE WHEN l_quantity > 40 THEN 30.0 ELSE 0.0 END + 50 + l_quantity AS y1 FROM numbers),
+m AS (SELECT a.*, b.ord AS b_ord, b.x0 AS b_x0, b.x1 AS b_x1, b.y0 AS b_y0, b.y1 AS b_y1, coalesce(a.kind = 'box' AND b.kind = 'box' AND NOT a.parts AND NOT b.parts AND a.wide AND abs(a.x1 - b.x0) < 3
+        AND least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0.6 * least(a.y1 - a.y0, b.y1 - b.y0), false) AS meets FROM f a LEFT JOIN f b ON b.doc_id = a.doc_id AND b.ord = a.ord + 1),
+walk AS (SELECT doc_id, ord, meets AS taken FROM m WHERE ord = 1
+ UNION ALL SELECT n.doc_id, n.ord, n.meets AND NOT w.taken FROM walk w JOIN m n ON n.doc_id = w.doc_id AND n.ord = w.ord + 1)
+SELECT m.doc_id, m.ord, b_ord AS right_ord, x0, x1 AS middle, b_x0 AS right_x0, b_x1 AS x1, least(y0, b_y0) AS y0, greatest(y1, b_y1) AS y1 FROM m JOIN walk w ON w.doc_id = m.doc_id AND w.ord = m.ord WHERE taken""", ("numbers",))
+def _(spark, folder):
+    n = corpus.numbers(spark, folder)
+    x0, y0 = F.col("ord") * 100.0, F.when(F.col("l_quantity") > 40, 30.0).otherwise(0.0)
+    flow = n.select("doc_id", "ord", F.col("number").alias("chunk"), F.when(F.col("l_discount") > 0.09, "line").otherwise("box").alias("kind"), (F.col("l_suppkey") % 9 == 0).alias("parts"),
+                    (F.col("l_partkey") % 8 != 0).alias("wide"), x0.alias("x0"), y0.alias("y0"), (x0 + 98 + F.col("l_suppkey") % 4).alias("x1"), (y0 + 50 + F.col("l_quantity")).alias("y1"))
+    return ops.paired_boxes(flow)
