@@ -16,6 +16,7 @@ from itertools import combinations
 from math import ceil, comb
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from quireflow.functions.graph import components
 from quireflow.llm.common import in_arrow, text_blocks
 from quireflow.llm.digest_index import only_these, plain_key
-from quireflow.session import settle
+from quireflow.session import release, settle
 
 SEED = 42
 SAMPLE = 20_000
@@ -32,6 +33,7 @@ PROBE_COST = 150.0
 LINKS = 2_000_000
 COMMON_SAMPLE, COMMON = 2000, 4
 BROADCAST = 500_000
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 20
 _PAIRS = 1 << 21
 _LANES = np.uint64(0x0101010101010101)
 
@@ -461,8 +463,8 @@ def head_links(nodes: DataFrame, bits_of_128: int) -> DataFrame:
     return in_arrow(found.repartition(parts), _thinned_by_weight, "a bigint, b bigint")
 
 
-def alike_pairs(pairs: DataFrame, rows: DataFrame, width: int, alike: float, text: str) -> DataFrame:
-    """a, b, alike: whether the texts with these hashes have a Jaccard similarity of their shingles of `alike` or more."""
+def alike_pairs(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
+    """a, b, alike: whether the sets (key, shingles) of these keys have a Jaccard similarity of `alike` or more."""
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             good = []
@@ -472,10 +474,6 @@ def alike_pairs(pairs: DataFrame, rows: DataFrame, width: int, alike: float, tex
                 good.append(both >= alike * (len(x) + len(y) - both) - 1e-9)
             yield {"a": batch["a"], "b": batch["b"], "alike": good}
 
-    ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct())
-    texts = rows.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__node"), text)
-    texts = texts.join(F.broadcast(ends) if ends.count() <= BROADCAST else ends, "__node", "left_semi")
-    sets = settle(shingle_sets(texts, width, "__node", text).dropDuplicates(["key"]))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     return in_arrow(both.select("a", "b", "x", "y"), work, "a bigint, b bigint, alike boolean")
@@ -485,29 +483,98 @@ def _labelled(links: DataFrame) -> DataFrame:
     return components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links.select("a", "b"), [])
 
 
+def alike_in_block(node: np.ndarray, part: np.ndarray, side: np.ndarray, sizes: np.ndarray, values: np.ndarray, alike: float) -> list[tuple[int, int]]:
+    """Links of a Jaccard similarity of `alike` or more that connect what such links connect, beyond the parts given.
+
+    `values` holds the distinct shingles of one node after the other. With two sides, links are sought between them.
+    A row's shingles look up who else has them, so that one pass over their lists counts it with all others.
+    """
+    stops = np.cumsum(sizes)
+    shingle = np.unique(values, return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(node)), sizes)[np.argsort(shingle, kind="stable")]
+    first = np.concatenate(([0], np.cumsum(np.bincount(shingle))))
+    label = np.unique(part, return_inverse=True)[1]
+    if side.any() and not side.all():
+        rows = np.flatnonzero(side == (side.sum() * 2 <= len(side)))
+    else:  # of two rows in different parts one is outside of the largest
+        rows = np.flatnonzero(label != np.bincount(label).argmax())
+    links = []
+    for x in rows.tolist():
+        own = shingle[stops[x] - sizes[x]:stops[x]]
+        start, count = first[own], first[own + 1] - first[own]
+        at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(owner[at], minlength=len(node))
+        good = both >= alike * (sizes[x] + sizes - both) - 1e-9
+        for y in np.flatnonzero(good & (label != label[x])).tolist():
+            if label[y] != label[x]:
+                links.append((int(node[x]), int(node[y])))
+                label[label == label[y]] = label[x]
+    return links
+
+
+def alike_in_trees(left: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
+    """a, b: pairs of `alike` or more that connect all such pairs of a tree, beyond its parts. left: node, tree, part, size.
+
+    A tree is dealt into blocks of about BLOCK_ROWS rows or BLOCK_SHINGLES shingles, a large part into blocks of its own,
+    and each two blocks meet in one group, except for those of the same part. Pairs are counted there and none leaves it
+    but the links of a forest, so a tree of any size is many bounded groups.
+    """
+    parts = left.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    large = (F.col("n") * 2 >= BLOCK_ROWS) | (F.col("shingles") * 2 >= BLOCK_SHINGLES)
+    parts = settle(parts.withColumns({"rest": ~large, "cell": F.when(large, F.col("part")).otherwise(F.lit(0))}))
+    cells = settle(parts.groupBy("tree", "rest", "cell").agg(
+        F.greatest(F.ceil(F.sum("n") / BLOCK_ROWS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks")))
+    place = F.struct("rest", "cell", "block")
+    blocks = settle(cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tree", place.alias("i")))
+    meet = blocks.join(blocks.withColumnRenamed("i", "j"), "tree").where("i <= j and (i.rest or j.rest or i.cell != j.cell)")
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("place"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("i").alias("place"), F.lit(0).alias("side")), F.struct(F.col("j").alias("place"), F.lit(1).alias("side"))))
+    meet = meet.select("tree", "i", "j", F.explode(sides).alias("s")).select("tree", "i", "j", "s.place", "s.side")
+    dealt = (left.select("node", "tree", "part").join(parts.select("tree", "part", "rest", "cell"), ["tree", "part"]).join(cells, ["tree", "rest", "cell"])
+             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("tree", "node", "part", place.alias("place")))
+    dealt = dealt.join(meet, ["tree", "place"]).join(sets.withColumnRenamed("key", "node"), "node")
+
+    def work(group: pa.Table) -> pa.Table:
+        shingles = group["shingles"].combine_chunks()
+        shingles = pa.concat_arrays(shingles.chunks) if isinstance(shingles, pa.ChunkedArray) else shingles
+        node, part, side = (group[c].to_numpy() for c in ("node", "part", "side"))
+        sizes = shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        links = alike_in_block(node, part, side, sizes, shingles.flatten().to_numpy(zero_copy_only=False), alike)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    found = settle(dealt.select("tree", "i", "j", "side", "node", "part", "shingles").groupBy("tree", "i", "j").applyInArrow(work, "a bigint, b bigint"))
+    for done in (parts, cells, blocks):
+        release(done)
+    return found
+
+
 def alike_links(rows: DataFrame, nodes: DataFrame, width: int, alike: float, bits_of_128: int, text: str) -> DataFrame:
     """a, b: pairs of a Jaccard similarity of `alike` or more that connect all such pairs of `nodes`.
 
-    A forest of near pairs is checked first. Where a link of it fails, the pairs behind it are not known: in its tree all
-    near pairs that the good links do not connect are checked too.
+    A forest of near pairs is counted first; good links make parts of its trees. Where a link fails, the pairs behind it
+    are not known: the parts of its tree are counted against each other.
     """
     tree = settle(head_links(nodes, bits_of_128))
-    checked = settle(alike_pairs(tree, rows, width, alike, text))
+    ends = settle(tree.select(F.explode(F.array("a", "b")).alias("__node")).distinct())
+    texts = rows.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__node"), text)
+    texts = texts.join(F.broadcast(ends) if ends.count() <= BROADCAST else ends, "__node", "left_semi")
+    sets = settle(shingle_sets(texts, width, "__node", text).dropDuplicates(["key"]))
+    checked = settle(alike_pairs(tree, sets, alike))
     good = checked.where("alike").select("a", "b")
     failed = checked.where("not alike").select("a", "b")
-    if not failed.limit(1).count():
-        return good
-    whole = _labelled(tree)
-    open_ = whole.join(failed.select(F.col("a").alias("node")), "node").select("component").distinct()
-    left = whole.join(settle(open_), "component").withColumnRenamed("component", "tree")
-    left = left.join(_labelled(good).withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    left = settle(left.join(nodes.select("node", "fp", "fp2", "size"), "node"))
-    other = left.select("tree", *[F.col(c).alias(f"{c}_") for c in ("node", "part", "fp", "fp2", "size")])
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_"))) + F.bit_count(F.col("fp2").bitwiseXOR(F.col("fp2_"))) <= bits_of_128
-    sized = F.least("size", "size_") >= F.greatest("size", "size_") * alike - 1e-9
-    more = left.join(other, (left["tree"] == other["tree"]) & (F.col("node") < F.col("node_")) & (F.col("part") != F.col("part_")) & near & sized)
-    more = settle(more.select(F.col("node").alias("a"), F.col("node_").alias("b")).join(failed, ["a", "b"], "left_anti"))
-    return good.union(settle(alike_pairs(more, rows, width, alike, text)).where("alike").select("a", "b"))
+    if failed.limit(1).count():
+        whole = settle(_labelled(tree))
+        open_ = whole.join(failed.select(F.col("a").alias("node")), "node").select("component").distinct()
+        left = whole.join(open_, "component").withColumnRenamed("component", "tree")
+        left = left.join(_labelled(good).withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        left = settle(left.join(nodes.select("node", "size"), "node"))
+        good = good.union(alike_in_trees(left, sets, alike))
+        release(whole)
+        release(left)
+    links = settle(good)
+    for done in (tree, ends, sets, checked):
+        release(done)
+    return links
 
 
 def keep_one_of_each(rows: DataFrame, width: int = 5, alike: float = 0.8, bits_of_128: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -521,7 +588,7 @@ def keep_one_of_each(rows: DataFrame, width: int = 5, alike: float = 0.8, bits_o
     """
     prints = settle(heads(rows, width, alike, key, text))
     nodes = prints.withColumnRenamed("text_hash", "node").drop("doc").dropDuplicates(["node"])
-    links = settle(alike_links(rows, nodes, width, alike, bits_of_128, text))
+    links = alike_links(rows, nodes, width, alike, bits_of_128, text)
     first = F.struct(F.col("doc").isNull().alias("no_key"), F.col("doc").alias("doc"), F.col("text_hash").alias("text_hash"))
     stay = (prints.select("doc", "text_hash").join(_labelled(links).withColumnRenamed("node", "text_hash"), "text_hash", "left")
             .groupBy(F.coalesce("component", "text_hash").alias("component")).agg(F.min(first).alias("first"))

@@ -474,9 +474,40 @@ def test_keep_one_of_each(spark):
     assert ids == sorted([-1, 10, *range(20, 40), 21, 50])
 
 
-def test_every_pair_of_jaccard_080_is_linked_and_none_under(spark, monkeypatch):
+def test_alike_in_block():
+    """The links of a block connect with the parts given what all pairs of the limit connect, with one side and with two."""
+    rng = np.random.default_rng(23)
+    for n in (1, 2, 9, 60):
+        base = rng.choice(10**6, 60, replace=False)
+        sets = [np.unique(np.concatenate((base[rng.random(60) < 0.93], rng.choice(10**6, rng.integers(0, 4))))) for _ in range(n)] + [np.zeros(0, np.int64)]
+        node = rng.permutation(n + 1) + 100
+        alike = [(a, b) for a, b in itertools.combinations(range(n + 1), 2)
+                 if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+        part = np.arange(n + 1)
+        for a, b in alike[::3]:
+            part[part == part[b]] = part[a]
+        for side in (np.zeros(n + 1, np.int64), rng.integers(0, 2, n + 1)):
+            two = side.any() and not side.all()
+            links = simhash.alike_in_block(node, part, side, np.array([len(s) for s in sets]), np.concatenate(sets), 0.8)
+            at = {int(v): k for k, v in enumerate(node)}
+            got = [(min(at[a], at[b]), max(at[a], at[b])) for a, b in links]
+            assert set(got) <= set(alike) and len(links) <= n
+
+            def labels(pairs, label):
+                for a, b in pairs:
+                    label[label == label[b]] = label[a]
+                return label
+
+            want = labels([(a, b) for a, b in alike if not two or side[a] != side[b]], part.copy())
+            found = labels(got, part.copy())
+            assert all(found[a] == found[b] for a, b in itertools.combinations(range(n + 1), 2) if want[a] == want[b])
+
+
+@pytest.mark.parametrize("block", [2048, 2])
+def test_every_pair_of_jaccard_080_is_linked_and_none_under(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "CHUNK", 5)
     monkeypatch.setattr(simhash, "_PAIRS", 40)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
     rng = random.Random(17)
     sets = lambda t: {" ".join(t[i:i + 5]) for i in range(len(t) - 4)}
     texts, line = {}, words(rng, 12).split()
