@@ -479,8 +479,30 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
     return in_arrow(both.select("a", "b", "x", "y"), work, "a bigint, b bigint, alike boolean")
 
 
+def _as_stars(batches: Iterator[dict]) -> Iterator[dict]:
+    """Links from the smallest node to each other one of the components of a partition's links, of which there are about LINKS."""
+    ends = [[batch[c].to_numpy(zero_copy_only=False) for c in ("a", "b")] for batch in batches]
+    if ends:
+        a, b = (np.concatenate(own) for own in zip(*ends, strict=True))
+        node, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        a, b = at[:len(a)], at[len(a):]
+        label = np.arange(len(node))
+        while (label[a] != label[b]).any():
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            np.minimum.at(label, high, low)
+            while (label[label] != label).any():
+                label = label[label]
+        other = label != np.arange(len(node))
+        yield {"a": node[label[other]], "b": node[other]}
+
+
 def _labelled(links: DataFrame) -> DataFrame:
-    return components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links.select("a", "b"), [])
+    """node, component: links become stars in each partition first, so that long chains take few rounds."""
+    parts = max(1, links.count() // LINKS)
+    stars = settle(in_arrow(links.select("a", "b").repartition(parts), _as_stars, "a bigint, b bigint"))
+    found = components(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), stars, [])
+    release(stars)
+    return found
 
 
 def alike_in_block(node: np.ndarray, part: np.ndarray, side: np.ndarray, sizes: np.ndarray, values: np.ndarray, alike: float) -> list[tuple[int, int]]:
