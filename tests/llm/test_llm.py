@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -643,6 +644,26 @@ def test_passages(spark):
     assert chaining.repeated_passages(none_of(spark, DOCS)).count() == 0
 
 
+def test_align_single_is_align():
+    rng = np.random.default_rng(31)
+    rows = []
+    for _ in range(400):
+        a, b, size = (int(v) for v in (rng.integers(0, 65), rng.integers(0, 65), rng.integers(1, 40)))
+        x = rng.integers(0, 3, a + size + int(rng.integers(0, 65))).astype(np.uint8)
+        y = rng.integers(0, 3, b + size + int(rng.integers(0, 65))).astype(np.uint8)
+        n = min(len(x) - a, len(y) - b)
+        y[b:b + n] = np.where(rng.random(n) < 0.8, x[a:a + n], y[b:b + n])
+        m = min(a, b)
+        y[b - m:b] = np.where(rng.random(m) < 0.8, x[a - m:a], y[b - m:b])
+        rows.append((x, y, a, b, size))
+    want = [chaining.align(x, y, np.array([a]), np.array([b]), np.array([s])) for x, y, a, b, s in rows]
+    cx, cy = (pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (0, 1))
+    a, b, size = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4))
+    for cut in (0, 7):  # also from within a longer column
+        got = chaining.align_single(cx.slice(cut), cy.slice(cut), a[cut:], b[cut:], size[cut:])
+        assert [[tuple(int(v) for v in row)] for row in zip(*got, strict=True)] == want[cut:]
+
+
 def test_passages_whose_parts_stand_elsewhere(spark):
     rng = random.Random(23)
     shared = [words(rng, n).split() for n in (59, 80, 200)]
