@@ -8,5 +8,5 @@ from quireflow.session import apply_settings, settle
 def test_many_rows_in_a_small_file_do_not_pass_the_driver(spark):
     apply_settings(spark)
     few_bits = settle(spark.range(1_000_000).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("k")))
-    plan = spark.range(1_000_000).withColumnRenamed("id", "k").join(few_bits, "k")._jdf.queryExecution().sparkPlan().toString()
+    plan = spark.range(100_000_000).withColumnRenamed("id", "k").join(few_bits, "k")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
