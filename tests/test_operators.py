@@ -209,3 +209,11 @@ def test_usage_appended(spark, folder, tmp_path):
     stored = spark.read.parquet(path)
     assert stored.count() == log.count() and stored.where("user = '?'").count() == log.where("id % 7 = 0").count()
     assert stored.where("date <> to_date(ts)").count() == 0 and stored.where("abs(seconds * 100 - rint(seconds * 100)) > 1e-6").count() == 0
+
+
+def test_tables_end_in_a_short_plan(spark):
+    cells = [(1, 1, 50.0 + 30 * c, 100.0, 50.0 + 30 * c, 140.0) for c in range(3)] + [(1, 1, 50.0, 100.0 + 20 * r, 110.0, 100.0 + 20 * r) for r in range(3)]
+    found = shapes.detect_tables(spark.createDataFrame(cells, "doc_id long, page int, x0 double, y0 double, x1 double, y1 double"))
+    assert found.count() == 4
+    # lines, grids and grown cells are read from files, not planned again for each step that reads them
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
