@@ -217,3 +217,11 @@ def test_tables_end_in_a_short_plan(spark):
     assert found.count() == 4
     # lines, grids and grown cells are read from files, not planned again for each step that reads them
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_captions_that_stick_out_lie_in_other_cells(spark):
+    # the first text ends left of the picture and of the cell border at 96
+    images = spark.createDataFrame([(1, 1, 5, 97.0, 10.0, 160.0, 50.0)], "doc_id long, page int, img int, x0 double, y0 double, x1 double, y1 double")
+    frags = spark.createDataFrame([(1, 1, 1, "<", 12.0, 86.0, 55.0, 94.0, 65.0), (1, 1, 2, "a>", 12.0, 100.0, 55.0, 120.0, 65.0)],
+                                  "doc_id long, page int, fid int, text string, size double, x0 double, y0 double, x1 double, y1 double")
+    assert {(r.frag, r.image) for r in shapes.captions(images, frags).collect()} == {(1, 5), (2, 5)}
