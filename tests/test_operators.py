@@ -225,3 +225,13 @@ def test_captions_that_stick_out_lie_in_other_cells(spark):
     frags = spark.createDataFrame([(1, 1, 1, "<", 12.0, 86.0, 55.0, 94.0, 65.0), (1, 1, 2, "a>", 12.0, 100.0, 55.0, 120.0, 65.0)],
                                   "doc_id long, page int, fid int, text string, size double, x0 double, y0 double, x1 double, y1 double")
     assert {(r.frag, r.image) for r in shapes.captions(images, frags).collect()} == {(1, 5), (2, 5)}
+
+
+def test_glyphs_meet_their_row_without_a_shuffle(spark, folder):
+    from quireflow.sources import corpus
+
+    glyphs = corpus.glyphs(spark, folder).withColumn("icon", F.lit(False))
+    lines = layout.build_lines(glyphs, ["doc_id", "page", "frag"])
+    rows = corpus.layout_rows(spark, folder)
+    shuffles = [df._jdf.queryExecution().executedPlan().toString().count("Exchange") for df in (rows, lines)]
+    assert shuffles[1] == shuffles[0]
