@@ -235,3 +235,29 @@ def test_glyphs_meet_their_row_without_a_shuffle(spark, folder):
     rows = corpus.layout_rows(spark, folder)
     shuffles = [df._jdf.queryExecution().executedPlan().toString().count("Exchange") for df in (rows, lines)]
     assert shuffles[1] == shuffles[0]
+
+
+def test_coverage_shuffles_texts_and_not_shingles(spark, monkeypatch):
+    rng = random.Random(8)
+    lines = [(pair, no, 1, "".join(rng.choice("ab 1") for _ in range(rng.randint(0, 30)))) for pair in range(12) for no in range(1 + 3 * pair)]
+    kept = {pair: " ".join(t for p, no, _, t in lines if p == pair and no % 3) for pair in range(12)}
+    source = spark.createDataFrame(lines, "pair long, line_no int, page int, text string")
+    output = spark.createDataFrame(list(kept.items()), "pair long, text string")
+
+    def parts(text):
+        text = text.replace(" ", "")
+        return {text[k:k + 6] for k in range(len(text) - 5)}
+
+    shares, missing = {}, set()
+    for pair, text in kept.items():
+        own = set().union(*(parts(t) for p, _, _, t in lines if p == pair))
+        found = parts(text)
+        shares[pair] = (round(len(own & found) / max(1, len(own)), 4), round(len(own & found) / max(1, len(found)), 4))
+        missing |= {(p, no) for p, no, _, t in lines if p == pair and 2 * len(parts(t) & found) < len(parts(t))}
+    for chars in (1 << 20, 200):  # all pairs are dealt by pair, or the longer ones are not
+        monkeypatch.setattr(quality, "PAIR_CHARS", chars)
+        assert {r.pair: (r.coverage, r.precision) for r in quality.coverage(source, output).collect()} == shares
+        assert {(r.pair, r.line_no) for r in quality.missing_lines(source, output).collect()} == missing
+    for df in (quality.coverage(source, output), quality.missing_lines(source, output)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_NUM") == 2 and plan.count("Generate") == 4
