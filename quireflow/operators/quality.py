@@ -17,6 +17,7 @@ from quireflow.session import settle
 NGRAM = 6
 PAIR_CHARS = 1 << 20  # of a pair's texts up to which one task takes the pair
 TASK_CHARS = 1 << 19  # of the texts for one task, whose shingles then fit into its memory
+BROADCAST = 500_000   # shingles at most that are sent to every task
 
 
 def _shingle_rows(df: DataFrame, keys: list[str], numbers: bool) -> DataFrame:
@@ -99,7 +100,9 @@ def passage_coverage(items: DataFrame, outputs: DataFrame, threshold: float = 0.
     shingles never pair everything with everything. Candidates are then counted exactly.
     """
     item_rows = _shingle_rows(items, ["item"], True).distinct()
-    wanted = item_rows.select("shingle").distinct()
+    wanted = settle(item_rows.select("shingle").distinct())
+    if wanted.limit(BROADCAST + 1).count() <= BROADCAST:
+        wanted = F.broadcast(wanted)  # else all shingles of the outputs would be shuffled to meet a few
     # used three times, and small beside the texts: only shingles that some item holds
     out_rows = settle(_shingle_rows(outputs, ["pair"], True).join(wanted, "shingle", "left_semi").distinct())
     frequency = out_rows.groupBy("shingle").agg(F.count("*").alias("df"))

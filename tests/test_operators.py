@@ -261,3 +261,12 @@ def test_coverage_shuffles_texts_and_not_shingles(spark, monkeypatch):
     for df in (quality.coverage(source, output), quality.missing_lines(source, output)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("REPARTITION_BY_NUM") == 2 and plan.count("Generate") == 4
+
+
+def test_passages_meet_a_few_shingles_without_a_shuffle_of_all(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "abcdefghij")], "item long, text string")
+    outputs = spark.createDataFrame([(k, "xx abcdefghij " * 3) for k in range(4)], "pair long, text string")
+    plans = []
+    monkeypatch.setattr(quality, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    assert {(r.pair, r.hits) for r in quality.passage_coverage(items, outputs).collect()} == {(k, 5) for k in range(4)}
+    assert "rightHint=(strategy=broadcast)" in plans[-1]
