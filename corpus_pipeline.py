@@ -36,8 +36,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, five-word shingles alike to 0.8 or so, the one with the smallest doc_id stays."""
-    return simhash.keep_one_of_each(docs).select(*DOCUMENT_COLUMNS)
+    """Of near copies, by the classes of op6 or five-word shingles alike to 0.8, and chains of both, the one with the smallest doc_id stays."""
+    return simhash.keep_one_of_each(docs, class_bits=4).select(*DOCUMENT_COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

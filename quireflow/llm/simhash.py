@@ -599,9 +599,20 @@ def alike_links(rows: DataFrame, nodes: DataFrame, width: int, alike: float, bit
     return links
 
 
-def keep_one_of_each(rows: DataFrame, width: int = 5, alike: float = 0.8, bits_of_128: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
+def class_links(rows: DataFrame, width: int, bits: int, key: str, text: str) -> DataFrame:
+    """a, b: links from one text of each class of near_duplicates() to the others, by their text hashes."""
+    prints = settle(fingerprints(rows, width, key, text).select("text_hash", "fp").distinct())
+    grouped = _labelled(settle(link(prints, bits))).withColumnRenamed("node", "fp")
+    texts = settle(prints.join(grouped, "fp", "left").select(F.coalesce("component", "fp").alias("component"), "text_hash"))
+    first = texts.groupBy("component").agg(F.min("text_hash").alias("a"))
+    return texts.join(first, "component").where("a <> text_hash").select("a", F.col("text_hash").alias("b"))
+
+
+def keep_one_of_each(rows: DataFrame, width: int = 5, alike: float = 0.8, bits_of_128: int = 40, key: str = "doc_id", text: str = "text",
+                     class_width: int = 4, class_bits: int | None = None) -> DataFrame:
     """The rows of which no near copy with a smaller key is there, whole: one row of each class stays.
 
+    With class_bits, texts in one class of near_duplicates() for class_width and class_bits are linked, besides those below.
     Texts are linked if the Jaccard similarity of their distinct shingles is `alike` or more, and so are chains of links;
     every link is counted on the shingles. Pairs to count share a shingle of their heads, which is exact, and differ in
     at most bits_of_128 bits: a Jaccard similarity of 0.8 is 19 of 128 in the mean with a deviation of 4, so that 40 are
@@ -611,6 +622,8 @@ def keep_one_of_each(rows: DataFrame, width: int = 5, alike: float = 0.8, bits_o
     prints = settle(heads(rows, width, alike, key, text))
     nodes = prints.withColumnRenamed("text_hash", "node").drop("doc").dropDuplicates(["node"])
     links = alike_links(rows, nodes, width, alike, bits_of_128, text)
+    if class_bits is not None:
+        links = settle(links.unionByName(class_links(rows, class_width, class_bits, key, text)))
     first = F.struct(F.col("doc").isNull().alias("no_key"), F.col("doc").alias("doc"), F.col("text_hash").alias("text_hash"))
     stay = (prints.select("doc", "text_hash").join(_labelled(links).withColumnRenamed("node", "text_hash"), "text_hash", "left")
             .groupBy(F.coalesce("component", "text_hash").alias("component")).agg(F.min(first).alias("first"))

@@ -475,6 +475,19 @@ def test_keep_one_of_each(spark):
     assert ids == sorted([-1, 10, *range(20, 40), 21, 50])
 
 
+def test_near_dedup_of_the_pipeline_takes_simhash_classes(spark, folder):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    # repeats rule the fingerprint: these two share a class, and few of their distinct shingles
+    texts = ["again " * 300 + words(rng, 30), "again " * 300 + words(rng, 30), words(rng, 200), words(rng, 200)]
+    rows = spark.createDataFrame([(k + 1, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()}
+    assert classes == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, folder).collect()} == {1, 3, 4}
+    assert simhash.keep_one_of_each(rows).count() == 4
+
+
 def test_alike_in_block():
     """The links of a block connect with the parts given what all pairs of the limit connect, with one side and with two."""
     rng = np.random.default_rng(23)
