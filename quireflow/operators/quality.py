@@ -127,13 +127,17 @@ def order_status(numbers: DataFrame, paras: DataFrame, answers: DataFrame | None
     output, in one greedy pass of which `found` of the numbers first, first + 1, … head a paragraph ("3."). `answers`
     has doc_id. A document with neither questions nor answers is WARN, one with answers alone FAIL.
     """
-    steps = scan.neighbours(numbers, ["doc_id"], ["chunk"], ["ord"], lag={"prev": F.col("number")})
-    runs = steps.groupBy("doc_id").agg(
-        F.count("*").alias("questions"), F.min_by("number", F.struct("chunk", "ord")).alias("start"),
-        F.bool_and(F.col("prev").isNull() | (F.col("number") == F.col("prev") + 1)).alias("seq_ok"))
-    runs = settle(runs)
-    heads = paras.select("doc_id", "ord", "chunk", F.regexp_extract("text", r"^\s*([1-9][0-9]{0,8}|0)\s*\.", 1).alias("shown")).where("shown <> ''")
-    heads = heads.select("doc_id", "ord", "chunk", F.col("shown").cast("int").alias("number")).join(runs, "doc_id").where(
+    numbers = settle(numbers.select("doc_id", "chunk", "ord", "number"))
+    shown = F.regexp_extract("text", r"^\s*([1-9][0-9]{0,8}|0)\s*\.", 1)
+    paras = settle(paras.select("doc_id", "chunk", "ord", F.when(shown != "", shown).cast("int").alias("number")))
+    # a chunk's first and last number stand for it, so no number is joined with its neighbour
+    inside, across = Window.partitionBy("doc_id", "chunk").orderBy("ord"), Window.partitionBy("doc_id").orderBy("chunk")
+    follows = lambda prev: prev.isNull() | (F.col("number") == prev + 1)
+    chunks = numbers.withColumn("prev", F.lag("number").over(inside)).groupBy("doc_id", "chunk").agg(
+        F.count("*").alias("n"), F.min_by("number", "ord").alias("number"), F.max_by("number", "ord").alias("last"), F.bool_and(follows(F.col("prev"))).alias("ok"))
+    runs = settle(chunks.withColumn("before", F.lag("last").over(across)).groupBy("doc_id").agg(
+        F.sum("n").alias("questions"), F.min_by("number", "chunk").alias("start"), F.bool_and(F.col("ok") & follows(F.col("before"))).alias("seq_ok")))
+    heads = paras.where("number is not null").join(runs, "doc_id").where(
         (F.col("number") >= F.col("start")) & (F.col("number") < F.col("start") + F.col("questions")))
     chain = structure.number_chain(heads.select("doc_id", "ord", "chunk", "number"), runs.select("doc_id", "start"), {1: F.lit(True)})
     found = chain.groupBy("doc_id").agg(F.count("*").alias("found"))

@@ -131,6 +131,24 @@ def test_gap_document_notes(spark):
     assert [r.number for r in merge.leftover_answers(q, a).collect()] == [5]
 
 
+def test_number_chains_of_short_documents_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(d, i, i // 7, rng.randint(1, 9), rng.random() < 0.4) for d in range(25) for i in range(rng.randint(1, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, ord int, chunk int, number int, big boolean")
+    faithful = spark.createDataFrame([(d, d % 2 == 0) for d in range(20)], "doc_id long, faithful boolean")
+    find = lambda: sorted(map(tuple, structure.scan_headers(df, faithful=faithful).collect()))
+    for limit in (0, 12):  # all documents, or the longer ones alone, along pointers
+        monkeypatch.setattr(structure, "FOLD", limit)
+        got = find()
+        assert got
+        if limit:
+            assert got == want
+        want = got
+    monkeypatch.undo()
+    monkeypatch.setattr(structure.graph, "follow_chain", None)
+    assert find() == want
+
+
 def test_headers_follow_big_jumps(spark):
     rows = [(1, 1, 0, 1, False), (1, 2, 0, 4, False), (1, 3, 0, 2, False), (1, 4, 0, 4, True), (1, 5, 0, 5, False)]
     df = spark.createDataFrame(rows, "doc_id long, ord int, chunk int, number int, big boolean")
