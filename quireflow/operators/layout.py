@@ -345,8 +345,17 @@ def body_vocab(lines: DataFrame, pattern: str, scope: tuple[str, ...] = ("doc_id
     return lines.select(*scope, F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("word")).groupBy(*scope, "word").agg(F.count("*").alias("n"))
 
 
-def _prefixes(vocab: DataFrame, scope: tuple[str, ...]) -> DataFrame:
-    return vocab.select(*scope, F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("word")).distinct()
+def _looked_up(asked: DataFrame, vocab: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """Adds to rows of scope + word whether the word is in the vocabulary of its scope (known) and whether it starts a word of it (starts).
+
+    Backwards in order, the last vocabulary word passed is the first one not before the asked word; if any word starts with
+    it, this one does. Words meet by scope and first letter.
+    """
+    rows = vocab.dropna(subset=list(scope)).select(*scope, "word").withColumn("__entry", F.lit(True)).unionByName(asked.withColumn("__entry", F.lit(False)), allowMissingColumns=True)
+    area = Window.partitionBy(*scope, "__letter").orderBy(F.desc("word"), F.desc("__entry")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__letter", F.substring("word", 1, 1)).withColumn("__next", F.last(F.when(F.col("__entry"), F.col("word")), ignorenulls=True).over(area))
+    no = F.lit(False)
+    return rows.where(~F.col("__entry")).select(*asked.columns, F.coalesce(F.col("__next") == F.col("word"), no).alias("known"), F.coalesce(F.col("__next").startswith(F.col("word")), no).alias("starts"))
 
 
 def vocab_fix(words: DataFrame, vocab: DataFrame, swaps: Column, min_count: int = 3, scope: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -356,7 +365,8 @@ def vocab_fix(words: DataFrame, vocab: DataFrame, swaps: Column, min_count: int
     starts a body word stays. `swaps` is a condition on columns a and b, the differing characters. Candidates meet on the
     document and the word with one character masked, an equality key; no word is compared with all others.
     """
-    unknown = words.select(*scope, "word").where(F.length("word") >= 2).distinct().join(_prefixes(vocab, scope), [*scope, "word"], "left_anti")
+    asked = words.select(*scope, "word").where(F.length("word") >= 2)
+    unknown = _looked_up(asked, vocab, scope).where("not starts").select(*scope, "word").distinct()
 
     def masked(df: DataFrame, name: str) -> DataFrame:
         places = F.sequence(F.lit(1), F.length("word"))
@@ -379,20 +389,20 @@ def line_end_space(pairs: DataFrame, vocab: DataFrame, conventions: Conventions
     """Whether a line ends in a space, from its last word and the first word of the line below.
 
     `pairs` has scope + w1, w2. A joined word that starts a body word of its document means no space, as does a particle below; an ending, or two
-    words both known, means a space. Prefixes of the vocabulary are rows, so both look-ups are equality joins.
+    words both known, means a space. The columns of pairs must be comparable.
     """
-    starts = _prefixes(vocab, scope)
-    rows = pairs.withColumn("joined", F.concat("w1", "w2"))
-    rows = rows.join(starts.select(*scope, F.col("word").alias("joined"), F.lit(True).alias("__joined")), [*scope, "joined"], "left")
-    rows = rows.join(vocab.select(*scope, F.col("word").alias("w1"), F.lit(True).alias("__w1")), [*scope, "w1"], "left")
-    rows = rows.join(starts.select(*scope, F.col("word").alias("w2"), F.lit(True).alias("__w2")), [*scope, "w2"], "left")
+    asked = pairs.withColumn("__a", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), w.alias("word")) for k, w in enumerate((F.concat("w1", "w2"), F.col("w1"), F.col("w2")))])))
+    found = _looked_up(asked.select(*pairs.columns, F.col("__a.k").alias("__k"), F.col("__a.word").alias("word")), vocab, scope)
+    # equal rows of pairs get equal answers, so each stands for as many as there are
+    rows = found.groupBy(*pairs.columns).agg(F.count_if(F.col("__k") == 0).alias("__copies"), *[
+        F.bool_or(F.col(c) & (F.col("__k") == k)).alias(n) for k, c, n in ((0, "starts", "__joined"), (1, "known", "__w1"), (2, "starts", "__w2"))])
     last = F.substring("w1", -1, 1)
     code = F.ascii(last) - 44032
     ending = (F.length("w1") >= 2) & (last.isin(*conventions.endings) | (code.between(0, 11171) & (code % 28).isin(4, 8)))
     particle = F.col("w2").startswith("으") | F.col("w2").isin(*conventions.particles)
-    known = F.coalesce("__w1", F.lit(False)) & F.coalesce("__w2", F.lit(False))
-    space = ~F.coalesce("__joined", F.lit(False)) & ~particle & (ending | known)
-    return rows.withColumn("space", space).select(*pairs.columns, "space")
+    space = ~F.col("__joined") & ~particle & (ending | (F.col("__w1") & F.col("__w2")))
+    each = rows.withColumn("space", space).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return each.select(*pairs.columns, "space")
 
 
 def line_below(lines: DataFrame) -> DataFrame:

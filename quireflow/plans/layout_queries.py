@@ -264,7 +264,8 @@ SELECT doc_id, ord, (doc_id, w1 || w2) NOT IN (SELECT (doc_id, word) FROM pre) A
 FROM p WHERE w1 <> '' AND w2 <> ''""", ("text_lines",))
 def _(spark, folder):
     lines = text_lines(spark, folder)
-    vocab = ops.body_vocab(table(spark, folder, "documents"), r"[\p{L}]+")
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1)))
+    vocab = table(spark, folder, "documents").select("doc_id", F.explode(words).alias("word"))
     from pyspark.sql.window import Window
     area = Window.partitionBy("doc_id", "page", "col").orderBy("ord")
     pairs = lines.select("doc_id", "ord", F.regexp_extract(F.rtrim("text"), r"([\p{L}]+)$", 1).alias("w1"), F.regexp_extract(F.ltrim(F.lead("text").over(area)), r"^([\p{L}]+)", 1).alias("w2"))

@@ -149,6 +149,26 @@ def test_number_chains_of_short_documents_take_no_rounds(spark, monkeypatch):
     assert find() == want
 
 
+def test_words_are_looked_up_in_order_without_rows_of_prefixes(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abß으") for _ in range(rng.randint(1, 4)))
+    vocab = [(d, word()) for d in (1, 2, None) for _ in range(12)]
+    pairs = [(d, i, word(), word()) for d in (1, 2, 3, None) for i in range(60)] * 2
+    have = {w for d, w in vocab if d == 1}, {w for d, w in vocab if d == 2}
+
+    def space(d, w1, w2):
+        words = have[d - 1] if d in (1, 2) else set()
+        starts = lambda w: any(v.startswith(w) for v in words)
+        return not starts(w1 + w2) and not w2.startswith("으") and w1 in words and starts(w2)
+
+    asked = spark.createDataFrame(pairs, "doc_id long, ord int, w1 string, w2 string")
+    found = layout.line_end_space(asked, spark.createDataFrame(vocab, "doc_id long, word string"))
+    key = lambda r: (r[0] or 0, *r[1:])
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(((*p, space(p[0], *p[2:])) for p in pairs), key=key)
+    assert any(r.space for r in found.collect())
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_headers_follow_big_jumps(spark):
     rows = [(1, 1, 0, 1, False), (1, 2, 0, 4, False), (1, 3, 0, 2, False), (1, 4, 0, 4, True), (1, 5, 0, 5, False)]
     df = spark.createDataFrame(rows, "doc_id long, ord int, chunk int, number int, big boolean")
