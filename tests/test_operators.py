@@ -169,6 +169,21 @@ def test_words_are_looked_up_in_order_without_rows_of_prefixes(spark):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_words_meet_by_the_half_that_is_alike(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(2, 5)))
+    vocab = [(d, w, rng.randint(2, 4)) for d in (1, 2) for w in {word() for _ in range(25)}]
+    asked = [(d, word()) for d in (1, 2, 3) for _ in range(60)]
+    want = set()
+    for d, w in asked:
+        if not any(e == d and v.startswith(w) for e, v, _ in vocab):
+            near = [v for e, v, n in vocab if e == d and n >= 3 and len(v) == len(w) and sum(a != b for a, b in zip(v, w, strict=True)) == 1]
+            want |= {(d, w, near[0])} if len(near) == 1 else set()
+    found = layout.vocab_fix(spark.createDataFrame(asked, "doc_id long, word string"), spark.createDataFrame(vocab, "doc_id long, word string, n long"), F.lit(True))
+    assert sorted(map(tuple, found.collect())) == sorted(want) and want
+    assert not any("key#" in line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line)
+
+
 def test_headers_follow_big_jumps(spark):
     rows = [(1, 1, 0, 1, False), (1, 2, 0, 4, False), (1, 3, 0, 2, False), (1, 4, 0, 4, True), (1, 5, 0, 5, False)]
     df = spark.createDataFrame(rows, "doc_id long, ord int, chunk int, number int, big boolean")
