@@ -15,11 +15,15 @@ FRAG = ["doc_id", "page", "frag"]
 
 
 def frags(glyphs: DataFrame) -> DataFrame:
-    """Bounds, median size and text of fragments; white space does not count, all-space fragments go."""
-    solid = ~tx.is_space(F.col("c"))
-    return glyphs.groupBy(*FRAG).agg(
-        *[F.min(F.when(solid, F.col(c))).alias(c) for c in ("x0", "y0")], *[F.max(F.when(solid, F.col(c))).alias(c) for c in ("x1", "y1")],
-        F.median(F.when(solid, F.col("size"))).alias("size"), F.count_if(solid).alias("glyphs")).where("glyphs > 0")
+    """Bounds, median size and text of fragments; white space does not count, all-space fragments go.
+
+    Glyphs are counted by size first; a fragment has few sizes, and the median looks at these with their counts.
+    """
+    sizes = glyphs.where(~tx.is_space(F.col("c"))).groupBy(*FRAG, "size").agg(
+        *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")], F.count("*").alias("n"))
+    return sizes.groupBy(*FRAG).agg(
+        *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")],
+        F.percentile("size", F.lit(0.5), F.col("n")).alias("size"), F.sum("n").alias("glyphs"))
 
 
 def plain_strokes(glyphs: DataFrame) -> DataFrame:

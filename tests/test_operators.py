@@ -1,6 +1,8 @@
 """Hand-made cases and random cases against plain restatements for the order-dependent operators."""
 
 import random
+import re
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -335,3 +337,21 @@ def test_letters_of_dealt_runs_are_not_shuffled(spark):
         got[r.doc_id, r.stem].append((r.text, r.underline))
     assert got[1, 1] == got[1, 2] == [("옳지 ", False), ("않은", True), (" 것은?", False)]
     assert "".join(t for t, _ in got[2, 1]) == "옳지 않 은 것은?"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_glyphs_of_fragments_are_counted_by_size(spark):
+    rng = random.Random(5)
+    rows = [(1, page, frag, rng.choice("ab \t"), float(k), float(k % 7), k + 5.0, k + 9.0, rng.choice([8.0, 9.0, 10.0, 12.0])) for page in (1, 2) for frag in range(9) for k in range(frag)]
+    glyphs = spark.createDataFrame(rows, "doc_id long, page int, frag int, c string, x0 double, y0 double, x1 double, y1 double, size double")
+    out = layout.frags(glyphs)
+    want = {}
+    for r in rows:
+        if r[3] not in " \t":
+            want.setdefault(r[1:3], []).append(r)
+    assert {(r.page, r.frag): (r.x0, r.y0, r.x1, r.y1, r["size"], r.glyphs) for r in out.collect()} == {
+        k: (min(r[4] for r in v), min(r[5] for r in v), max(r[6] for r in v), max(r[7] for r in v), statistics.median(r[8] for r in v), len(v)) for k, v in want.items()}
+    assert re.search(r" HashAggregate\(keys=\[doc_id#\d+L, page#\d+, frag#\d+, \S*size", plan_of(out)) and "median" not in plan_of(out)
