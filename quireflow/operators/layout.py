@@ -93,32 +93,39 @@ def group_lines(frags: DataFrame, area: list[str]) -> DataFrame:
 
     Where no fragment reaches over a horizontal cut, nothing below can join a line above, so the page column is first cut
     there; the order-dependent rule is folded inside a band, which is usually one text line.
-    `frags` has area keys + (fid, x0, y0, x1, y1).
+    `frags` has area keys + (fid, x0, y0, x1, y1). A fragment's other columns go with it through the fold. The lowest start
+    below is a running minimum from the foot of the column up: a frame from each row to the last would be read anew for each row.
     """
     order = Window.partitionBy(*area).orderBy("cy", "x0", "fid")
+    upwards = Window.partitionBy(*area).orderBy(F.desc("cy"), F.desc("x0"), F.desc("fid"))
     rows = frags.withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
     above = F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    below = F.min("y0").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = rows.withColumns({"__above": above, "__below": below})
+    below = F.min("y0").over(upwards.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("__below", below).withColumn("__above", above)
     rows = rows.withColumn("__cut", F.coalesce(F.col("__below") >= F.col("__above"), F.lit(True)).cast("int"))
     rows = rows.withColumn("__band", F.sum("__cut").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    bands = rows.groupBy(*area, "__band").agg(F.array_sort(F.collect_list(F.struct("cy", "x0", "fid", "y0", "y1"))).alias("f"))
+    rest = [c for c in frags.columns if c not in (*area, "x0", "fid", "y0", "y1")]
+    bands = rows.groupBy(*area, "__band").agg(F.array_sort(F.collect_list(F.struct("cy", "x0", "fid", "y0", "y1", F.struct(*rest).alias("rest") if rest else F.lit(0).alias("rest")))).alias("f"))
+
+    def fits(h: Column, f: Column) -> Column:
+        return F.least(h["y1"], f["y1"]) - F.greatest(h["y0"], f["y0"]) >= 0.5 * F.least(f["y1"] - f["y0"], h["y1"] - h["y0"])
 
     def advance(state: Column, f: Column) -> Column:
         recent = F.slice(state["heads"], F.greatest(F.lit(1), F.size(state["heads"]) - 3), 4)
-        fits = F.filter(recent, lambda h: F.least(h["y1"], f["y1"]) - F.greatest(h["y0"], f["y0"])
-                        >= 0.5 * F.least(f["y1"] - f["y0"], h["y1"] - h["y0"]))
-        line = F.when(F.size(fits) > 0, F.try_element_at(fits, F.lit(-1))["no"]).otherwise(F.size(state["heads"]))
-        heads = F.when(F.size(fits) > 0, state["heads"]).otherwise(
+        fitting = F.filter(recent, lambda h: fits(h, f))
+        line = F.when(F.size(fitting) > 0, F.try_element_at(fitting, F.lit(-1))["no"]).otherwise(F.size(state["heads"]))
+        heads = F.when(F.size(fitting) > 0, state["heads"]).otherwise(
             F.concat(state["heads"], F.array(F.struct(F.size(state["heads"]).alias("no"), f["y0"].alias("y0"), f["y1"].alias("y1")))))
-        return F.struct(heads.alias("heads"), F.concat(state["out"], F.array(F.struct(f["fid"].alias("fid"), line.alias("no")))).alias("out"))
-
-    kind = frags.schema["fid"].dataType.simpleString()
-    begin = F.struct(F.array().cast("array<struct<no:int,y0:double,y1:double>>").alias("heads"), F.array().cast(f"array<struct<fid:{kind},no:int>>").alias("out"))
-    single = F.array(F.struct(F.element_at("f", 1)["fid"].alias("fid"), F.lit(0).alias("no")))
-    lines = bands.select(*area, "__band", F.inline(F.when(F.size("f") == 1, single).otherwise(F.aggregate("f", begin, advance)["out"])))
+        return F.struct(heads.alias("heads"), F.concat(state["out"], F.array(line)).alias("out"))
+
+    begin = F.struct(F.array().cast("array<struct<no:int,y0:double,y1:double>>").alias("heads"), F.array().cast("array<int>").alias("out"))
+    # where all fit the first fragment they are its line, and nothing is folded
+    first = F.element_at("f", 1)
+    level = F.forall("f", lambda f: F.coalesce(fits(first, f), F.lit(False)))
+    nos = F.when((F.size("f") == 1) | level, F.array_repeat(F.lit(0), F.size("f"))).otherwise(F.aggregate("f", begin, advance)["out"])
+    lines = bands.select(*area, "__band", F.inline(F.arrays_zip("f", nos.alias("no"))))
     numbered = lines.withColumn("line", F.dense_rank().over(Window.partitionBy(*area).orderBy("__band", "no")))
-    return frags.join(numbered.select(*area, "fid", "line"), [*area, "fid"])
+    return numbered.select(*[c if c in area else F.col(f"f.rest.{c}" if c in rest else f"f.{c}").alias(c) for c in frags.columns], "line")
 
 
 def split_far(frags: DataFrame, line: list[str], conventions: Conventions = KOREAN) -> DataFrame:

@@ -355,3 +355,12 @@ def test_glyphs_of_fragments_are_counted_by_size(spark):
     assert {(r.page, r.frag): (r.x0, r.y0, r.x1, r.y1, r["size"], r.glyphs) for r in out.collect()} == {
         k: (min(r[4] for r in v), min(r[5] for r in v), max(r[6] for r in v), max(r[7] for r in v), statistics.median(r[8] for r in v), len(v)) for k, v in want.items()}
     assert re.search(r" HashAggregate\(keys=\[doc_id#\d+L, page#\d+, frag#\d+, \S*size", plan_of(out)) and "median" not in plan_of(out)
+
+
+def test_lines_are_grouped_without_a_join_or_a_frame_to_the_end(spark):
+    df = spark.createDataFrame([(1, k, 1.0 * k, 10.0 * (k // 3) + k % 2, 1.0 * k + 1, 10.0 * (k // 3) + 9, f"t{k}") for k in range(9)],
+                               "doc int, fid int, x0 double, y0 double, x1 double, y1 double, text string")
+    out = layout.group_lines(df, ["doc"])
+    assert out.columns == [*df.columns, "line"]
+    assert {(r.fid, r.text, r.line) for r in out.collect()} == {(k, f"t{k}", k // 3 + 1) for k in range(9)}
+    assert "Join" not in plan_of(out) and "unboundedfollowing" not in plan_of(out)
