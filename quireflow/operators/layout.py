@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from quireflow.conventions import CIRCLED, EM_SPACE, KOREAN, SPACE, Conventions
 from quireflow.functions import scan
 from quireflow.functions import text as tx
-from quireflow.operators.structure import ordered_concat
 
 FRAG = ["doc_id", "page", "frag"]
 
@@ -146,13 +145,15 @@ def split_far(frags: DataFrame, line: list[str], conventions: Conventions = KORE
         (F.col("gap") > 3.0 * F.greatest("size", "__p_size")) & ~F.col("__starts") & ~F.col("__choices"))
     rows = rows.withColumn("__cut", F.coalesce(cut, F.lit(False)).cast("int"))
     rows = rows.withColumn("piece", F.sum("__cut").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    pieces = rows.groupBy(*line, "piece").agg(ordered_concat(["x0", "fid"], F.col("text")).alias("t"), F.bool_or("__label").alias("label"))
-    t = tx.strip("t")
-    joined = pieces.groupBy(*line).agg(
-        F.count("*").alias("n"), F.max(F.length(t)).alias("longest"), F.bool_or(tx.rx(t, "^[-–—]")).alias("dash"), F.bool_or("label").alias("label"))
-    whole = joined.where((F.col("n") >= 2) & (F.col("longest") <= F.when(F.col("n") >= 3, 12).otherwise(6)) & ~F.col("dash") & ~F.col("label"))
-    out = rows.join(whole.select(*line, F.lit(True).alias("__whole")), line, "left")
-    return out.withColumn("piece", F.when(F.coalesce("__whole", F.lit(False)), 0).otherwise(F.col("piece"))).select(*frags.columns, "piece")
+    # a line's fragments are brought together once, looked at and parted again: nothing is joined back
+    rest = [c for c in frags.columns if c not in line]
+    lists = rows.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("x0", "fid", "piece", "text", "__label", F.struct(*rest).alias("own")))).alias("f"))
+    last = F.element_at("f", -1)["piece"]
+    texts = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: tx.strip(F.array_join(F.filter("f", lambda f: f["piece"] == k)["text"], "")))
+    short = F.forall(texts, lambda t: (F.length(t) <= F.when(last > 1, 12).otherwise(6)) & ~tx.rx(t, "^[-–—]"))
+    lists = lists.withColumn("__whole", F.coalesce((last > 0) & ~F.array_max("f.__label") & short, F.lit(False)))
+    out = lists.select(*line, "__whole", F.explode("f").alias("f"))
+    return out.select(*[c if c in line else F.col(f"f.own.{c}").alias(c) for c in frags.columns], F.when(F.col("__whole"), 0).otherwise(F.col("f.piece")).alias("piece"))
 
 
 def build_lines(glyphs: DataFrame, line: list[str]) -> DataFrame:

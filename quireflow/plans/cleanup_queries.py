@@ -162,13 +162,13 @@ trimmed AS (
 SELECT doc_id, row_no, string_agg(final || CASE WHEN underline THEN '_' ELSE '|' END, '' ORDER BY ord) AS runs
 FROM trimmed WHERE final <> '' GROUP BY doc_id, row_no""", ("word_runs",))
 def _(spark, folder):
-    rows = corpus.layout_rows(spark, folder).select("doc_id", "row_no", F.posexplode(F.split("text", " ")).alias("ord", "w"))
-    runs = rows.select("doc_id", "row_no", "ord", F.concat("w", F.lit("  ")).alias("text"),
+    rows = corpus.layout_rows(spark, folder).select("doc_id", "page", "row_no", F.posexplode(F.split("text", " ")).alias("ord", "w"))
+    runs = rows.select("doc_id", "page", "row_no", "ord", F.concat("w", F.lit("  ")).alias("text"),
                        (F.length("w") % 3 == 0).alias("underline"), (F.length("w") % 2).alias("look"))
-    out = ops.clean_runs(runs, ["doc_id", "row_no"])
+    out = ops.clean_runs(runs, ["doc_id", "page", "row_no"])
     shown = F.concat("text", F.when(F.col("underline"), "_").otherwise("|"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", shown.alias("t")))), lambda r: r["t"]), "")
-    return out.groupBy("doc_id", "row_no").agg(joined.alias("runs"))
+    return out.groupBy("doc_id", "page", "row_no").agg(joined.alias("runs")).drop("page")
 
 
 @query("titles_normalised", "B12", f"""

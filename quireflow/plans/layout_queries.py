@@ -85,7 +85,7 @@ j AS (SELECT doc_id, row_no FROM (SELECT doc_id, row_no, piece, string_agg(text,
 SELECT p.doc_id, p.row_no, p.word_no, CAST(CASE WHEN j.doc_id IS NOT NULL THEN 0 ELSE piece END AS BIGINT) AS piece FROM p LEFT JOIN j ON j.doc_id = p.doc_id AND j.row_no = p.row_no""", ("words",))
 def _(spark, folder):
     w = word_frags(spark, folder).withColumns({"icon": F.lit(False), "size": F.lit(10.0)})
-    return ops.split_far(w, ["doc_id", "row_no"]).select("doc_id", "row_no", "word_no", F.col("piece").cast("long"))
+    return ops.split_far(w, ["doc_id", "page", "row_no"]).select("doc_id", "row_no", "word_no", F.col("piece").cast("long"))
 
 
 @query("lines_built", "C15", """

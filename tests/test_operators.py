@@ -373,3 +373,22 @@ def test_parts_of_cut_lines_look_once_at_each_glyph(spark):
     assert sorted((r.ord, r.part, r.text, r.x0, r.x1) for r in out.collect()) == [
         (1, 0, "ab", 5.0, 15.0), (1, 1, "cd", 25.0, 35.0), (2, 0, "ab  cd", 5.0, 35.0), (3, 1, "ab  cd", 5.0, 35.0)]
     assert len(re.findall(r"filter\(", plan_of(out))) == 1 and "array_join(transform" not in plan_of(out)
+
+
+def test_words_of_dealt_rows_stay_where_their_page_is(spark, folder):
+    from __spark_entry__ import load_queries
+    from quireflow.sources import corpus
+
+    dealt = plan_of(corpus.layout_rows(spark, folder)).count("Exchange")
+    for name in ("clean_runs", "far_fragments_split"):
+        assert plan_of(load_queries()[name].run(spark, folder)).count("Exchange") == dealt, name
+
+
+def test_far_pieces_are_put_together_beside_their_fragments(spark):
+    words = [(1, 1, "한글", 0.0, 10.0), (1, 2, "나", 60.0, 70.0), (2, 1, "한글입니다", 0.0, 30.0), (2, 2, "-나", 90.0, 99.0), (3, 1, "아주 긴 조각", 0.0, 30.0), (3, 2, "b", 90.0, 99.0),
+             (4, 1, "a", 0.0, 5.0), (4, 2, None, 50.0, 55.0), (4, 3, "c", 100.0, 105.0), (5, 1, "[A]", 0.0, 10.0), (5, 2, "b", 20.0, 30.0)]
+    frags = spark.createDataFrame([(*w, 10.0, False) for w in words], "line int, fid int, text string, x0 double, x1 double, size double, icon boolean")
+    out = layout.split_far(frags, ["line"])
+    assert "Join" not in plan_of(out) and out.columns == [*frags.columns, "piece"]
+    got = {(r.line, r.fid): r.piece for r in out.collect()}
+    assert got == {(1, 1): 0, (1, 2): 0, (2, 1): 0, (2, 2): 1, (3, 1): 0, (3, 2): 1, (4, 1): 0, (4, 2): 0, (4, 3): 0, (5, 1): 0, (5, 2): 1}
