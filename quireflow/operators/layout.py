@@ -28,13 +28,16 @@ def frags(glyphs: DataFrame) -> DataFrame:
 def plain_strokes(glyphs: DataFrame) -> DataFrame:
     """Takes back bold from fonts that stroke nearly every glyph (85 % of 50 or more).
 
-    Fonts are counted first and joined back; a document has few fonts, so the counts are a small table.
+    Fonts are counted by page first, and only these counts are dealt by font: they go back to their pages, so that glyphs dealt
+    by page stay there. A page has few fonts, so its counts are held while its glyphs pass.
     """
     stroked = (F.col("char_flags").bitwiseAND(48) == 48) & (F.col("c") != " ")
-    fonts = glyphs.groupBy("doc_id", "font").agg(F.count_if(F.col("c") != " ").alias("__n"), F.count_if(stroked).alias("__s"))
-    plain = fonts.where((F.col("__n") >= 50) & (F.col("__s") >= 0.85 * F.col("__n"))).select("doc_id", "font", F.lit(True).alias("__plain"))
+    fonts = glyphs.groupBy("doc_id", "page", "font").agg(F.count_if(F.col("c") != " ").alias("n"), F.count_if(stroked).alias("s"))
+    font = Window.partitionBy("doc_id", "font")
+    fonts = fonts.withColumns({"__n": F.sum("n").over(font), "__s": F.sum("s").over(font)})
+    plain = fonts.where((F.col("__n") >= 50) & (F.col("__s") >= 0.85 * F.col("__n"))).select("doc_id", "page", "font", F.lit(True).alias("__plain"))
     only_stroke = stroked & ~tx.is_bold(F.col("font"), F.col("flags"), F.lit(0))
-    out = glyphs.join(plain, ["doc_id", "font"], "left")
+    out = glyphs.join(plain.hint("shuffle_hash"), ["doc_id", "page", "font"], "left")
     return out.withColumn("bold", F.col("bold") & ~(F.coalesce("__plain", F.lit(False)) & only_stroke)).drop("__plain")
 
 

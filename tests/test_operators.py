@@ -392,3 +392,15 @@ def test_far_pieces_are_put_together_beside_their_fragments(spark):
     assert "Join" not in plan_of(out) and out.columns == [*frags.columns, "piece"]
     got = {(r.line, r.fid): r.piece for r in out.collect()}
     assert got == {(1, 1): 0, (1, 2): 0, (2, 1): 0, (2, 2): 1, (3, 1): 0, (3, 2): 1, (4, 1): 0, (4, 2): 0, (4, 3): 0, (5, 1): 0, (5, 2): 1}
+
+
+def test_fonts_go_back_to_their_pages_and_glyphs_stay(spark, folder):
+    from quireflow.functions import text as tx
+    from quireflow.sources import corpus
+
+    glyphs = corpus.glyphs(spark, folder).withColumn("bold", tx.is_bold(F.col("font"), F.col("flags"), F.col("char_flags")))
+    assert len(re.findall(r"hashpartitioning\(doc_id#\d+L, font", plan_of(layout.plain_strokes(glyphs)))) == 1
+    # 48 of 60 glyphs of one font on two pages are stroked, too few of the font; of the other 30 and 30
+    rows = [(1, page, font, "a", 48 if k % 5 or font == "B" else 0, 0) for font in "AB" for page in (1, 2) for k in range(30)]
+    few = spark.createDataFrame(rows, "doc_id long, page int, font string, c string, char_flags int, flags int").withColumn("bold", F.col("char_flags") == 48)
+    assert {(r.font, r.bold): r["count"] for r in layout.plain_strokes(few).groupBy("font", "bold").count().collect()} == {("A", True): 48, ("A", False): 12, ("B", False): 60}
