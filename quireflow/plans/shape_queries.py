@@ -539,7 +539,8 @@ SELECT doc_id, ord, CAST(length(text) + CASE WHEN behind THEN n + 1 ELSE 0 END A
        CASE WHEN behind THEN sx0 + n * 5 ELSE lx1 END AS ends
 FROM (SELECT *, solid = 0 AND lx1 - 1 <= sx0 AND sx0 - lx1 < 40 AND len > 20 AND length(text) <= 12 AS behind, CAST(greatest(3, round_even(len / 5, 0)) AS INTEGER) AS n FROM h)""", ("numbers",))
 def _(spark, folder):
-    n = corpus.numbers(spark, folder)
+    # dealt by document before they grow into glyphs, which then meet their line and its strokes there
+    n = corpus.numbers(spark, folder).repartition(corpus.pieces(spark, folder, "lineitem", 1 << 20), "doc_id")
     text = F.when(F.col("number") % 3 == 0, "ab:").when(F.col("number") % 3 == 1, "a label too long:").otherwise("ab ：")
     rows = n.select("doc_id", F.lit(1).alias("page"), F.col("ord").alias("line"), text.alias("text"), "l_quantity", "l_discount").withColumn("y1", F.lit(100.0) + F.col("line") * 20)
     end = F.lit(50.0) + F.length("text") * 5
@@ -690,7 +691,7 @@ SELECT doc_id, ord, part, string_agg(c, '' ORDER BY k) AS text FROM (
         CASE WHEN split THEN CASE WHEN unnest(range(length(text))) < instr(text, ']') THEN 'label' ELSE 'body' END ELSE 'line' END AS part FROM s)
 WHERE NOT split OR c <> ' ' OR k > instr(text, ']') GROUP BY ALL""".replace("WHERE NOT split OR c <> ' ' OR k > instr(text, ']') GROUP BY ALL", "WHERE NOT split OR c <> ' ' OR k > instr(text, ']') GROUP BY doc_id, ord, part"), ("numbers",))
 def _(spark, folder):
-    n = corpus.numbers(spark, folder)
+    n = corpus.numbers(spark, folder).repartition(corpus.pieces(spark, folder, "lineitem", 1 << 20), "doc_id")
     kind = F.col("number") % 4
     text = F.when(kind == 0, "[A] of text").when(kind == 1, "[A]").when(kind == 2, "text [A]").otherwise(" [B]text")
     y0, drop = F.lit(100.0) + F.col("ord") * 100, F.col("l_discount") * 100 * 3

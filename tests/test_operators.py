@@ -404,3 +404,13 @@ def test_fonts_go_back_to_their_pages_and_glyphs_stay(spark, folder):
     rows = [(1, page, font, "a", 48 if k % 5 or font == "B" else 0, 0) for font in "AB" for page in (1, 2) for k in range(30)]
     few = spark.createDataFrame(rows, "doc_id long, page int, font string, c string, char_flags int, flags int").withColumn("bold", F.col("char_flags") == 48)
     assert {(r.font, r.bold): r["count"] for r in layout.plain_strokes(few).groupBy("font", "bold").count().collect()} == {("A", True): 48, ("A", False): 12, ("B", False): 60}
+
+
+def test_glyphs_of_dealt_items_are_not_shuffled_by_line(spark, folder):
+    from __spark_entry__ import load_queries
+
+    for name in ("label_blanks_underlined", "bracket_labels_split"):
+        plan = plan_of(load_queries()[name].run(spark, folder))
+        assert re.search(r"hashpartitioning\(doc_id#\d+L, \d+\), REPARTITION_BY_NUM", plan), name
+        # strokes that fit are found by line; glyphs are not dealt by it
+        assert not re.search(r"Exchange hashpartitioning\(doc_id#\d+L, page#\d+, line#\d+, gno", plan), name
