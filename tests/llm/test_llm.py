@@ -694,6 +694,32 @@ def test_passages_whose_parts_stand_elsewhere(spark):
             assert covered >= set(range(100, 100 + len(own)))
 
 
+def test_passages_meet_every_document_of_a_seed(spark):
+    """Two edited passages, and a run of just 50 words, whose parts stand in 20 other documents each, and a copy of one of them."""
+    rng = random.Random(29)
+    edited, run = words(rng, 96).split(), words(rng, 50).split()
+    other = [f"new{i}" if i % 16 == 8 else w for i, w in enumerate(edited)]
+    rows = [(i, " ".join(words(rng, 90).split() + own + words(rng, 90).split())) for i, own in enumerate((edited, other, run, run))]
+    rows.append((4, rows[3][1].upper()))
+    for own in (edited, run):
+        for start in range(0, len(own) - 24, 5):
+            rows += [(len(rows) + i, " ".join(words(rng, 60).split() + own[start:start + 25] + words(rng, 60).split())) for i in range(20)]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    met = {(r.doc_id, r.other_doc_id) for r in got}
+    assert {(0, 1), (1, 0), (3, 4), (4, 3)} <= met and met & {(2, 3), (2, 4)} and {d for d, _ in met} <= {0, 1, 2, 3, 4}
+    for doc in (0, 2, 3):
+        covered = {w for r in got if r.doc_id == doc for w in range(r.start_word, r.end_word)}
+        assert covered >= set(range(92, 138))
+
+
+def test_blocks_of_a_seed_meet_once(spark):
+    rows = [(doc, doc % 100, [1, 2], [doc, 500], [0, 0]) for doc in (*range(7), 103)]  # the last is a copy of the fourth
+    texts = spark.createDataFrame(rows, "doc bigint, body bigint, hashes array<bigint>, places array<int>, spans array<int>")
+    for block in (4, 1000):
+        got = sorted((r.doc, r.other) for r in chaining.matches(texts, block).where("x = 500").collect())
+        assert got == [(a, b) for a in range(7) for b in range(a)]
+
+
 # pipeline
 
 
