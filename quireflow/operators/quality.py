@@ -24,19 +24,19 @@ def _shingle_rows(df: DataFrame, keys: list[str], numbers: bool) -> DataFrame:
     return df.select(*keys, F.explode(tx.shingles(tx.compact("text", numbers), NGRAM)).alias("shingle"))
 
 
-def _by_size(source: DataFrame, output: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """Source and output of ordinary pairs, dealt by pair, and those of pairs of over PAIR_CHARS characters as they come.
+def _by_size(*sides: DataFrame) -> list[tuple[DataFrame, ...]]:
+    """The sides of ordinary pairs, dealt by pair, and those of pairs of over PAIR_CHARS characters as they come.
 
     Shingles are many times the text. Texts dealt by pair, TASK_CHARS a task, grow into shingles where they are grouped
     and joined, and no shingle is shuffled; those of a very long pair are, and so spread over many tasks.
     """
-    chars = [df.select("pair", F.length("text").alias("n")) for df in (source, output)]
-    sizes = settle(chars[0].unionByName(chars[1]).groupBy("pair").agg(F.sum("n").alias("n")))
+    chars = reduce(DataFrame.unionByName, [df.select("pair", F.length("text").alias("n")) for df in sides])
+    sizes = settle(chars.groupBy("pair").agg(F.sum("n").alias("n")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     large = settle(sizes.where(F.col("n") > PAIR_CHARS).select("pair"))
     tasks = max(sizes.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_CHARS))
-    ordinary = [df.join(large, "pair", "left_anti").repartition(tasks, "pair") for df in (source, output)]
-    return [tuple(ordinary), tuple(df.join(large, "pair", "left_semi") for df in (source, output))]
+    ordinary = [df.join(large, "pair", "left_anti").repartition(tasks, "pair") for df in sides]
+    return [tuple(ordinary), tuple(df.join(large, "pair", "left_semi") for df in sides)]
 
 
 def coverage(source: DataFrame, output: DataFrame, numbers: bool = True) -> DataFrame:
@@ -95,29 +95,22 @@ def coverage_status(scores: DataFrame, missing: DataFrame) -> DataFrame:
 def passage_coverage(items: DataFrame, outputs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """All (item, output) pairs where at least `threshold` of the item's shingles occur in the output.
 
-    `items` has item, text; `outputs` has pair, text. An output that holds that share of an item must hold one of the
-    item's n - ceil(t n) + 1 rarest shingles, so only these are matched to find candidates: no pair is lost, and common
-    shingles never pair everything with everything. Candidates are then counted exactly.
+    `items` has item, text; `outputs` has pair, text. The items' shingles are sent to the outputs, which are dealt by pair
+    as texts: they grow into shingles where these are looked up and counted by item, and no shingle is shuffled.
     """
-    item_rows = _shingle_rows(items, ["item"], True).distinct()
-    wanted = settle(item_rows.select("shingle").distinct())
-    if wanted.limit(BROADCAST + 1).count() <= BROADCAST:
-        wanted = F.broadcast(wanted)  # else all shingles of the outputs would be shuffled to meet a few
-    # used three times, and small beside the texts: only shingles that some item holds
-    out_rows = settle(_shingle_rows(outputs, ["pair"], True).join(wanted, "shingle", "left_semi").distinct())
-    frequency = out_rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    rarest = Window.partitionBy("item").orderBy("df", "shingle")
-    whole = Window.partitionBy("item")
-    ranked = (
-        item_rows.join(frequency, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        .withColumn("no", F.row_number().over(rarest)).withColumn("n", F.count("*").over(whole)))
-    prefix = ranked.where(F.col("no") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    candidates = out_rows.join(prefix.select("item", "shingle"), "shingle").select("item", "pair").distinct()
-    hits = candidates.join(item_rows, "item").join(out_rows, ["pair", "shingle"]).groupBy("item", "pair").agg(
-        F.count("*").alias("hits"))
+    item_rows = settle(_shingle_rows(items, ["item"], True).distinct())
+    wanted = item_rows.select("shingle").distinct()
+    if item_rows.limit(BROADCAST + 1).count() <= BROADCAST:
+        item_rows, wanted = F.broadcast(item_rows), F.broadcast(wanted)  # else all shingles of the outputs are shuffled to meet a few
+
+    def counted(texts: DataFrame) -> DataFrame:
+        found = _shingle_rows(texts, ["pair"], True).join(wanted, "shingle", "left_semi").distinct()
+        return found.join(item_rows, "shingle").groupBy("pair", "item").agg(F.count("*").alias("hits"))
+
+    hits = reduce(DataFrame.unionByName, [counted(*part) for part in _by_size(outputs)])
     sizes = item_rows.groupBy("item").agg(F.count("*").alias("n"))
-    return hits.join(sizes, "item").where(F.col("hits") >= F.col("n") * threshold).select(
-        "item", "pair", "hits", tx.half_even(F.col("hits") / F.col("n"), 4).alias("coverage"))
+    found = settle(hits.join(sizes, "item").where(F.col("hits") >= F.col("n") * threshold))
+    return found.select("item", "pair", "hits", tx.half_even(F.col("hits") / F.col("n"), 4).alias("coverage"))
 
 
 def order_status(numbers: DataFrame, paras: DataFrame, answers: DataFrame | None = None) -> DataFrame:

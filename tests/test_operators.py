@@ -327,6 +327,30 @@ def test_passages_meet_a_few_shingles_without_a_shuffle_of_all(spark, monkeypatc
     assert "rightHint=(strategy=broadcast)" in plans[-1]
 
 
+def test_passages_are_counted_where_their_texts_are(spark, monkeypatch):
+    """No shingle is shuffled, and nothing is joined with all shingles of an item once more; outputs in several rows are one."""
+    rng = random.Random(19)
+    texts = {k: "".join(rng.choice("abc") for _ in range(400)) for k in range(12)}
+    items = [(k, texts[k][at:at + 60]) for k in range(12) for at in (0, 200)] + [(99, "abcab")]
+    rows = [(k, texts[k][:250]) for k in texts] + [(k, texts[k][150:]) for k in range(6)] + [(70, None), (71, "ab")]
+    items, outputs = spark.createDataFrame(items, "item long, text string"), spark.createDataFrame(rows, "pair long, text string")
+    pieces = lambda text: {text[k:k + 6] for k in range(len(text or "") - 5)}
+    wanted, held = {}, {}
+    for rows_, sets in ((items.collect(), wanted), (outputs.collect(), held)):
+        for key, text in rows_:
+            sets.setdefault(key, set()).update(pieces(text))
+    want = {(i, p, len(a & b)) for i, a in wanted.items() for p, b in held.items() if a and len(a & b) >= 0.5 * len(a)}
+    real = quality.settle
+    for limit in (1 << 20, 500):  # then texts of over 500 characters are dealt by shingle
+        plans = []
+        monkeypatch.setattr(quality, "PAIR_CHARS", limit)
+        monkeypatch.setattr(quality, "settle", lambda df: plans.append(plan_of(df)) or real(df))
+        found = quality.passage_coverage(items, outputs)
+        assert {(r.item, r.pair, r.hits) for r in found.collect()} == want
+        shuffled = re.findall(r"Exchange hashpartitioning\((?:pair#\d+L, shingle#\d+|shingle#\d+, pair#\d+L)", "\n".join([*plans, plan_of(found)]))
+        assert len(shuffled) == 1 and plans[-1].count("REPARTITION_BY_NUM") == 1  # of the large pairs, and the texts of the others
+
+
 def test_letters_of_dealt_runs_are_not_shuffled(spark):
     runs = [(doc, stem, k, t, "A", lined and k == 2) for doc, lined in ((1, True), (2, False)) for stem in (1, 2) for k, t in ((1, "옳지 "), (2, "않"), (3, " 은 것은?"))]
     dealt = spark.createDataFrame(runs, "doc_id long, stem int, run int, text string, look string, underline boolean").repartition(3, "doc_id")
