@@ -274,6 +274,24 @@ def test_tables_end_in_a_short_plan(spark):
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tables_of_a_page_are_found_in_its_row(spark, monkeypatch):
+    """Two tables on a page, one whose upper right cell is joined and whose last rule stands 1.5 points outside, without rounds over tables."""
+    strokes = [(50.0 + 30 * c, 100.0, 50.0 + 30 * c, 140.0) for c in (0, 1)] + [(110.0, 120.0, 110.0, 140.0), (141.5, 100.0, 141.5, 140.0)]
+    strokes += [(50.0, 100.0 + 20 * r, 140.0, 100.0 + 20 * r) for r in range(3)]
+    strokes += [(300.0 + 30 * c, 400.0, 300.0 + 30 * c, 420.0) for c in range(4)] + [(300.0, 400.0 + 20 * r, 390.0, 400.0 + 20 * r) for r in range(2)]
+    strokes += [(300.0, 600.0, 390.0, 600.0), (450.0, 600.0, 450.0, 640.0)]
+    rows = [(doc, 1, *s) for doc in (1, 2) for s in strokes]
+    settled = []
+    for module in (shapes, shapes.graph):
+        monkeypatch.setattr(module, "settle", lambda df, real=shapes.settle: settled.append(df) or real(df))
+    found = shapes.detect_tables(spark.createDataFrame(rows, "doc_id long, page int, x0 double, y0 double, x1 double, y1 double"))
+    want = [(0, 0, 1, 1, 50, 80), (0, 1, 1, 2, 80, 141.5), (1, 0, 1, 1, 50, 80), (1, 1, 1, 1, 80, 110), (1, 2, 1, 1, 110, 141.5)]
+    want += [(0, c, 1, 1, 300 + 30 * c, 330 + 30 * c) for c in range(3)]
+    got = [(r.doc_id, r.row, r.col, r.rowspan, r.colspan, r.x0, r.x1) for r in found.collect()]
+    assert sorted(got) == sorted((doc, *cell) for doc in (1, 2) for cell in want)
+    assert len(settled) <= 3
+
+
 def test_captions_that_stick_out_lie_in_other_cells(spark):
     # the first text ends left of the picture and of the cell border at 96
     images = spark.createDataFrame([(1, 1, 5, 97.0, 10.0, 160.0, 50.0)], "doc_id long, page int, img int, x0 double, y0 double, x1 double, y1 double")
