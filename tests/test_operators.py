@@ -336,6 +336,18 @@ def test_coverage_shuffles_texts_and_not_shingles(spark, monkeypatch):
         assert plan.count("REPARTITION_BY_NUM") == 2 and plan.count("Generate") == 4
 
 
+def test_lines_of_the_source_are_not_shuffled_before_they_are_dealt(spark, folder, monkeypatch):
+    from quireflow.plans import quality_queries
+
+    plans, real = [], quality_queries.settle
+    monkeypatch.setattr(quality_queries, "settle", lambda df: plans.append(plan_of(df)) or real(df))
+    source, output = quality_queries.source_and_output(spark, folder)
+    assert sum("Exchange" not in plan for plan in plans) == 1  # the lines as they are read
+    assert not any("SortMergeJoin" in plan for plan in plans)
+    plan = plan_of(quality.missing_lines(source, output))
+    assert "Window" not in plan and "ShuffledHashJoin" in plan
+
+
 def test_passages_meet_a_few_shingles_without_a_shuffle_of_all(spark, monkeypatch):
     items = spark.createDataFrame([(1, "abcdefghij")], "item long, text string")
     outputs = spark.createDataFrame([(k, "xx abcdefghij " * 3) for k in range(4)], "pair long, text string")
