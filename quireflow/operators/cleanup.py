@@ -60,21 +60,21 @@ def fix_unknown(glyphs: DataFrame) -> DataFrame:
 def dedupe_overprint(glyphs: DataFrame) -> DataFrame:
     """Drops a character printed again almost on the last kept one (fake bold).
 
-    A dropped character equals the kept one, so the rule only looks inside runs of one character; each run of one row is
-    folded, all of it in the JVM.
+    The glyphs of one row become one short array, folded in the JVM: a character is only compared with the last kept one.
     """
-    row = Window.partitionBy("doc_id", "page", "frag").orderBy("gno")
-    runs = glyphs.withColumn("__new", F.coalesce(F.lag("c").over(row) != F.col("c"), F.lit(True)).cast("int"))
-    runs = runs.withColumn("__run", F.sum("__new").over(row))
-    rest = [c for c in glyphs.columns if c not in ("doc_id", "page", "frag")]
-    lists = runs.groupBy("doc_id", "page", "frag", "__run").agg(
-        F.array_sort(F.collect_list(F.struct("gno", *[c for c in rest if c != "gno"]))).alias("g"))
-    folded = F.aggregate(
-        F.slice("g", F.lit(2), F.size("g")), F.slice("g", 1, 1),
-        lambda kept, x: F.when(F.abs(F.element_at(kept, -1)["x0"] - x["x0"]) < 0.3 * x["size"], kept)
-        .otherwise(F.concat(kept, F.array(x))))
-    kept = F.when(F.size("g") == 1, F.col("g")).otherwise(folded)
-    return lists.select("doc_id", "page", "frag", F.inline(kept)).select(*glyphs.columns)
+    row = ["doc_id", "page", "frag"]
+    rest = [c for c in glyphs.columns if c not in (*row, "gno")]
+    lists = glyphs.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("gno", *rest))).alias("g"))
+
+    def again(last: Column, x: Column) -> Column:
+        return F.coalesce((last["c"] == x["c"]) & (F.abs(last["x0"] - x["x0"]) < 0.3 * x["size"]), F.lit(False))
+
+    # a run of which no glyph lies on the one before it stays whole, so only rows with such a glyph are folded
+    doubled = F.exists(F.sequence(F.lit(1), F.size("g")), lambda i: again(F.get("g", i - 1), F.get("g", i)))
+    kept = F.aggregate(F.slice("g", F.lit(2), F.size("g")), F.slice("g", 1, 1),
+                       lambda kept, x: F.when(again(F.element_at(kept, -1), x), kept).otherwise(F.concat(kept, F.array(x))))
+    # an inner generator would fold once more, to filter by size; no row is empty
+    return lists.select(*row, F.inline_outer(F.when(doubled, kept).otherwise(F.col("g")))).select(*glyphs.columns)
 
 
 def clean_runs(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -381,6 +381,24 @@ def test_passages_are_counted_where_their_texts_are(spark, monkeypatch):
         assert len(shuffled) == 1 and plans[-1].count("REPARTITION_BY_NUM") == 1  # of the large pairs, and the texts of the others
 
 
+def test_overprint_is_folded_by_row(spark):
+    from quireflow.operators import cleanup
+
+    rng = random.Random(41)
+    rows = [(1, page, frag, gno, rng.choice(["a", "a", "b", None]), rng.choice([0.0, 1.0, 2.5, 4.0, 9.0]), 10.0)
+            for page in (1, 2) for frag in range(40) for gno in range(rng.randint(1, 12))]
+    want = []
+    for key in sorted({r[:3] for r in rows}):
+        last = None
+        for r in sorted((r for r in rows if r[:3] == key), key=lambda r: r[3]):
+            if last is None or None in (r[4], last[4]) or r[4] != last[4] or not abs(r[5] - last[5]) < 3.0:
+                want.append(r)
+                last = r
+    found = cleanup.dedupe_overprint(spark.createDataFrame(rows, "doc_id long, page int, frag int, gno int, c string, x0 double, size double"))
+    assert sorted(tuple(r)[:4] for r in found.collect()) == sorted(r[:4] for r in want)
+    assert "Window" not in plan_of(found)
+
+
 def test_letters_of_dealt_runs_are_not_shuffled(spark):
     runs = [(doc, stem, k, t, "A", lined and k == 2) for doc, lined in ((1, True), (2, False)) for stem in (1, 2) for k, t in ((1, "옳지 "), (2, "않"), (3, " 은 것은?"))]
     dealt = spark.createDataFrame(runs, "doc_id long, stem int, run int, text string, look string, underline boolean").repartition(3, "doc_id")
